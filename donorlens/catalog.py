@@ -38,4 +38,8 @@ QUERIES: dict[str, Query] = {
     "marketing_income": _q(
         lambda t: X.marketing_income(t, Q.MARKETING_PERIOD, Q.MARKETING_START, Q.MARKETING_END)
     ),
+    "gift_ledger_extract": _q(lambda t: X.ledger_extract(t, Q.LEDGER_START, Q.LEDGER_END)),
+    "inactive_duplicate_gifts": _q(lambda t: X.ledger_branch(t, Q.LEDGER_START, Q.LEDGER_END, "moved")),
+    "history_gifts": _q(lambda t: X.ledger_branch(t, Q.LEDGER_START, Q.LEDGER_END, "history")),
+    "legacy_ledger": _q(lambda t: X.legacy_ledger(t, Q.LEGACY_START, Q.LEGACY_END)),
 }

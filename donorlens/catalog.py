@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import params as Q
+from .operators import categories as CAT
 from .operators import extracts as X
+from .operators import profile as PRO
 from .sources import TestdataTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,4 +44,7 @@ QUERIES: dict[str, Query] = {
     "inactive_duplicate_gifts": _q(lambda t: X.ledger_branch(t, Q.LEDGER_START, Q.LEDGER_END, "moved")),
     "history_gifts": _q(lambda t: X.ledger_branch(t, Q.LEDGER_START, Q.LEDGER_END, "history")),
     "legacy_ledger": _q(lambda t: X.legacy_ledger(t, Q.LEGACY_START, Q.LEGACY_END)),
+    "donor_profile": _q(PRO.donor_profile),
+    "gift_categories": _q(lambda t: CAT.gift_categories(t, Q.CATEGORY_PERIOD, as_of=Q.CATEGORY_AS_OF)),
+    "draft_statement_gifts": _q(lambda t: CAT.draft_statement_gifts(t, Q.CATEGORY_PERIOD, as_of=Q.CATEGORY_AS_OF)),
 }

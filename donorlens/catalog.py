@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import params as Q
 from .operators import categories as CAT
+from .operators import certificates as CERT
+from .operators import orders as ORD
+from .operators import recurring as REC
 from .operators import extracts as X
 from .operators import profile as PRO
 from .sources import TestdataTables
@@ -47,4 +50,16 @@ QUERIES: dict[str, Query] = {
     "donor_profile": _q(PRO.donor_profile),
     "gift_categories": _q(lambda t: CAT.gift_categories(t, Q.CATEGORY_PERIOD, as_of=Q.CATEGORY_AS_OF)),
     "draft_statement_gifts": _q(lambda t: CAT.draft_statement_gifts(t, Q.CATEGORY_PERIOD, as_of=Q.CATEGORY_AS_OF)),
+    "recurring_project_donors": _q(
+        lambda t: REC.recurring_project_donors(t, Q.RECURRING_START, Q.RECURRING_END, Q.RECURRING_HISTORY_START)
+    ),
+    "annualised_pledges": _q(lambda t: CERT.annualised_pledges(t, Q.CERTIFICATE_AS_OF)),
+    "certificate_donors_missing_id": _q(
+        lambda t: CERT.certificate_donors_missing_id(
+            t, Q.CERTIFICATE_AS_OF, Q.CERTIFICATE_PROFILE_SINCE, Q.CERTIFICATE_HISTORY_MONTHS
+        )
+    ),
+    "yearly_orders_overview": _q(lambda t: ORD.yearly_orders_overview(t, "J", Q.ORDERS_NEXT_AFTER)),
+    "next_invoice_dates": _q(lambda t: ORD.next_invoice_dates(t, "J")),
+    "orders_by_date": _q(lambda t: ORD.orders_by_date(t, Q.ORDERS_ON_DATE)),
 }

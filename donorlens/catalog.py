@@ -16,6 +16,8 @@ from .operators import certificates as CERT
 from .operators import orders as ORD
 from .operators import recurring as REC
 from .operators import extracts as X
+from .operators import ledger_reports as LR
+from .plans.ledger import gift_ledger
 from .operators import profile as PRO
 from .sources import TestdataTables
 
@@ -37,6 +39,16 @@ def _q(fn) -> Query:
     return run
 
 
+def _l(fn) -> Query:
+    """A report over the analyst ledger of the default period."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        return fn(gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END), t)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "gift_ledger": _q(lambda t: X.gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END)),
     "gift_ledger_one_partner": _q(lambda t: X.gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END, Q.ONE_PARTNER)),
@@ -62,4 +74,19 @@ QUERIES: dict[str, Query] = {
     "yearly_orders_overview": _q(lambda t: ORD.yearly_orders_overview(t, "J", Q.ORDERS_NEXT_AFTER)),
     "next_invoice_dates": _q(lambda t: ORD.next_invoice_dates(t, "J")),
     "orders_by_date": _q(lambda t: ORD.orders_by_date(t, Q.ORDERS_ON_DATE)),
+    "gift_statistics": _l(lambda g, t: LR.gift_statistics(g)),
+    "certificate_lines": _l(lambda g, t: CERT.certificate_lines(g)),
+    "fiscal_certificates": _l(lambda g, t: CERT.fiscal_certificates(g)),
+    "unique_donors": _l(lambda g, t: LR.unique_donors(g)),
+    "project_totals_since": _l(
+        lambda g, t: LR.project_totals_since(g, Q.PROJECT_TOTALS_PATTERN, Q.PROJECT_TOTALS_SINCE)
+    ),
+    "donor_contact_flags": _l(lambda g, t: LR.donor_contact_flags(g, t)),
+    "thankyou_totals": _l(lambda g, t: LR.thankyou_totals(g, Q.THANKYOU_PATTERN)),
+    "thankyou_post": _l(lambda g, t: LR.thankyou_post(g)),
+    "thankyou_region": _l(lambda g, t: LR.thankyou_region(g)),
+    "project_totals": _l(lambda g, t: LR.project_totals(g)),
+    "provider_gifts": _l(lambda g, t: LR.provider_gifts(g, Q.PROVIDER_PATTERN)),
+    "ledger_lookup": _l(lambda g, t: LR.ledger_lookup(g, partner_id=Q.LOOKUP_PARTNER)),
+    "profile_enrichment": _l(lambda g, t: LR.profile_enrichment(g, t)),
 }

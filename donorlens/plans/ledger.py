@@ -220,6 +220,8 @@ class GiftLedger:
         finals: dict[str, Column],
         fact_filter: Column | None = None,
         partner_filter: Column | None = None,
+        fact_exprs: dict[str, Column] | None = None,
+        partners: DataFrame | None = None,
     ) -> DataFrame:
         """Group the ledger by fact and partner columns in two phases.
 
@@ -228,12 +230,18 @@ class GiftLedger:
         is folded before any shuffle; only those partial rows meet the
         partner attributes; phase 2 groups them by the report's keys.
         ``finals`` must combine ``partials`` (sum of sums, min of mins, ...).
+        ``fact_exprs`` adds derived fact columns usable as keys; ``partners``
+        replaces the partner attributes (e.g. extended by a partner-level join,
+        whose repetitions then multiply sums exactly as a row-level join).
         """
         facts = self.facts if fact_filter is None else self.facts.where(fact_filter)
+        for name, col in (fact_exprs or {}).items():
+            facts = facts.withColumn(name, col)
         part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
             *[c.alias(n) for n, c in partials.items()]
         )
-        joined = self._eligible(part.join(self.partners, "partner_id", "inner"))
+        attrs = self.partners if partners is None else partners
+        joined = self._eligible(part.join(attrs, "partner_id", "inner"))
         if partner_filter is not None:
             joined = joined.where(partner_filter)
         joined = joined.select(
@@ -242,6 +250,11 @@ class GiftLedger:
         keys = list(dict.fromkeys([*fact_keys, *partner_keys]))
         return joined.groupBy(*keys).agg(*[c.alias(n) for n, c in finals.items()])
 
+    def rows(self, fact_filter: Column | None = None, partners: DataFrame | None = None) -> DataFrame:
+        """The wide ledger restricted by a fact predicate (pushed below the join)."""
+        facts = self.facts if fact_filter is None else self.facts.where(fact_filter)
+        return GiftLedger(facts, self.partners if partners is None else partners).wide()
+
 
 EXTRACT_LOOKUPS = ("country", "state", "street", "city", "title", "legal", "dept", "dept_choice", "relation")
 

@@ -15,6 +15,7 @@ from .operators import categories as CAT
 from .operators import certificates as CERT
 from .operators import orders as ORD
 from .operators import recurring as REC
+from .operators import trace as TR
 from .operators import extracts as X
 from .operators import ledger_reports as LR
 from .plans.ledger import gift_ledger
@@ -28,7 +29,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> TestdataTables:
     from .session import configure
 
     configure(spark)
-    return TestdataTables(spark, sf_dir)
+    return TestdataTables.for_session(spark, sf_dir)
 
 
 def _q(fn) -> Query:
@@ -89,4 +90,5 @@ QUERIES: dict[str, Query] = {
     "provider_gifts": _l(lambda g, t: LR.provider_gifts(g, Q.PROVIDER_PATTERN)),
     "ledger_lookup": _l(lambda g, t: LR.ledger_lookup(g, partner_id=Q.LOOKUP_PARTNER)),
     "profile_enrichment": _l(lambda g, t: LR.profile_enrichment(g, t)),
+    "posting_trace": _q(TR.posting_trace),
 }

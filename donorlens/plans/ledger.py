@@ -324,6 +324,14 @@ def _posted_fact_columns() -> list[Column]:
 
 def gift_ledger(t, start, end, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
     """The analyst ledger over [start, end] (booked gifts + history)."""
+    memo = getattr(t, "memo", None)
+    key = ("gift_ledger", str(start), str(end), tuple(codes))
+    if memo is not None:
+        return memo(key, lambda: _gift_ledger(t, start, end, codes))
+    return _gift_ledger(t, start, end, codes)
+
+
+def _gift_ledger(t, start, end, codes) -> GiftLedger:
     booked = posted_lines(t, start, end, codes).where(F.col("partner_id").isNotNull())
     active = booked.withColumn("inact_partner_id", _null("bigint")).withColumn("branch", F.lit(ACTIVE))
     # gifts of an inactive partner are moved to its surviving partner

@@ -32,7 +32,14 @@ def _renamed(df: DataFrame, prefix: str, cols: Iterable[str]) -> DataFrame:
 
 
 def partner_dim(t, lookups: Iterable[str] = LOOKUPS) -> DataFrame:
-    wanted = set(lookups)
+    wanted = frozenset(lookups)
+    memo = getattr(t, "memo", None)
+    if memo is not None:
+        return memo(("partner_dim", wanted), lambda: _partner_dim(t, wanted))
+    return _partner_dim(t, wanted)
+
+
+def _partner_dim(t, wanted: frozenset) -> DataFrame:
     unknown = wanted - set(LOOKUPS)
     if unknown:
         raise ValueError(f"unknown partner lookups {sorted(unknown)}")

@@ -21,6 +21,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # batch jobs: no Python stack capture on every DataFrame call (it costs
+    # milliseconds per call while plans are built)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -64,6 +67,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("DONORLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

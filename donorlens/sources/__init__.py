@@ -23,6 +23,13 @@ class ParquetTables:
         self.spark = spark
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self._memo: dict = {}
+
+    def memo(self, key, build):
+        """Build-once store for derived lazy plans keyed by ``key``."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:

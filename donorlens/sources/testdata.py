@@ -389,15 +389,60 @@ def _typed(table: str, exprs: dict[str, str]) -> list[tuple[str, str]]:
 
 # ----------------------------------------------------------------- Spark side
 class TestdataTables:
-    """ERP tables as lazy DataFrames over the driver parquet files."""
+    """ERP tables as lazy DataFrames over the driver parquet files.
+
+    ``for_session`` returns one instance per (session, folder) so the lazy
+    plans of the mapped tables - and derived plans registered with ``memo``
+    (partner dimension, ledgers) - are built once and shared by all reports.
+    Nothing is cached as data.
+    """
+
+    _instances: dict[tuple[int, str], TestdataTables] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self._memo: dict = {}
+
+    @classmethod
+    def for_session(cls, spark: SparkSession, sf_dir: str) -> TestdataTables:
+        key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+        inst = cls._instances.get(key)
+        if inst is None:
+            inst = cls._instances[key] = cls(spark, sf_dir)
+        return inst
+
+    def memo(self, key, build):
+        """Build-once store for derived lazy plans keyed by ``key``."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        return self._spread(df, path)
+
+    # rows per task below which spreading a scan is not worth a shuffle
+    SPREAD_MIN_ROWS = 100_000
+
+    def _spread(self, df: DataFrame, path: str) -> DataFrame:
+        """The driver writes each table as one file with one row group, which
+        Spark reads in a single task.  When such a scan is large, spread it
+        round-robin over the cluster's cores so the projections and joins
+        fused after it run in parallel.  A real multi-file dataset already
+        has many splits and is left alone."""
+        try:
+            import pyarrow.parquet as pq
+
+            meta = pq.ParquetFile(path).metadata
+            groups, rows = meta.num_row_groups, meta.num_rows
+        except Exception:  # noqa: BLE001 - not a local single file
+            return df
+        cores = self.spark.sparkContext.defaultParallelism
+        tasks = min(cores, rows // self.SPREAD_MIN_ROWS)
+        return df.repartition(tasks) if tasks > groups else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
@@ -411,9 +456,9 @@ class TestdataTables:
 
     def _build(self, name: str) -> DataFrame:
         if name in LITERALS:
-            from .schemas import SCHEMAS
-
-            return self.spark.createDataFrame(list(LITERALS[name].rows), SCHEMAS[name])
+            # an inline VALUES table is a local relation of known (tiny) size,
+            # so the planner broadcasts it instead of shuffling the facts
+            return self.spark.sql(table_sql(name))
         spec = MAPPED[name]
         src = self.raw(spec.source)
         if spec.join is not None:

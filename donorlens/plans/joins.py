@@ -43,7 +43,7 @@ def lookup(fact: DataFrame, dim: DataFrame, on: Column, how: str = "left") -> Da
 def left_join_split_nulls(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
     """``fact LEFT JOIN dim ON fact_key = dim_key`` without shuffling NULL keys."""
     matched = fact.where(F.col(fact_key).isNotNull()).join(dim, F.col(fact_key) == F.col(dim_key), "left")
-    nulls = fact.where(F.col(fact_key).isNull())
-    for field in dim.schema.fields:
-        nulls = nulls.withColumn(field.name, F.lit(None).cast(field.dataType))
+    nulls = fact.where(F.col(fact_key).isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields]
+    )
     return matched.unionByName(nulls)

@@ -235,8 +235,8 @@ class GiftLedger:
         whose repetitions then multiply sums exactly as a row-level join).
         """
         facts = self.facts if fact_filter is None else self.facts.where(fact_filter)
-        for name, col in (fact_exprs or {}).items():
-            facts = facts.withColumn(name, col)
+        if fact_exprs:
+            facts = facts.select("*", *[c.alias(n) for n, c in fact_exprs.items()])
         part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
             *[c.alias(n) for n, c in partials.items()]
         )
@@ -333,16 +333,16 @@ def gift_ledger(t, start, end, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
 
 def _gift_ledger(t, start, end, codes) -> GiftLedger:
     booked = posted_lines(t, start, end, codes).where(F.col("partner_id").isNotNull())
-    active = booked.withColumn("inact_partner_id", _null("bigint")).withColumn("branch", F.lit(ACTIVE))
+    active = booked.select("*", _null("bigint").alias("inact_partner_id"), F.lit(ACTIVE).alias("branch"))
     # gifts of an inactive partner are moved to its surviving partner
     successors = t.res_partner.where(
         (F.col("active") == F.lit(False)) & (F.coalesce(F.col("active_partner_id"), F.lit(0)) > 0)
     ).select(F.col("id").alias("old_id"), F.col("active_partner_id").alias("new_id"))
-    moved = (
-        booked.join(successors, F.col("partner_id") == F.col("old_id"), "inner")
-        .withColumn("inact_partner_id", F.col("old_id"))
-        .withColumn("partner_id", F.col("new_id"))
-        .withColumn("branch", F.lit(MOVED))
+    moved = booked.join(successors, F.col("partner_id") == F.col("old_id"), "inner").select(
+        *[F.col(c) for c in booked.columns if c != "partner_id"],
+        F.col("new_id").alias("partner_id"),
+        F.col("old_id").alias("inact_partner_id"),
+        F.lit(MOVED).alias("branch"),
     )
     hist = history_lines(t, start, end).select(
         _null("int").alias("acount_id"),

@@ -1,0 +1,3 @@
+"""donorlens: donor-income analytics as Spark DataFrame plans."""
+
+__all__ = ["catalog", "functions", "operators", "params", "plans", "sources"]

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The gift reports are batch extracts over accounting tables; nothing in the
+reports needs a stream, a watermark or streaming state, so no Structured
+Streaming job is built.
+"""

@@ -23,7 +23,6 @@ from ..functions import rules as R
 from ..functions.period import resolve_period
 from ..plans import partner as P
 from ..plans.facts import draft_lines, posted_lines, project_code, project_name
-from ..plans.joins import left_join_split_nulls
 from .profile import donor_profile
 
 CATEGORY_ACCOUNTS = ("732000", "732100", "499010")
@@ -93,11 +92,37 @@ def _draft(t, start, end) -> DataFrame:
     )
 
 
+_PARTNER_OUTPUT = ("voornaam", "achternaam", "straat", "huisnummer", "bus", "postcode", "gemeente", "land",
+                   "adres_status", "email_ontvangen", "post_ontvangen", "email", "telefoonnr")
+
+
 def _enrich(t, gifts: DataFrame) -> DataFrame:
+    """Attach partner columns to de-duplicated narrow gifts.
+
+    Gifts of an existing partner take an inner join (a hot partner's
+    partition is split by adaptive skew handling); gifts without partner, or
+    whose partner id has no partner row, report as "no partner" - those few
+    rows bypass the join, and only they can still coincide, so only they are
+    de-duplicated again."""
     counts = donor_profile(t).select(F.col("partner_id").alias("pr_id"), "aantalgiften")
     pdim = P.partner_dim(t, ("country", "street", "city"))
     pdim = pdim.join(counts, F.col("p_id") == F.col("pr_id"), "left").drop("pr_id")
-    joined = left_join_split_nulls(gifts, pdim, "partner_id", "p_id")
+    keyed = gifts.where(F.col("partner_id").isNotNull())
+    assigned = keyed.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
+    orphans = keyed.join(pdim.select("p_id"), F.col("partner_id") == F.col("p_id"), "left_anti")
+    unassigned = (
+        gifts.where(F.col("partner_id").isNull())
+        .unionByName(orphans.select(*[F.lit(None).cast("bigint").alias(c) if c == "partner_id" else F.col(c)
+                                      for c in gifts.columns]))
+        .distinct()
+    )
+    nulls = unassigned.select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in pdim.schema.fields]
+    )
+    return _project(assigned).unionByName(_project(nulls))
+
+
+def _project(joined: DataFrame) -> DataFrame:
     return joined.select(
         F.col("p_id").alias("partner_id"),
         "datum",
@@ -125,19 +150,12 @@ def _enrich(t, gifts: DataFrame) -> DataFrame:
     )
 
 
-def _dedupe_unassigned(enriched: DataFrame) -> DataFrame:
-    # a partner id without a partner row reports like a gift without partner,
-    # so only those rows can still coincide after enrichment
-    assigned = enriched.where(F.col("partner_id").isNotNull())
-    return assigned.unionByName(enriched.where(F.col("partner_id").isNull()).distinct())
-
-
 def gift_categories(t, period: str, start=None, end=None, as_of=None) -> DataFrame:
     first, last = resolve_period(period, start, end, as_of)
     gifts = _posted(t, first, last).unionByName(_draft(t, first, last)).distinct()
-    return _dedupe_unassigned(_enrich(t, gifts))
+    return _enrich(t, gifts)
 
 
 def draft_statement_gifts(t, period: str, start=None, end=None, as_of=None) -> DataFrame:
     first, last = resolve_period(period, start, end, as_of)
-    return _dedupe_unassigned(_enrich(t, _draft(t, first, last).distinct()))
+    return _enrich(t, _draft(t, first, last).distinct())

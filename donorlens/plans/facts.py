@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .joins import lookup
+from .joins import lookup, small_side
 
 
 def _between(col: str, start, end):
@@ -38,13 +38,17 @@ def accounts(t) -> DataFrame:
 
 
 def with_projects(df: DataFrame, t) -> DataFrame:
-    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``)."""
-    projects = t.account_analytic_account
+    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``).
+
+    The three lookups read one and the same (size-checked) project relation,
+    so a broadcast of it is built once and reused by all three joins."""
+    projects = small_side(t.account_analytic_account.select("id", "code", "name"))
     for k in (1, 2, 3):
-        dim = projects.select(
-            F.col("id").alias(f"d{k}_id"), F.col("code").alias(f"d{k}_code"), F.col("name").alias(f"d{k}_name")
+        keep = [df[c] for c in df.columns]
+        dim = projects.alias(f"d{k}")
+        df = df.join(dim, F.col(f"analytic_dimension_{k}_id") == F.col(f"d{k}.id"), "left").select(
+            *keep, F.col(f"d{k}.code").alias(f"d{k}_code"), F.col(f"d{k}.name").alias(f"d{k}_name")
         )
-        df = lookup(df, dim, F.col(f"analytic_dimension_{k}_id") == F.col(f"d{k}_id"), "left")
     return df
 
 

@@ -91,4 +91,12 @@ QUERIES: dict[str, Query] = {
     "ledger_lookup": _l(lambda g, t: LR.ledger_lookup(g, partner_id=Q.LOOKUP_PARTNER)),
     "profile_enrichment": _l(lambda g, t: LR.profile_enrichment(g, t)),
     "posting_trace": _q(TR.posting_trace),
+    "monthly_orders_overview": _q(
+        lambda t: ORD.yearly_orders_overview(
+            t, "M", Q.MONTHLY_ORDERS_NEXT_AFTER, cancelled_on=Q.MONTHLY_ORDERS_AS_OF, active_only=False
+        )
+    ),
+    "latest_invoices": _q(lambda t: ORD.latest_invoices(t, Q.LATEST_INVOICES)),
+    "ledger_dates": _l(lambda g, t: LR.ledger_dates(g, "npca")),
+    "legacy_history": _q(lambda t: X.legacy_history(t, Q.LEGACY_START, Q.LEGACY_END)),
 }

@@ -49,6 +49,10 @@ def legacy_ledger(t, start, end) -> DataFrame:
     return L.legacy_ledger(t, start, end)
 
 
+def legacy_history(t, start, end) -> DataFrame:
+    return L.legacy_history(t, start, end)
+
+
 def ledger_extract(t, start, end) -> DataFrame:
     """The 49-column analyst ledger as one table."""
     return L.gift_ledger(t, start, end).wide()

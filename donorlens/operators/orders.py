@@ -53,12 +53,15 @@ def yearly_orders_overview(
     next_after: str = "2021-01-01",
     cancelled_on: str | None = None,
     negative_only: bool = False,
+    active_only: bool = True,
 ) -> DataFrame:
-    """Orders of active partners with a mandate and the date of the last
-    invoice of the same amount; by default yearly orders that were never
-    cancelled and are due after ``next_after``.  ``cancelled_on`` switches to
-    "not cancelled on that day"; ``negative_only`` lists refund orders."""
-    orders = _orders_of_partners(t, F.col("active") == F.lit(True)).where(F.col("interval_type") == interval_type)
+    """Orders of partners with a mandate and the date of the last invoice of
+    the same amount; by default yearly orders of active partners that were
+    never cancelled and are due after ``next_after``.  ``cancelled_on``
+    switches to "not cancelled on that day"; ``negative_only`` lists refund
+    orders; ``active_only=False`` drops the active-partner condition."""
+    partner_filter = F.col("active") == F.lit(True) if active_only else None
+    orders = _orders_of_partners(t, partner_filter).where(F.col("interval_type") == interval_type)
     if cancelled_on is None:
         orders = orders.where(R.never_cancelled("donation_cancel"))
     else:
@@ -92,3 +95,13 @@ def orders_by_date(t, day) -> DataFrame:
         "donation_cancel", "aanmaak_factuur", "amount_total",
     )
     return out.distinct()
+
+
+def latest_invoices(t, n: int = 100) -> DataFrame:
+    """The ``n`` most recent invoiced donation lines (newest first; equal
+    dates by invoice number).  A distributed top-n: each partition keeps its
+    own best ``n`` before the merge, nothing else reaches one task."""
+    lines = t.donation_donation_line
+    return lines.orderBy(
+        F.col("date_invoice").desc_nulls_last(), F.col("invoice_id").desc_nulls_last()
+    ).limit(n)

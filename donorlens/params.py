@@ -32,3 +32,7 @@ PROJECT_TOTALS_SINCE = "1997-01-01"
 THANKYOU_PATTERN = "F-00001%"
 PROVIDER_PATTERN = "mangopaysanpexp"
 LOOKUP_PARTNER = 5
+
+MONTHLY_ORDERS_NEXT_AFTER = "2019-01-01"
+MONTHLY_ORDERS_AS_OF = "2022-01-01"
+LATEST_INVOICES = 100

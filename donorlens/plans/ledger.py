@@ -416,3 +416,31 @@ def legacy_ledger(t, start, end) -> DataFrame:
         F.col("am_name").alias("boeking"),
     )
     return out.orderBy(F.col("project_code").asc_nulls_last())
+
+
+def legacy_history(t, start, end) -> DataFrame:
+    """Payment-history gifts of [start, end] in the legacy report's columns
+    (partner with a known country, history project rule)."""
+    pdim = P.partner_dim(t, ("country",)).where(F.col("c_id").isNotNull())
+    hist = history_lines(t, start, end).join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
+    out = hist.select(
+        F.col("date"),
+        R.year_of("date").alias("jaar"),
+        F.col("amount").cast(AMOUNT).alias("amount"),
+        F.col("p_id").alias("partner_id"),
+        F.col("p_membership_state_b").alias("huidige_lidmaatschap_status"),
+        F.col("p_membership_nbr").alias("lidnummer"),
+        P.label().alias("partner"),
+        R.clean_text("description").alias("description"),
+        _null("string").alias("ref"),
+        F.col("project_nbr").alias("dimensie1"),
+        F.col("cost_center").alias("dimensie2"),
+        _null("string").alias("dimensie3"),
+        R.history_project("project_nbr", "cost_center").alias("project_code"),
+        _null("string").alias("project"),
+        _null("string").alias("grootboekrek"),
+        _null("string").alias("grootboekrek_naam"),
+        _null("string").alias("vzw"),
+        _null("string").alias("boeking"),
+    )
+    return out.orderBy(F.col("project_code").asc_nulls_last())

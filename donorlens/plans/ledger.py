@@ -250,6 +250,23 @@ class GiftLedger:
         keys = list(dict.fromkeys([*fact_keys, *partner_keys]))
         return joined.groupBy(*keys).agg(*[c.alias(n) for n, c in finals.items()])
 
+    def materialize(self, spark, name: str | None = None) -> GiftLedger:
+        """Write facts and partner attributes under the session's shared
+        checkpoint folder and return a ledger reading them back.
+
+        For the analyst flow that runs many reports on one ledger: the
+        ledger is computed once, later reports start from the written tables
+        (their lineage is cut, so a lost executor never recomputes the
+        ledger).  The folder comes from ``spark.checkpoint.dir``."""
+        import uuid
+
+        from ..session import checkpoint_dir
+
+        root = f"{checkpoint_dir(spark).rstrip('/')}/{name or 'gift-ledger-' + uuid.uuid4().hex}"
+        self.facts.write.mode("overwrite").parquet(f"{root}/facts")
+        self.partners.write.mode("overwrite").parquet(f"{root}/partners")
+        return GiftLedger(spark.read.parquet(f"{root}/facts"), spark.read.parquet(f"{root}/partners"))
+
     def rows(self, fact_filter: Column | None = None, partners: DataFrame | None = None) -> DataFrame:
         """The wide ledger restricted by a fact predicate (pushed below the join)."""
         facts = self.facts if fact_filter is None else self.facts.where(fact_filter)

@@ -28,7 +28,18 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def broadcast_limit(df: DataFrame) -> int:
+    """Broadcast limit in bytes: ``spark.donorlens.broadcastLimitBytes`` if
+    the session sets it, else BROADCAST_LIMIT_BYTES."""
+    try:
+        value = df.sparkSession.conf.get("spark.donorlens.broadcastLimitBytes", None)
+    except Exception:  # noqa: BLE001
+        value = None
+    return int(value) if value not in (None, "") else BROADCAST_LIMIT_BYTES
+
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    limit = broadcast_limit(df) if limit is None else limit
     size = estimated_bytes(df)
     if size is not None and size <= limit:
         return F.broadcast(df)

@@ -37,21 +37,44 @@ def accounts(t) -> DataFrame:
     )
 
 
-def with_projects(df: DataFrame, t) -> DataFrame:
-    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``).
+DIM_KEYS = ("analytic_dimension_1_id", "analytic_dimension_2_id", "analytic_dimension_3_id")
+
 
-    The three lookups read one and the same (size-checked) project relation,
-    so a broadcast of it is built once and reused by all three joins."""
-    projects = small_side(t.account_analytic_account.select("id", "code", "name"))
-    for k in (1, 2, 3):
+def _project_lookups(df: DataFrame, projects: DataFrame) -> DataFrame:
+    """Three left lookups of ``projects`` on the dimension ids of ``df``."""
+    for k, key in enumerate(DIM_KEYS, start=1):
         keep = [df[c] for c in df.columns]
         dim = projects.alias(f"d{k}")
-        df = df.join(dim, F.col(f"analytic_dimension_{k}_id") == F.col(f"d{k}.id"), "left").select(
+        df = df.join(dim, F.col(key) == F.col(f"d{k}.id"), "left").select(
             *keep, F.col(f"d{k}.code").alias(f"d{k}_code"), F.col(f"d{k}.name").alias(f"d{k}_name")
         )
     return df
 
 
+def with_projects(df: DataFrame, t) -> DataFrame:
+    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``).
+
+    Small project table (the usual case, size-checked): one broadcast reused
+    by all three lookups, no shuffle of the facts.  Otherwise the distinct
+    id triples the facts use are resolved first (map-side de-duplicated, so
+    only a few rows per task travel) and the facts are joined once on the
+    triple, null-safe, instead of being shuffled for each dimension."""
+    table = t.account_analytic_account.select("id", "code", "name")
+    projects = small_side(table)
+    if projects is not table:  # broadcast chosen
+        return _project_lookups(df, projects)
+    triples = df.select(*DIM_KEYS).distinct()
+    resolved = _project_lookups(triples, table).select(
+        *[F.col(c).alias(f"t_{c}") for c in DIM_KEYS],
+        *[f"d{k}_{part}" for k in (1, 2, 3) for part in ("code", "name")],
+    )
+    cond = None
+    for c in DIM_KEYS:
+        eq = F.col(c).eqNullSafe(F.col(f"t_{c}"))
+        cond = eq if cond is None else cond & eq
+    return df.join(resolved, cond, "left").drop(*[f"t_{c}" for c in DIM_KEYS])
+
+
 def posted_lines(
     t,
     start=None,

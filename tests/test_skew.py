@@ -40,3 +40,23 @@ def test_hot_partners_are_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_project_lookup_without_broadcast_gives_same_rows(spark):
+    from tools.check_oracle import rows_of
+    from tests.conftest import SMALL
+
+    base = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
+    expected = rows_of([tuple(r) for r in base.collect()], base.columns)
+    old = spark.conf.get("spark.donorlens.broadcastLimitBytes", None)
+    try:
+        spark.conf.set("spark.donorlens.broadcastLimitBytes", "0")
+        df = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "<=>" in plan  # joined once on the null-safe id triple
+        assert rows_of([tuple(r) for r in df.collect()], df.columns) == expected
+    finally:
+        if old is None:
+            spark.conf.unset("spark.donorlens.broadcastLimitBytes")
+        else:
+            spark.conf.set("spark.donorlens.broadcastLimitBytes", old)

@@ -263,9 +263,9 @@ def mailing_line(street_col, number, bus) -> Column:
     )
 
 
-# D27
-def yes_no_present(x) -> Column:
-    return F.when(_c(x).isNull(), F.lit("neen")).otherwise(F.lit("ja"))
+# D27: 'ja' when a matching row was found (its key differs from the sentinel)
+def found_flag(x, sentinel) -> Column:
+    return F.when(F.coalesce(_c(x), F.lit(sentinel)) == F.lit(sentinel), F.lit("neen")).otherwise(F.lit("ja"))
 
 
 # Whole months between two dates, calendar style (a month counts once

@@ -158,10 +158,8 @@ def donor_contact_flags(ledger: GiftLedger, t) -> DataFrame:
         "partner_id", F.col("s").cast(TOTAL).alias("bedrag"), "jaar", F.col("d0").alias("min_date"),
         F.col("d1").alias("max_date"), "aanspreking", "geslacht", "naam", "voornaam", "achternaam", "straat",
         "huisnummer", "bus", "postcode", "gemeente", "provincie", "land", "email",
-        F.when(F.coalesce(F.col("w_partner_id"), F.lit(0)) == 0, F.lit("neen")).otherwise(F.lit("ja"))
-        .alias("website_gebruiker"),
-        F.when(F.coalesce(F.col("s_emailaddress"), F.lit("_")) == "_", F.lit("neen")).otherwise(F.lit("ja"))
-        .alias("suppressed"),
+        R.found_flag("w_partner_id", 0).alias("website_gebruiker"),
+        R.found_flag("s_emailaddress", "_").alias("suppressed"),
         "afdeling", "overleden", "adres_status", "post_ontvangen", "email_ontvangen", "nooit_contacteren",
         "lidnummer", "huidige_lidmaatschap_status",
     ).distinct()

@@ -30,3 +30,14 @@ def test_materialized_ledger_gives_the_same_report(spark, tables):
     a, b = LR.unique_donors(led), LR.unique_donors(stored)
     assert rows_of([tuple(r) for r in a.collect()], a.columns) == rows_of([tuple(r) for r in b.collect()], b.columns)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_report_export_is_semicolon_text(spark, tables):
+    from donorlens.sources.sinks import export_report
+
+    df = X.gift_ledger(tables, Q.LEDGER_START, Q.LEDGER_END).select("partner_id", "description", "bus")
+    path = os.path.join(tempfile.mkdtemp(prefix="donorlens-export-"), "gifts")
+    export_report(df, path)
+    back = spark.read.option("sep", ";").option("header", "true").csv(path)
+    assert back.columns == ["partner_id", "description", "bus"]
+    assert back.count() == df.count()

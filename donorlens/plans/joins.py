@@ -1,9 +1,12 @@
 """Join helpers that keep the physical plan scale-safe.
 
-* ``small_side``: broadcast a dimension only when the optimizer's size
-  estimate is below a limit; otherwise the plain join is left to the planner
-  and adaptive execution (which can still switch to a broadcast from runtime
-  sizes, or split skewed partitions).
+* ``small_side``: broadcast a dimension only when its size is *proven*
+  bounded by counting its rows (partial counts per task, no column data
+  read after pruning, no large shuffle).  The check runs once per distinct
+  plan and session (keyed by ``semanticHash``).  Beyond
+  the bound the plain join is left to the planner and adaptive execution,
+  which can still switch to a broadcast from measured runtime sizes, or
+  split skewed partitions.
 * ``left_join_split_nulls``: a left join whose fact-side key is often NULL
   (gifts without partner) would hash every NULL key into one reducer.  The
   NULL rows cannot match, so they bypass the shuffle and are appended with
@@ -15,35 +18,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 64 MiB: comfortably broadcastable to every executor, tiny next to the facts.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Dimensions up to a million rows (a few narrow columns: tens of MB) are
+# broadcast; every executor then joins its own fact rows without a shuffle.
+BROADCAST_MAX_ROWS = 1_000_000
+CONF_KEY = "spark.donorlens.broadcastMaxRows"
 
+_proven: dict[tuple[int, int, int], bool] = {}
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job is run)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. Spark Connect)
-        return None
 
+def broadcast_max_rows(df: DataFrame) -> int:
+    """Row bound for broadcasting: ``spark.donorlens.broadcastMaxRows`` if the
+    session sets it, else BROADCAST_MAX_ROWS."""
+    value = df.sparkSession.conf.get(CONF_KEY, None)
+    return int(value) if value not in (None, "") else BROADCAST_MAX_ROWS
 
-def broadcast_limit(df: DataFrame) -> int:
-    """Broadcast limit in bytes: ``spark.donorlens.broadcastLimitBytes`` if
-    the session sets it, else BROADCAST_LIMIT_BYTES."""
-    try:
-        value = df.sparkSession.conf.get("spark.donorlens.broadcastLimitBytes", None)
-    except Exception:  # noqa: BLE001
-        value = None
-    return int(value) if value not in (None, "") else BROADCAST_LIMIT_BYTES
 
+def proven_small(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (a bounded scan)."""
+    if max_rows <= 0:
+        return False
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _proven:
+        _proven[key] = df.count() <= max_rows
+    return _proven[key]
 
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    limit = broadcast_limit(df) if limit is None else limit
-    size = estimated_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
+
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    bound = broadcast_max_rows(df) if max_rows is None else max_rows
+    return F.broadcast(df) if proven_small(df, bound) else df
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: Column, how: str = "left") -> DataFrame:

@@ -407,7 +407,7 @@ class TestdataTables:
 
     @classmethod
     def for_session(cls, spark: SparkSession, sf_dir: str) -> TestdataTables:
-        key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+        key = (id(spark), sf_dir.rstrip("/"))
         inst = cls._instances.get(key)
         if inst is None:
             inst = cls._instances[key] = cls(spark, sf_dir)

@@ -13,7 +13,7 @@ from tests.conftest import MEDIUM
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "spark.donorlens.broadcastLimitBytes": "0",
+    "spark.donorlens.broadcastMaxRows": "0",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -48,15 +48,15 @@ def test_project_lookup_without_broadcast_gives_same_rows(spark):
 
     base = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
     expected = rows_of([tuple(r) for r in base.collect()], base.columns)
-    old = spark.conf.get("spark.donorlens.broadcastLimitBytes", None)
+    old = spark.conf.get("spark.donorlens.broadcastMaxRows", None)
     try:
-        spark.conf.set("spark.donorlens.broadcastLimitBytes", "0")
+        spark.conf.set("spark.donorlens.broadcastMaxRows", "0")
         df = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "<=>" in plan  # joined once on the null-safe id triple
         assert rows_of([tuple(r) for r in df.collect()], df.columns) == expected
     finally:
         if old is None:
-            spark.conf.unset("spark.donorlens.broadcastLimitBytes")
+            spark.conf.unset("spark.donorlens.broadcastMaxRows")
         else:
-            spark.conf.set("spark.donorlens.broadcastLimitBytes", old)
+            spark.conf.set("spark.donorlens.broadcastMaxRows", old)

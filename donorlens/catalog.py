@@ -100,3 +100,15 @@ QUERIES: dict[str, Query] = {
     "ledger_dates": _l(lambda g, t: LR.ledger_dates(g, "npca")),
     "legacy_history": _q(lambda t: X.legacy_history(t, Q.LEGACY_START, Q.LEGACY_END)),
 }
+
+
+def register_views(spark: SparkSession, sf_dir: str, names=None, prefix: str = "") -> list[str]:
+    """Expose registered reports as temporary views, so they can be queried
+    from Spark SQL like the table functions they replace
+    (``SELECT ... FROM gift_ledger WHERE ...``; the outer predicates are
+    pushed into the report's plan by the optimizer)."""
+    done = []
+    for name in names or QUERIES:
+        QUERIES[name](spark, sf_dir).createOrReplaceTempView(prefix + name)
+        done.append(prefix + name)
+    return done

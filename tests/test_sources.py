@@ -41,3 +41,21 @@ def test_report_export_is_semicolon_text(spark, tables):
     back = spark.read.option("sep", ";").option("header", "true").csv(path)
     assert back.columns == ["partner_id", "description", "bus"]
     assert back.count() == df.count()
+
+
+def test_reports_as_sql_views(spark):
+    from donorlens.catalog import register_views
+    from tests.conftest import SMALL
+
+    register_views(spark, SMALL, ["gift_ledger", "donor_profile"], prefix="v_")
+    one = spark.sql(f"SELECT COUNT(*) AS n FROM v_gift_ledger WHERE partner_id = {Q.ONE_PARTNER}").first().n
+    direct = X.gift_ledger(spark_tables(spark), Q.LEDGER_START, Q.LEDGER_END, Q.ONE_PARTNER).count()
+    assert one == direct
+    assert spark.sql("SELECT COUNT(*) AS n FROM v_donor_profile").first().n > 0
+
+
+def spark_tables(spark):
+    from donorlens.sources import TestdataTables
+    from tests.conftest import SMALL
+
+    return TestdataTables.for_session(spark, SMALL)

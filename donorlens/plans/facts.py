@@ -87,9 +87,12 @@ def posted_lines(
 ) -> DataFrame:
     """Move lines in [start, end] on the given ledger codes.
 
-    The posting header (move) is joined only when its name is reported: the
-    line's ``move_id`` is a mandatory foreign key of the ledger, so the inner
-    join never removes a line and is skipped otherwise.
+    The posting header (move) supplies only its name.  A line's ``move_id``
+    is a mandatory foreign key and the move id its primary key, so the join
+    neither drops nor repeats lines; it is written as a left join to the
+    moves grouped on their id, which lets the optimizer remove the join
+    altogether from every report that does not read the move name (all
+    aggregated reports), while the extracts that print it keep it.
     """
     lines = t.account_move_line.where(_between("date", start, end))
     lines = lookup(lines, accounts(t), F.col("account_id") == F.col("aa_id"), "inner")
@@ -99,8 +102,8 @@ def posted_lines(
         company = t.res_company.select(F.col("id").alias("rc_id"), F.col("name").alias("rc_name"))
         lines = lookup(lines, company, F.col("company_id") == F.col("rc_id"), "inner")
     if with_move:
-        moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("am_name"))
-        lines = lines.join(moves, F.col("move_id") == F.col("am_id"), "inner")
+        moves = t.account_move.groupBy(F.col("id").alias("am_id")).agg(F.first("name").alias("am_name"))
+        lines = lines.join(moves, F.col("move_id") == F.col("am_id"), "left")
     if projects:
         lines = with_projects(lines, t)
     return lines

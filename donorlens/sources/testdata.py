@@ -431,8 +431,9 @@ class TestdataTables:
         """The driver writes each table as one file with one row group, which
         Spark reads in a single task.  When such a scan is large, spread it
         round-robin over the cluster's cores so the projections and joins
-        fused after it run in parallel.  A real multi-file dataset already
-        has many splits and is left alone."""
+        fused after it run in parallel.  Rows are hashed on the table's key
+        column, so a retried task rebuilds exactly the same partitions.  A
+        real multi-file dataset already has many splits and is left alone."""
         try:
             import pyarrow.parquet as pq
 
@@ -442,7 +443,7 @@ class TestdataTables:
             return df
         cores = self.spark.sparkContext.defaultParallelism
         tasks = min(cores, rows // self.SPREAD_MIN_ROWS)
-        return df.repartition(tasks) if tasks > groups else df
+        return df.repartition(tasks, df.columns[0]) if tasks > groups else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:

@@ -28,19 +28,6 @@ from .profile import donor_profile
 CATEGORY_ACCOUNTS = ("732000", "732100", "499010")
 AMOUNT = "decimal(16,2)"
 
-GIFT_COLUMNS = (
-    "partner_id", "datum", "giftcatverwerkt", "giftcatbedrag", "bedrag", "description", "dimensie1",
-    "dimensie2", "dimensie3", "code1", "code2", "code3", "project_code", "project", "grootboekrek", "boeking",
-    "boeking_type", "vzw",
-)
-OUTPUT = (
-    "partner_id", "datum", "giftcatverwerkt", "giftcataantal", "giftcatdonateur", "giftcatbedrag", "bedrag",
-    "description", "voornaam", "achternaam", "straat", "huisnummer", "bus", "postcode", "gemeente", "land",
-    "adres_status", "email_ontvangen", "post_ontvangen", "email", "telefoonnr", "dimensie1", "dimensie2",
-    "dimensie3", "code1", "code2", "code3", "project_code", "project", "grootboekrek", "boeking", "boeking_type",
-    "vzw",
-)
-
 
 def _dims() -> list:
     return [
@@ -92,10 +79,6 @@ def _draft(t, start, end) -> DataFrame:
     )
 
 
-_PARTNER_OUTPUT = ("voornaam", "achternaam", "straat", "huisnummer", "bus", "postcode", "gemeente", "land",
-                   "adres_status", "email_ontvangen", "post_ontvangen", "email", "telefoonnr")
-
-
 def _enrich(t, gifts: DataFrame) -> DataFrame:
     """Attach partner columns to de-duplicated narrow gifts.
 

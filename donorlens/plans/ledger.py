@@ -397,11 +397,6 @@ def _gift_ledger(t, start, end, codes) -> GiftLedger:
 # Legacies
 # ============================================================================
 LEGACY_PROJECT_PATTERN = "L-%"
-LEGACY_COLUMNS = (
-    "date", "jaar", "amount", "partner_id", "huidige_lidmaatschap_status", "lidnummer", "partner",
-    "description", "ref", "dimensie1", "dimensie2", "dimensie3", "project_code", "project", "grootboekrek",
-    "grootboekrek_naam", "vzw", "boeking",
-)
 
 
 def legacy_ledger(t, start, end) -> DataFrame:

@@ -140,3 +140,48 @@ def test_unknown_period_is_rejected(spark):
     t = Tables(spark)
     with pytest.raises(ValueError):
         X.marketing_income(t, "XYZ")
+
+
+def _legacy_tables(spark, **partner_kw):
+    projects = [(1, "L-00001", "Legaat")]
+    return Tables(
+        spark,
+        res_partner=[partner(1, **partner_kw)],
+        account_move=MOVES,
+        account_analytic_account=projects,
+        account_move_line=[line(1, dt.date(2020, 5, 1), "100.00", account=3)],
+    )
+
+
+def test_legacy_needs_known_country_and_active_or_deceased(spark):
+    assert X.legacy_ledger(_legacy_tables(spark), "2020-01-01", "2020-12-31").count() == 1
+    assert X.legacy_ledger(_legacy_tables(spark, country_id=None), "2020-01-01", "2020-12-31").count() == 0
+    gone = _legacy_tables(spark, active=False, deceased=False)
+    assert X.legacy_ledger(gone, "2020-01-01", "2020-12-31").count() == 0
+    dead = _legacy_tables(spark, active=False, deceased=True)
+    assert X.legacy_ledger(dead, "2020-01-01", "2020-12-31").count() == 1
+
+
+def test_categories_keep_booked_lines_without_partner(spark):
+    t = Tables(
+        spark,
+        account_move=MOVES,
+        account_analytic_account=PROJECTS,
+        account_move_line=[line(None, dt.date(2020, 5, 1), "300.00"), line(7, dt.date(2020, 5, 2), "5.00")],
+    )
+    rows = sorted(CAT.gift_categories(t, "CST", "2020-01-01", "2020-12-31").collect(), key=lambda r: r.bedrag)
+    # partner 7 has no partner row: reported like a gift without partner
+    assert [(r.partner_id, r.giftcatdonateur, r.giftcataantal, r.giftcatbedrag) for r in rows] == [
+        (None, "Private persoon", 2, 1), (None, "Private persoon", 2, 2)]
+
+
+def test_bus_rules_per_extract(spark):
+    hist = [(1, dt.date(2020, 5, 1), Decimal("5.00"), "x", "F-1", None)]
+    base = dict(account_move=MOVES, account_analytic_account=PROJECTS,
+                account_move_line=[line(1, dt.date(2020, 5, 1), "10.00")], res_partner_payment_history=hist)
+    for bus, erp_gift, erp_income, history in (("", "", "", ""), ("B", "B", "bus B", "B"), (None, "", "", None)):
+        t = Tables(spark, res_partner=[partner(1, street_bus=bus)], **base)
+        gifts = {r.bron: r.bus for r in X.gift_ledger(t, "2020-01-01", "2020-12-31").collect()}
+        income = {r.bron: r.bus for r in X.marketing_income(t, "CST", "2020-01-01", "2020-12-31").collect()}
+        assert gifts == {"erp": erp_gift, "npca": history}
+        assert income == {"erp": erp_income, "npca": history}

@@ -63,19 +63,21 @@ def fiscal_certificates(ledger: GiftLedger, minimum: int = CERTIFICATE_MINIMUM)
 
 
 # ---------------------------------------------------------------- pledges
-def _valid_mandates(t) -> DataFrame:
-    """Number of valid direct-debit mandates per partner (each one repeats
-    the partner's orders in the report, so it multiplies the sum)."""
+def _valid_mandates(t, dedupe: bool = False) -> DataFrame:
+    """Number of valid direct-debit mandates per partner.  In the report each
+    mandate repeats the partner's orders, so it multiplies the sum; with
+    ``dedupe`` every partner with a valid mandate counts once."""
     banks = t.res_partner_bank.select(F.col("id").alias("pb_id"), F.col("partner_id").alias("m_partner"))
     mandates = t.sdd_mandate.where(F.col("state") == "valid").select(F.col("partner_bank_id").alias("sm_bank"))
-    return (
+    counted = (
         banks.join(mandates, F.col("pb_id") == F.col("sm_bank"), "inner")
         .groupBy("m_partner")
         .agg(F.count(F.lit(1)).alias("mandates"))
     )
+    return counted.select("m_partner", F.lit(1).cast("bigint").alias("mandates")) if dedupe else counted
 
 
-def annualised_pledges(t, as_of) -> DataFrame:
+def annualised_pledges(t, as_of, dedupe_mandates: bool = False) -> DataFrame:
     """Standing orders of active partners, not cancelled on ``as_of``:
     yearly amounts as they are, monthly amounts times 12."""
     day = as_date(as_of)
@@ -84,7 +86,7 @@ def annualised_pledges(t, as_of) -> DataFrame:
         F.col("interval_type").isin("J", "M") & R.not_cancelled("donation_cancel", day)
     )
     orders = orders.join(active, F.col("partner_id") == F.col("a_id"), "left_semi")
-    orders = orders.join(_valid_mandates(t), F.col("partner_id") == F.col("m_partner"), "inner")
+    orders = orders.join(_valid_mandates(t, dedupe_mandates), F.col("partner_id") == F.col("m_partner"), "inner")
     per = orders.groupBy("partner_id", "interval_type").agg(
         F.sum(F.col("donation_amount") * F.col("mandates")).alias("s")
     )
@@ -124,13 +126,13 @@ def _ytd_gift_totals(t, start, end) -> DataFrame:
 
 def certificate_donors_missing_id(
     t, as_of, profile_since_year: int | None = None, history_months: int = 13,
-    minimum: int = CERTIFICATE_MINIMUM,
+    minimum: int = CERTIFICATE_MINIMUM, dedupe_mandates: bool = False,
 ) -> DataFrame:
     day = as_date(as_of)
     start, end = resolve_period("YTD", as_of=day)
     since = day.year - 1 if profile_since_year is None else profile_since_year
     ytd = _ytd_gift_totals(t, start, end)
-    pledges = annualised_pledges(t, day).select("partner_id", "bedrag")
+    pledges = annualised_pledges(t, day, dedupe_mandates).select("partner_id", "bedrag")
     recurring = recurring_project_donors(
         t, start, end, months_before(day, history_months), ordered=False
     ).select("partner_id", F.col("bedrag").cast(TOTAL).alias("bedrag"))

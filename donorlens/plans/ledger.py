@@ -263,9 +263,12 @@ class GiftLedger:
         from ..session import checkpoint_dir
 
         root = f"{checkpoint_dir(spark).rstrip('/')}/{name or 'gift-ledger-' + uuid.uuid4().hex}"
-        self.facts.write.mode("overwrite").parquet(f"{root}/facts")
+        # partitioned by year: date-limited reports on the stored ledger
+        # read only their years
+        self.facts.write.mode("overwrite").partitionBy("jaar").parquet(f"{root}/facts")
         self.partners.write.mode("overwrite").parquet(f"{root}/partners")
-        return GiftLedger(spark.read.parquet(f"{root}/facts"), spark.read.parquet(f"{root}/partners"))
+        facts = spark.read.parquet(f"{root}/facts").select(*self.facts.columns)
+        return GiftLedger(facts, spark.read.parquet(f"{root}/partners"))
 
     def rows(self, fact_filter: Column | None = None, partners: DataFrame | None = None) -> DataFrame:
         """The wide ledger restricted by a fact predicate (pushed below the join)."""

@@ -185,3 +185,15 @@ def test_bus_rules_per_extract(spark):
         income = {r.bron: r.bus for r in X.marketing_income(t, "CST", "2020-01-01", "2020-12-31").collect()}
         assert gifts == {"erp": erp_gift, "npca": history}
         assert income == {"erp": erp_income, "npca": history}
+
+
+def test_mandate_fanout_is_kept_unless_deduplicated(spark):
+    from donorlens.operators import certificates as CERT
+
+    orders = [(1, 1, 1, "J", 1, Decimal("50.00"), dt.date(2021, 1, 1), dt.date(2020, 1, 1), dt.date(2020, 1, 1), None)]
+    banks = [(1, 1, "BIC", "BE1"), (2, 1, "BIC", "BE2")]
+    mandates = [(1, 1, "valid"), (2, 2, "valid")]
+    t = Tables(spark, res_partner=[partner(1)], donation_partner_account=orders, res_partner_bank=banks,
+               sdd_mandate=mandates)
+    assert CERT.annualised_pledges(t, "2020-06-30").first().bedrag == Decimal("100.00")
+    assert CERT.annualised_pledges(t, "2020-06-30", dedupe_mandates=True).first().bedrag == Decimal("50.00")

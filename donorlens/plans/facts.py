@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .joins import lookup, small_side
+from .joins import broadcast_max_rows, lookup, proven_small
 
 
 def _between(col: str, start, end):
@@ -59,12 +59,9 @@ def with_projects(df: DataFrame, t) -> DataFrame:
     id triples the facts use are resolved first (map-side de-duplicated, so
     only a few rows per task travel) and the facts are joined once on the
     triple, null-safe, instead of being shuffled for each dimension."""
-    # grouped on its primary key (one row per id, as stored): an unused
-    # lookup can then be removed by the optimizer
-    table = t.account_analytic_account.groupBy("id").agg(F.first("code").alias("code"), F.first("name").alias("name"))
-    projects = small_side(table)
-    if projects is not table:  # broadcast chosen
-        return _project_lookups(df, projects)
+    table = t.account_analytic_account.select("id", "code", "name")
+    if proven_small(table, broadcast_max_rows(table)):
+        return _project_lookups(df, F.broadcast(table))
     triples = df.select(*DIM_KEYS).distinct()
     resolved = _project_lookups(triples, table).select(
         *[F.col(c).alias(f"t_{c}") for c in DIM_KEYS],
@@ -91,10 +88,11 @@ def posted_lines(
 
     The posting header (move) supplies only its name.  A line's ``move_id``
     is a mandatory foreign key and the move id its primary key, so the join
-    neither drops nor repeats lines; it is written as a left join to the
-    moves grouped on their id, which lets the optimizer remove the join
-    altogether from every report that does not read the move name (all
-    aggregated reports), while the extracts that print it keep it.
+    neither drops nor repeats lines.  A move table of proven small size is
+    broadcast.  A large one is left-joined as moves grouped on their id,
+    which lets the optimizer remove the join altogether from every report
+    that does not read the move name (all aggregated reports), while the
+    extracts that print it keep it (the grouping shares the join's shuffle).
     """
     lines = t.account_move_line.where(_between("date", start, end))
     lines = lookup(lines, accounts(t), F.col("account_id") == F.col("aa_id"), "inner")
@@ -104,8 +102,12 @@ def posted_lines(
         company = t.res_company.select(F.col("id").alias("rc_id"), F.col("name").alias("rc_name"))
         lines = lookup(lines, company, F.col("company_id") == F.col("rc_id"), "inner")
     if with_move:
-        moves = t.account_move.groupBy(F.col("id").alias("am_id")).agg(F.first("name").alias("am_name"))
-        lines = lines.join(moves, F.col("move_id") == F.col("am_id"), "left")
+        moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("am_name"))
+        if proven_small(moves, broadcast_max_rows(moves)):
+            lines = lines.join(F.broadcast(moves), F.col("move_id") == F.col("am_id"), "left")
+        else:
+            by_id = moves.groupBy("am_id").agg(F.first("am_name").alias("am_name"))
+            lines = lines.join(by_id, F.col("move_id") == F.col("am_id"), "left")
     if projects:
         lines = with_projects(lines, t)
     return lines

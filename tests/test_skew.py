@@ -60,3 +60,24 @@ def test_project_lookup_without_broadcast_gives_same_rows(spark):
             spark.conf.unset("spark.donorlens.broadcastMaxRows")
         else:
             spark.conf.set("spark.donorlens.broadcastMaxRows", old)
+
+
+def test_unused_move_join_is_removed_when_moves_are_large(spark):
+    from donorlens.operators import ledger_reports as LR
+    from donorlens.plans.ledger import gift_ledger
+    from tests.conftest import SMALL
+
+    old = spark.conf.get("spark.donorlens.broadcastMaxRows", None)
+    try:
+        spark.conf.set("spark.donorlens.broadcastMaxRows", "0")
+        t = TestdataTables(spark, SMALL)
+        led = gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END)
+        unused = LR.unique_donors(led)._jdf.queryExecution().optimizedPlan().toString()
+        used = led.wide()._jdf.queryExecution().optimizedPlan().toString()
+        assert "first(am_name" not in unused  # no join with the moves at all
+        assert "first(am_name" in used
+    finally:
+        if old is None:
+            spark.conf.unset("spark.donorlens.broadcastMaxRows")
+        else:
+            spark.conf.set("spark.donorlens.broadcastMaxRows", old)

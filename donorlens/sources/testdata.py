@@ -73,7 +73,7 @@ BANK_STATEMENTS = (
     (3, "B-100-1", "draft"),
     (4, "C-288-4", "draft"),
 )
-COMPANIES = ((1, "Natuur vzw"), (2, "Beheer vzw"))
+COMPANIES = ((1, "Vereniging A vzw"), (2, "Beheer B vzw"))
 COUNTRIES = (
     (18, "Frankrijk"),
     (19, "Duitsland"),

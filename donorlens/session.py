@@ -21,20 +21,21 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    # batch jobs: no Python stack capture on every DataFrame call (it costs
-    # milliseconds per call while plans are built)
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply DEFAULTS where the session has no value yet."""
+    """Apply DEFAULTS where the session has no value yet.
+
+    Only runtime settings are touched; a setting the session does not allow
+    to change at runtime is left as it is."""
     conf = spark.conf
     for key, value in DEFAULTS.items():
-        if conf.get(key, None) in (None, ""):
-            conf.set(key, value)
-    # Structured, deterministic session time zone is required for dates.
-    conf.set("spark.sql.session.timeZone", conf.get("spark.sql.session.timeZone") or "UTC")
+        try:
+            if conf.get(key, None) in (None, ""):
+                conf.set(key, value)
+        except Exception:  # noqa: BLE001 - static or unsupported setting
+            continue
     return spark
 
 
@@ -67,6 +68,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("DONORLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # batch jobs: no Python stack capture on every DataFrame call (it
+        # costs milliseconds per call while plans are built); static setting
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()

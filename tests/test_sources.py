@@ -59,3 +59,11 @@ def spark_tables(spark):
     from tests.conftest import SMALL
 
     return TestdataTables.for_session(spark, SMALL)
+
+
+def test_configure_leaves_static_settings_alone(spark, monkeypatch):
+    from donorlens import session
+
+    monkeypatch.setitem(session.DEFAULTS, "spark.python.sql.dataFrameDebugging.enabled", "false")
+    monkeypatch.setitem(session.DEFAULTS, "spark.sql.catalogImplementation", "in-memory")
+    session.configure(spark)  # must not raise on static settings

@@ -26,3 +26,20 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert len(df.columns) == 55
     assert df.count() >= 0
+
+
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+                 "DateType()": "DATE", "BooleanType()": "BOOLEAN", "DoubleType()": "DOUBLE"}
+
+
+def _duck_type(dtype) -> str:
+    text = repr(dtype)
+    return SPARK_TO_DUCK.get(text) or text.replace("DecimalType", "DECIMAL").replace(" ", "")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_column_types_agree(spark, duck_small, name):
+    sdf = E.queries()[name](spark, SMALL)
+    rel = duck_small.sql(E.oracle_sql()[name])
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {f.name: _duck_type(f.dataType) for f in sdf.schema} == duck

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from donorlens.llm.common import small_batches
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _LOADED: dict = {}
 
@@ -67,11 +69,10 @@ def token_starts(text: str, pattern) -> list[int]:
 def _encode_batches(ranks: bytes, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tables(ranks, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = [encode_text(t or "", encoder) for t in batch.column("text").to_pylist()]
-            kept = [batch.column(n) for n in batch.schema.names if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(ids, pa.binary())], [*names, "ids"])
 
     return run
 
@@ -112,7 +113,7 @@ def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _decode_batches(ranks: bytes, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, raw = _tables(ranks, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [decode_ids(ids or b"", raw) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 

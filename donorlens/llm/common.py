@@ -42,9 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings of an Arrow column; null counts as empty."""
-    return ["" if t is None else t for t in column.to_pylist()]
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: bounds what a Python worker builds at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 # --- word hashing over Arrow buffers -----------------------------------------
@@ -129,8 +131,3 @@ def text_bytes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     for row in range(len(column)):
         yield row, data[offsets[row]: offsets[row + 1]] if valid[row] else data[:0]
-
-
-def column_or_null(df: DataFrame, name: str, kind: str):
-    """The named column cast to ``kind``; null where the table lacks it."""
-    return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind).alias(name)

@@ -99,37 +99,48 @@ def mix(docs: DataFrame, max_repeats: float = 2.0, target_entropy: float | None
     replace input columns of the same name."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("source"),
-                       F.col("doc_id").cast("string").alias("id"), token_count().alias("n_tokens"))
+                       F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("text_hash"), token_count().alias("n_tokens"))
     plans = written(plan(rows.select("source", "n_tokens"), max_repeats, target_entropy, block_tokens), "mixing-plan")
-    plan_of = plans.select(F.col("source").alias("plan_source"), "tokens", "weight", "repeats", "n_blocks", F.floor("repeats").alias("passes"))
-    rows = rows.join(plan_of, F.col("source").eqNullSafe(F.col("plan_source")), "left")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "row.text"), F.col("n_blocks")))
-    taken = _partial_pass(rows, plan_of, seed)
-    out = rows.join(taken, F.col("source").eqNullSafe(F.col("taken_source")) & (F.col("block") == F.col("taken_block")), "left")
-    copies = (F.col("passes") + F.coalesce("taken", F.lit(False)).cast("int")).cast("long")
+    plans = written(_with_last_block(rows, plans, seed), "mixing-cuts")  # one row a source
+    rows = rows.join(plans.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")), "left")
+    taken = _place(seed) <= F.col("last")
+    copies = (F.floor("repeats") + F.coalesce(taken, F.lit(False)).cast("int")).cast("long")
     added = {"n_tokens", "weight", "repeats", "copies"}
-    return out.select(*[F.col(f"row.`{c}`") for c in names if c not in added], "n_tokens", "weight", "repeats", copies.alias("copies"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in names if c not in added], "n_tokens", "weight", "repeats", copies.alias("copies"))
 
 
-def _partial_pass(rows: DataFrame, plan_of: DataFrame, seed: int) -> DataFrame:
-    """(taken_source, taken_block, taken): blocks of the last, partial pass.
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.col("n_blocks"))
 
-    The running sum over a source's permuted blocks goes through 1024 bins of
-    the permutation key, so that no source's blocks meet in one task."""
-    blocks = (rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-              .join(plan_of, F.col("source").eqNullSafe(F.col("plan_source")))
-              .withColumn("key", F.xxhash64(F.lit(seed), "passes", "source", "block"))
-              .withColumn("bin", F.shiftrightunsigned("key", 54))
-              .select("source", "block", "block_tokens", "key", "bin", ((F.col("repeats") - F.col("passes")) * F.col("tokens")).alias("budget")))
+
+def _place(seed: int, block: Column | None = None) -> Column:
+    """Place of a block in the permutation of the partial pass: (bin, key, block)."""
+    block = _block(seed) if block is None else block
+    key = F.xxhash64(F.lit(seed), F.floor("repeats"), "source", block)
+    return F.struct(F.shiftrightunsigned(key, 54).alias("bin"), key.alias("key"), block.alias("block"))
+
+
+def _with_last_block(rows: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+    """``plans`` with ``last``, the place of the last block that the partial
+    pass of a source takes (null: none).
+
+    The running sum over a source's permuted blocks goes through the 1024
+    bins of the places, so that no source's blocks meet in one task."""
+    plan_of = plans.select(F.col("source").alias("plan_source"), "tokens", "repeats", "n_blocks")
+    sums = (rows.join(plan_of, F.col("source").eqNullSafe(F.col("plan_source")))
+            .groupBy("source", "tokens", "repeats", _block(seed).alias("block")).agg(F.sum("n_tokens").alias("block_tokens")))
+    blocks = sums.select("source", "block_tokens", _place(seed, F.col("block")).alias("place"),
+                         ((F.col("repeats") - F.floor("repeats")) * F.col("tokens")).alias("budget"))
+    blocks = blocks.withColumn("bin", F.col("place.bin"))
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (blocks.groupBy("source", "bin").agg(F.sum("block_tokens").alias("bin_tokens"))
             .select(F.col("source").alias("bin_source"), F.col("bin").alias("bin_no"), F.coalesce(F.sum("bin_tokens").over(earlier), F.lit(0)).alias("before_bin")))
-    inside = Window.partitionBy("source", "bin").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("block_tokens").over(inside), F.lit(0))
-    return (blocks.withColumn("within", before)
+    inside = Window.partitionBy("source", "bin").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    last = (blocks.withColumn("within", F.coalesce(F.sum("block_tokens").over(inside), F.lit(0)))
             .join(bins, F.col("source").eqNullSafe(F.col("bin_source")) & (F.col("bin") == F.col("bin_no")))
-            .select(F.col("source").alias("taken_source"), F.col("block").alias("taken_block"),
-                    (F.col("before_bin") + F.col("within") < F.col("budget") - 1e-6).alias("taken")))
+            .where(F.col("before_bin") + F.col("within") < F.col("budget") - 1e-6)
+            .groupBy("source").agg(F.max("place").alias("last")).select(F.col("source").alias("last_source"), "last"))
+    return plans.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -38,12 +38,13 @@ with a null doc_id get their set size and a null component.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from donorlens.llm.common import hash_words, mix64, text_bytes, written
@@ -281,7 +282,8 @@ def _verify_batches(shingle: int, percent: int) -> Callable:
 def _near(percent: int) -> Column:
     """Size and Hamming bound of a pair (na, sa), (nb, sb)."""
     n, m = F.greatest("na", "nb"), F.least("na", "nb")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_WORDS)]  # compiled, unlike an array lambda
+    apart = functools.reduce(lambda x, y: x + y, bits)
     return (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -318,20 +320,31 @@ class NgramJaccardJoin:
         needed = written(entries.withColumn("band", F.when(salt == 0, band))
                          .join(safe, (F.col("fp") == F.col("safe_fp")) & (F.col("band") == F.col("safe_band")), "left_anti")
                          .select("sig", "fp"), "long-runs")
-        first = needed.groupBy("sig").agg(F.min("fp").alias("fa")).select(F.col("sig").alias("first_sig"), "fa")
-        stars = needed.join(first, F.col("sig") == F.col("first_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb"))
+        # the class of a run that is in most long runs is the least edited one: the centre of the run's star
+        runs_of = needed.groupBy("fp").agg(F.count(F.lit(1)).alias("n_runs")).select(F.col("fp").alias("runs_of"), "n_runs")
+        centre = (needed.join(runs_of, F.col("fp") == F.col("runs_of")).groupBy("sig").agg(F.max(F.struct("n_runs", "fp")).alias("centre"))
+                  .select(F.col("sig").alias("centre_sig"), F.col("centre.fp").alias("fa")))
+        stars = needed.join(centre, F.col("sig") == F.col("centre_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb"))
         return pairs.union(stars).distinct(), needed
 
     def _class_side(self, side: str) -> DataFrame:
         return self.classes.select(F.col("fp").alias(f"fp_{side}"), F.col("rep.doc_id").alias(side), F.col("rep.variant").alias(f"v{side}"),
                                    F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
 
+    def _texts_of(self, wanted: DataFrame) -> DataFrame:
+        """Texts of the wanted (id, v).  Their hashes modulo 2**20, a table
+        bounded by that, first keep the other texts out of the shuffle."""
+        bucket = F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(1 << 20))
+        buckets = F.broadcast(wanted.select(bucket.alias("bucket")).distinct())
+        near = self.docs.join(buckets, F.pmod(F.xxhash64(F.lit(3), "doc_id", "variant"), F.lit(1 << 20)) == F.col("bucket"), "left_semi")
+        return (near.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("variant") == F.col("v")), "left_semi")
+                .dropDuplicates(["doc_id", "variant"]))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Links (a, b) among pairs (a, va, b, vb) of representatives, on the whole texts."""
         pairs = written(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("id"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
-        texts = (self.docs.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("variant") == F.col("v")), "left_semi")
-                 .dropDuplicates(["doc_id", "variant"]))
+        texts = self._texts_of(wanted)
         both = (pairs.join(texts.toDF("b", "vb", "text_b"), ["b", "vb"]).join(texts.toDF("a", "va", "text_a"), ["a", "va"])
                 .select("a", "va", "b", "text_a", "text_b"))
         return both.mapInArrow(_verify_batches(self.shingle, self.percent), "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
@@ -348,8 +361,8 @@ class NgramJaccardJoin:
         member = connected_components(links, "a", "b")
         k = (needed.join(self._class_side("a"), F.col("fp") == F.col("fp_a")).join(member, F.col("a") == F.col("node"), "left")
              .select("sig", "a", "va", "na", "sa", F.coalesce("component", "a").alias("ca")))
-        apart = k.groupBy("sig").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select(F.col("sig").alias("apart_sig"))
-        k = written(k.join(apart, F.col("sig") == F.col("apart_sig"), "left_semi"), "apart")
+        run = Window.partitionBy("sig")
+        k = written(k.withColumn("low", F.min("ca").over(run)).withColumn("high", F.max("ca").over(run)).where("low < high").drop("low", "high"), "apart")
         if not k.isEmpty():
             other = k.select(F.col("sig").alias("sig_b"), F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("ca").alias("cb"))
             rest = (k.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(self.percent))

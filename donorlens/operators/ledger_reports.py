@@ -52,8 +52,8 @@ def _ratio(num, den):
 STAT_KEYS = ("maand", "grootboekrek", "grootboekrek_naam", "afdeling", "vzw", "gemeente", "subproject")
 # (category, grouping columns, subcategory column) of the stacked statistics
 STAT_SETS = (
-    ("Unieke giften", (), None),
-    ("Giften per maand", ("maand",), "maand"),
+    ("Totaal", (), None),
+    ("Per maand", ("maand",), "maand"),
     ("rekening", ("grootboekrek", "grootboekrek_naam"), "grootboekrek_naam"),
     ("afdeling", ("afdeling",), "afdeling"),
     ("vzw", ("vzw",), "vzw"),
@@ -94,7 +94,7 @@ def gift_statistics(ledger: GiftLedger) -> DataFrame:
     for name, keys, sub_col in STAT_SETS:
         cond = F.col("gid") == _grouping_id(keys)
         label = F.lit(name)
-        value = F.lit("Unieke giften") if sub_col is None else (
+        value = F.lit("Totaal") if sub_col is None else (
             R.month_label("maand") if sub_col == "maand" else F.col(sub_col).cast("string"))
         category = F.when(cond, label) if category is None else category.when(cond, label)
         sub = F.when(cond, value) if sub is None else sub.when(cond, value)

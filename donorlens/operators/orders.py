@@ -98,10 +98,11 @@ def orders_by_date(t, day) -> DataFrame:
 
 
 def latest_invoices(t, n: int = 100) -> DataFrame:
-    """The ``n`` most recent invoiced donation lines (newest first; equal
+    """The ``n`` most recent invoiced donation lines (newest first, lines
+    without a date before them, as descending order puts NULL first; equal
     dates by invoice number).  A distributed top-n: each partition keeps its
     own best ``n`` before the merge, nothing else reaches one task."""
     lines = t.donation_donation_line
     return lines.orderBy(
-        F.col("date_invoice").desc_nulls_last(), F.col("invoice_id").desc_nulls_last()
+        F.col("date_invoice").desc_nulls_first(), F.col("invoice_id").desc_nulls_first()
     ).limit(n)

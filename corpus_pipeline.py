@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from donorlens.llm import bpe, jaccard, lines, mixing, quality
 from donorlens.llm.common import WORD, find_package, table, written
-from donorlens.llm.queries import HELD_OUT
+from donorlens.llm.queries import held_out
 
 
 def _row(docs: DataFrame):
@@ -36,7 +36,7 @@ def _unpacked(docs: DataFrame) -> list:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     find_package(spark)
-    weights = quality.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     good = quality.scored_rows(docs, weights).where("score >= 0.5")
     return good.select(*[F.col(f"`{c}`") for c in docs.columns])
 

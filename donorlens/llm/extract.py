@@ -102,7 +102,8 @@ class _Blocks:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 _, bad, main = self.stack[-1]
-                self.blocks.append((text, self.linked, bad, main))
+                # what is left out inside an article is no neighbour of its blocks
+                self.blocks.append((text, self.linked, bad, 0 if bad else main))
             self.parts = []
         self.linked = 0
 

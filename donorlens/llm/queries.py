@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from donorlens.llm import bpe, extract, jaccard, lines, mixing, pii, quality, rules, topk, warc
 from donorlens.llm.common import table
 
-#: Rows whose remainder of crc32(doc_id) by 3 is 1 are held out from training.
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+def held_out() -> Column:
+    """Rows whose remainder of crc32(doc_id) by 3 is 1 do not train."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     scored = quality.score(docs, weights)
-    return scored.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

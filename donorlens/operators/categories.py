@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.period import resolve_period
 from ..plans import partner as P
+from ..plans.joins import left_join_spread_nulls
 from ..plans.facts import draft_lines, posted_lines, project_code, project_name
 from .profile import donor_profile
 
@@ -80,29 +81,19 @@ def _draft(t, start, end) -> DataFrame:
 
 
 def _enrich(t, gifts: DataFrame) -> DataFrame:
-    """Attach partner columns to de-duplicated narrow gifts.
-
-    Gifts of an existing partner take an inner join (a hot partner's
-    partition is split by adaptive skew handling); gifts without partner, or
-    whose partner id has no partner row, report as "no partner" - those few
-    rows bypass the join, and only they can still coincide, so only they are
-    de-duplicated again."""
+    """De-duplicate narrow gifts and attach the partner columns.
+
+    A partner id without a partner row reports as "no partner", like a
+    missing id; both can make two gifts equal, so the ids are resolved before
+    the one DISTINCT.  Gifts without partner are dealt over all tasks of both
+    joins; a hot partner is split by adaptive skew handling."""
+    known = t.res_partner.select(F.col("id").alias("known_id"))
+    gifts = left_join_spread_nulls(gifts, known, "partner_id", "known_id")
+    gifts = gifts.withColumn("partner_id", F.col("known_id")).drop("known_id").distinct()
     counts = donor_profile(t).select(F.col("partner_id").alias("pr_id"), "aantalgiften")
     pdim = P.partner_dim(t, ("country", "street", "city"))
     pdim = pdim.join(counts, F.col("p_id") == F.col("pr_id"), "left").drop("pr_id")
-    keyed = gifts.where(F.col("partner_id").isNotNull())
-    assigned = keyed.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
-    orphans = keyed.join(pdim.select("p_id"), F.col("partner_id") == F.col("p_id"), "left_anti")
-    unassigned = (
-        gifts.where(F.col("partner_id").isNull())
-        .unionByName(orphans.select(*[F.lit(None).cast("bigint").alias(c) if c == "partner_id" else F.col(c)
-                                      for c in gifts.columns]))
-        .distinct()
-    )
-    nulls = unassigned.select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in pdim.schema.fields]
-    )
-    return _project(assigned).unionByName(_project(nulls))
+    return _project(left_join_spread_nulls(gifts, pdim, "partner_id", "p_id"))
 
 
 def _project(joined: DataFrame) -> DataFrame:
@@ -135,10 +126,10 @@ def _project(joined: DataFrame) -> DataFrame:
 
 def gift_categories(t, period: str, start=None, end=None, as_of=None) -> DataFrame:
     first, last = resolve_period(period, start, end, as_of)
-    gifts = _posted(t, first, last).unionByName(_draft(t, first, last)).distinct()
+    gifts = _posted(t, first, last).unionByName(_draft(t, first, last))
     return _enrich(t, gifts)
 
 
 def draft_statement_gifts(t, period: str, start=None, end=None, as_of=None) -> DataFrame:
     first, last = resolve_period(period, start, end, as_of)
-    return _enrich(t, _draft(t, first, last).distinct())
+    return _enrich(t, _draft(t, first, last))

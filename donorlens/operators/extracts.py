@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ def gift_ledger(t, start, end, partner_id: int | None = None) -> DataFrame:
 def append_audit(spark: SparkSession, path: str, job_id: int, at: dt.datetime | None = None) -> None:
     """Record one run of an extract: (id, timestamp, job id) appended to a
     parquet table in a shared folder."""
-    at = at or dt.datetime.now().replace(microsecond=0)
-    row_id = int(at.timestamp() * 1000)
+    at = at or dt.datetime.now()
+    row_id = uuid.uuid4().int >> 65  # unique however often the extract runs
     spark.createDataFrame([(row_id, at, int(job_id))], MASTER_JOBS).coalesce(1).write.mode("append").parquet(path)
 
 

@@ -261,7 +261,7 @@ def ledger_lookup(ledger: GiftLedger, partner_id=None, date=None, amount=None, b
 
 def ledger_dates(ledger: GiftLedger, bron=None) -> DataFrame:
     """Distinct gift dates (optionally of one source) of the ledger."""
-    facts = ledger.facts if bron is None else ledger.facts.where(F.col("bron") == bron)
+    facts = ledger.bare_facts if bron is None else ledger.bare_facts.where(F.col("bron") == bron)
     # only the eligibility of the gift's partner is needed, not its columns
     eligible = ledger.partners.select("partner_id", "eligible")
     rows = facts.select("partner_id", "branch", "date").join(eligible, "partner_id", "inner")

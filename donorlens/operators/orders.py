@@ -76,7 +76,8 @@ def yearly_orders_overview(
         "interval_number", F.col("donation_amount").alias("bedrag"), "next_invoice_date", "donation_start",
         "last_invoice_date", "donation_cancel", "aanmaak_factuur", "amount_total",
     )
-    return out.orderBy(F.col("aanmaak_factuur").asc_nulls_last())
+    # orders without an invoice share one date: the order id spreads them over the sort's ranges
+    return out.orderBy(F.col("aanmaak_factuur").asc_nulls_last(), "id")
 
 
 def next_invoice_dates(t, interval_type: str = "J") -> DataFrame:

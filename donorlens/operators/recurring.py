@@ -117,4 +117,4 @@ def recurring_project_donors(t, start, end, history_start, ordered: bool = True)
         F.col("p_iets_te_verbergen").alias("iets_te_verbergen"),
         P.overleden().alias("overleden"),
     )
-    return out.orderBy(F.col("r").desc_nulls_first()) if ordered else out
+    return out.orderBy(F.col("r").desc_nulls_first(), "partner_id", "project_code") if ordered else out

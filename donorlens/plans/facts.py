@@ -5,10 +5,8 @@
 * ``draft_lines``   - bank-statement lines not yet posted
 
 Each returns one row per gift with only the columns the reports need; date
-and account predicates are applied first so they reach the scan, lookups of
-bounded size (chart of accounts, companies) are broadcast behind a size
-check, and the analytic-project triple is resolved with three lookups of the
-project table.
+and account predicates are applied first so they reach the scan, and the
+analytic-project triple is resolved with three lookups of the project table.
 """
 
 from __future__ import annotations
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from .joins import broadcast_max_rows, lookup, proven_small
+from .joins import lookup
 
 
 def _between(col: str, start, end):
@@ -52,26 +50,9 @@ def _project_lookups(df: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def with_projects(df: DataFrame, t) -> DataFrame:
-    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``).
-
-    Small project table (the usual case, size-checked): one broadcast reused
-    by all three lookups, no shuffle of the facts.  Otherwise the distinct
-    id triples the facts use are resolved first (map-side de-duplicated, so
-    only a few rows per task travel) and the facts are joined once on the
-    triple, null-safe, instead of being shuffled for each dimension."""
-    table = t.account_analytic_account.select("id", "code", "name")
-    if proven_small(table, broadcast_max_rows(table)):
-        return _project_lookups(df, F.broadcast(table))
-    triples = df.select(*DIM_KEYS).distinct()
-    resolved = _project_lookups(triples, table).select(
-        *[F.col(c).alias(f"t_{c}") for c in DIM_KEYS],
-        *[f"d{k}_{part}" for k in (1, 2, 3) for part in ("code", "name")],
-    )
-    cond = None
-    for c in DIM_KEYS:
-        eq = F.col(c).eqNullSafe(F.col(f"t_{c}"))
-        cond = eq if cond is None else cond & eq
-    return df.join(resolved, cond, "left").drop(*[f"t_{c}" for c in DIM_KEYS])
+    """Attach code/name of analytic dimensions 1-3 (``d1_code`` ... ``d3_name``)
+    by three left lookups of the project table (one scan of it, reused)."""
+    return _project_lookups(df, t.account_analytic_account.select("id", "code", "name"))
 
 
 def posted_lines(
@@ -86,13 +67,12 @@ def posted_lines(
 ) -> DataFrame:
     """Move lines in [start, end] on the given ledger codes.
 
-    The posting header (move) supplies only its name.  A line's ``move_id``
-    is a mandatory foreign key and the move id its primary key, so the join
-    neither drops nor repeats lines.  A move table of proven small size is
-    broadcast.  A large one is left-joined as moves grouped on their id,
-    which lets the optimizer remove the join altogether from every report
-    that does not read the move name (all aggregated reports), while the
-    extracts that print it keep it (the grouping shares the join's shuffle).
+    The posting header (move) supplies only its name.  Where the name is
+    wanted the lines are joined with the moves (inner join, at every size: a
+    line without a move goes, a move that is there twice repeats its lines).
+    Reports that do not print the name leave the join out (``with_move``
+    False): a line's ``move_id`` is a mandatory foreign key to the moves'
+    primary key, so there it neither drops nor repeats lines.
     """
     lines = t.account_move_line.where(_between("date", start, end))
     lines = lookup(lines, accounts(t), F.col("account_id") == F.col("aa_id"), "inner")
@@ -103,11 +83,7 @@ def posted_lines(
         lines = lookup(lines, company, F.col("company_id") == F.col("rc_id"), "inner")
     if with_move:
         moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("am_name"))
-        if proven_small(moves, broadcast_max_rows(moves)):
-            lines = lines.join(F.broadcast(moves), F.col("move_id") == F.col("am_id"), "left")
-        else:
-            by_id = moves.groupBy("am_id").agg(F.first("am_name").alias("am_name"))
-            lines = lines.join(by_id, F.col("move_id") == F.col("am_id"), "left")
+        lines = lines.join(moves, F.col("move_id") == F.col("am_id"), "inner")
     if projects:
         lines = with_projects(lines, t)
     return lines

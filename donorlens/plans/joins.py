@@ -1,16 +1,14 @@
 """Join helpers that keep the physical plan scale-safe.
 
-* ``small_side``: broadcast a dimension only when its size is *proven*
-  bounded by counting its rows (partial counts per task, no column data
-  read after pruning, no large shuffle).  The check runs once per distinct
-  plan and session (keyed by ``semanticHash``).  Beyond
-  the bound the plain join is left to the planner and adaptive execution,
-  which can still switch to a broadcast from measured runtime sizes, or
-  split skewed partitions.
-* ``left_join_split_nulls``: a left join whose fact-side key is often NULL
-  (gifts without partner) would hash every NULL key into one reducer.  The
-  NULL rows cannot match, so they bypass the shuffle and are appended with
-  NULL dimension columns.
+* ``lookup``: a plain join.  Spark broadcasts a side whose size it knows to be
+  below its own threshold, from file statistics or, adaptively, from measured
+  stage sizes; anything larger is a shuffle join with skewed partitions split.
+  Nothing is counted while plans are built, so the plan rule is the same at
+  every size.
+* ``left_join_spread_nulls``: a left join whose fact-side key is often NULL
+  (gifts without partner) would hash every NULL key into one reducer.  NULL
+  keys cannot match, so they are replaced by a spread value that the join
+  condition excludes; the facts are read once.
 """
 
 from __future__ import annotations
@@ -18,45 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimensions up to a million rows (a few narrow columns: tens of MB) are
-# broadcast; every executor then joins its own fact rows without a shuffle.
-BROADCAST_MAX_ROWS = 1_000_000
-CONF_KEY = "spark.donorlens.broadcastMaxRows"
-
-_proven: dict[tuple[int, int, int], bool] = {}
-
-
-def broadcast_max_rows(df: DataFrame) -> int:
-    """Row bound for broadcasting: ``spark.donorlens.broadcastMaxRows`` if the
-    session sets it, else BROADCAST_MAX_ROWS."""
-    value = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(value) if value not in (None, "") else BROADCAST_MAX_ROWS
-
-
-def proven_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded scan)."""
-    if max_rows <= 0:
-        return False
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    if key not in _proven:
-        _proven[key] = df.count() <= max_rows
-    return _proven[key]
-
-
-def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    bound = broadcast_max_rows(df) if max_rows is None else max_rows
-    return F.broadcast(df) if proven_small(df, bound) else df
+SPREAD = 4096
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: Column, how: str = "left") -> DataFrame:
-    """Join a lookup table, broadcasting it only behind the size check."""
-    return fact.join(small_side(dim), on, how)
+    """Join a lookup table; Spark picks the strategy from its size."""
+    return fact.join(dim, on, how)
 
 
-def left_join_split_nulls(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
-    """``fact LEFT JOIN dim ON fact_key = dim_key`` without shuffling NULL keys."""
-    matched = fact.where(F.col(fact_key).isNotNull()).join(dim, F.col(fact_key) == F.col(dim_key), "left")
-    nulls = fact.where(F.col(fact_key).isNull()).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields]
-    )
-    return matched.unionByName(nulls)
+def left_join_spread_nulls(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str) -> DataFrame:
+    """``fact LEFT JOIN dim ON fact_key = dim_key`` with NULL keys dealt over all tasks."""
+    spread = F.coalesce(F.col(fact_key), -1 - F.pmod(F.xxhash64(*fact.columns), F.lit(SPREAD)))
+    keyed = fact.select("*", spread.alias("_spread_key"))
+    on = (F.col("_spread_key") == F.col(dim_key)) & F.col(fact_key).isNotNull()
+    return keyed.join(dim, on, "left").drop("_spread_key")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from . import partner as P
 from .facts import history_lines, posted_lines, project_code, project_name
-from .joins import left_join_split_nulls
+from .joins import left_join_spread_nulls
 
 MONEY = "decimal(15,2)"
 AMOUNT = "decimal(16,2)"
@@ -150,7 +150,7 @@ def income_ledger(
     if one:
         lines = lines.where(F.col("partner_id") == partner_id)
     if keep_unassigned:
-        erp = left_join_split_nulls(lines, pdim, "partner_id", "p_id")
+        erp = left_join_spread_nulls(lines, pdim, "partner_id", "p_id")
     else:
         erp = lines.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
     erp_bus = R.bus_prefixed("p_street_bus") if prefixed_bus else R.bus_or_empty("p_street_bus")
@@ -196,6 +196,12 @@ class GiftLedger:
 
     facts: DataFrame  # FACT_COLUMNS + branch
     partners: DataFrame  # one row per partner_id: attribute columns
+    unnamed: DataFrame | None = None  # the facts without the join for the move name (boeking NULL)
+
+    @property
+    def bare_facts(self) -> DataFrame:
+        """Facts for reports that do not print the move name."""
+        return self.facts if self.unnamed is None else self.unnamed
 
     def _eligible(self, df: DataFrame) -> DataFrame:
         # booked gifts count for active partners and for deceased inactive ones
@@ -234,7 +240,8 @@ class GiftLedger:
         replaces the partner attributes (e.g. extended by a partner-level join,
         whose repetitions then multiply sums exactly as a row-level join).
         """
-        facts = self.facts if fact_filter is None else self.facts.where(fact_filter)
+        facts = self.facts if "boeking" in fact_keys else self.bare_facts
+        facts = facts if fact_filter is None else facts.where(fact_filter)
         if fact_exprs:
             facts = facts.select("*", *[c.alias(n) for n, c in fact_exprs.items()])
         part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
@@ -351,19 +358,28 @@ def gift_ledger(t, start, end, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
     return _gift_ledger(t, start, end, codes)
 
 
-def _gift_ledger(t, start, end, codes) -> GiftLedger:
-    booked = posted_lines(t, start, end, codes).where(F.col("partner_id").isNotNull())
-    active = booked.select("*", _null("bigint").alias("inact_partner_id"), F.lit(ACTIVE).alias("branch"))
-    # gifts of an inactive partner are moved to its surviving partner
+def _booked_facts(t, start, end, codes, with_move: bool) -> DataFrame:
+    """Booked gifts from one scan: each counts for its partner, and once more,
+    moved, for the surviving partner of an inactive one."""
+    booked = posted_lines(t, start, end, codes, with_move=with_move).where(F.col("partner_id").isNotNull())
+    if not with_move:
+        booked = booked.select("*", _null("string").alias("am_name"))
     successors = t.res_partner.where(
         (F.col("active") == F.lit(False)) & (F.coalesce(F.col("active_partner_id"), F.lit(0)) > 0)
     ).select(F.col("id").alias("old_id"), F.col("active_partner_id").alias("new_id"))
-    moved = booked.join(successors, F.col("partner_id") == F.col("old_id"), "inner").select(
-        *[F.col(c) for c in booked.columns if c != "partner_id"],
-        F.col("new_id").alias("partner_id"),
-        F.col("old_id").alias("inact_partner_id"),
-        F.lit(MOVED).alias("branch"),
-    )
+
+    def role(partner: Column, inactive: Column, branch: str) -> Column:
+        return F.struct(partner.alias("partner_id"), inactive.cast("bigint").alias("inact_partner_id"), F.lit(branch).alias("branch"))
+
+    own = role(F.col("partner_id"), F.lit(None), ACTIVE)
+    moved = role(F.col("new_id"), F.col("old_id"), MOVED)
+    roles = F.when(F.col("new_id").isNull(), F.array(own)).otherwise(F.array(own, moved))
+    lines = booked.join(successors, F.col("partner_id") == F.col("old_id"), "left").select(
+        *[F.col(c) for c in booked.columns if c != "partner_id"], F.explode(roles).alias("role"))
+    return lines.select("*", "role.*").select(_posted_fact_columns())
+
+
+def _gift_ledger(t, start, end, codes) -> GiftLedger:
     hist = history_lines(t, start, end).select(
         _null("int").alias("acount_id"),
         F.col("date"),
@@ -388,12 +404,9 @@ def _gift_ledger(t, start, end, codes) -> GiftLedger:
         F.lit("npca").alias("bron"),
         F.lit(HISTORY).alias("branch"),
     )
-    facts = (
-        active.select(_posted_fact_columns())
-        .unionByName(moved.select(_posted_fact_columns()))
-        .unionByName(hist)
-    )
-    return GiftLedger(facts, _extract_partners(t))
+    return GiftLedger(
+        _booked_facts(t, start, end, codes, True).unionByName(hist), _extract_partners(t),
+        _booked_facts(t, start, end, codes, False).unionByName(hist))
 
 
 # ============================================================================
@@ -430,7 +443,8 @@ def legacy_ledger(t, start, end) -> DataFrame:
         F.col("rc_name").alias("vzw"),
         F.col("am_name").alias("boeking"),
     )
-    return out.orderBy(F.col("project_code").asc_nulls_last())
+    # the further columns spread one project's gifts over the sort's ranges
+    return out.orderBy(F.col("project_code").asc_nulls_last(), "date", "partner_id", "amount")
 
 
 def legacy_history(t, start, end) -> DataFrame:
@@ -458,4 +472,5 @@ def legacy_history(t, start, end) -> DataFrame:
         _null("string").alias("vzw"),
         _null("string").alias("boeking"),
     )
-    return out.orderBy(F.col("project_code").asc_nulls_last())
+    # the further columns spread one project's gifts over the sort's ranges
+    return out.orderBy(F.col("project_code").asc_nulls_last(), "date", "partner_id", "amount")

@@ -12,6 +12,7 @@ partner and company.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -397,7 +398,8 @@ class TestdataTables:
     Nothing is cached as data.
     """
 
-    _instances: dict[tuple[int, str], TestdataTables] = {}
+    # keyed by the session object itself: a stopped session's tables are never given to a new one
+    _instances: weakref.WeakKeyDictionary[SparkSession, dict[str, TestdataTables]] = weakref.WeakKeyDictionary()
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -407,11 +409,11 @@ class TestdataTables:
 
     @classmethod
     def for_session(cls, spark: SparkSession, sf_dir: str) -> TestdataTables:
-        key = (id(spark), sf_dir.rstrip("/"))
-        inst = cls._instances.get(key)
-        if inst is None:
-            inst = cls._instances[key] = cls(spark, sf_dir)
-        return inst
+        folders = cls._instances.setdefault(spark, {})
+        folder = sf_dir.rstrip("/")
+        if folder not in folders:
+            folders[folder] = cls(spark, folder)
+        return folders[folder]
 
     def memo(self, key, build):
         """Build-once store for derived lazy plans keyed by ``key``."""
@@ -420,30 +422,7 @@ class TestdataTables:
         return self._memo[key]
 
     def raw(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        return self._spread(df, path)
-
-    # rows per task below which spreading a scan is not worth a shuffle
-    SPREAD_MIN_ROWS = 100_000
-
-    def _spread(self, df: DataFrame, path: str) -> DataFrame:
-        """The driver writes each table as one file with one row group, which
-        Spark reads in a single task.  When such a scan is large, spread it
-        round-robin over the cluster's cores so the projections and joins
-        fused after it run in parallel.  Rows are hashed on the table's key
-        column, so a retried task rebuilds exactly the same partitions.  A
-        real multi-file dataset already has many splits and is left alone."""
-        try:
-            import pyarrow.parquet as pq
-
-            meta = pq.ParquetFile(path).metadata
-            groups, rows = meta.num_row_groups, meta.num_rows
-        except Exception:  # noqa: BLE001 - not a local single file
-            return df
-        cores = self.spark.sparkContext.defaultParallelism
-        tasks = min(cores, rows // self.SPREAD_MIN_ROWS)
-        return df.repartition(tasks, df.columns[0]) if tasks > groups else df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:

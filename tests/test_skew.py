@@ -13,7 +13,6 @@ from tests.conftest import MEDIUM
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    "spark.donorlens.broadcastMaxRows": "0",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -42,42 +41,62 @@ def test_hot_partners_are_split(spark):
                 spark.conf.set(k, v)
 
 
-def test_project_lookup_without_broadcast_gives_same_rows(spark):
+def test_rows_do_not_depend_on_broadcasts(spark):
+    from donorlens.catalog import QUERIES
+    from tests.conftest import SMALL
     from tools.check_oracle import rows_of
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for name in ("gift_ledger", "marketing_income", "gift_categories", "gift_ledger_extract"):
+        df = QUERIES[name](spark, SMALL)
+        expected = rows_of([tuple(r) for r in df.collect()], df.columns)
+        try:
+            for k in keys:
+                spark.conf.set(k, "-1")
+            assert rows_of([tuple(r) for r in QUERIES[name](spark, SMALL).collect()], df.columns) == expected, name
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_moves_are_joined_only_where_their_name_is_printed(spark):
+    from donorlens.operators import ledger_reports as LR
+    from donorlens.plans.ledger import gift_ledger
     from tests.conftest import SMALL
 
-    base = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
-    expected = rows_of([tuple(r) for r in base.collect()], base.columns)
-    old = spark.conf.get("spark.donorlens.broadcastMaxRows", None)
-    try:
-        spark.conf.set("spark.donorlens.broadcastMaxRows", "0")
-        df = X.gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-        assert "<=>" in plan  # joined once on the null-safe id triple
-        assert rows_of([tuple(r) for r in df.collect()], df.columns) == expected
-    finally:
-        if old is None:
-            spark.conf.unset("spark.donorlens.broadcastMaxRows")
-        else:
-            spark.conf.set("spark.donorlens.broadcastMaxRows", old)
+    led = gift_ledger(TestdataTables(spark, SMALL), Q.LEDGER_START, Q.LEDGER_END)
+    assert "am_id" not in LR.unique_donors(led)._jdf.queryExecution().optimizedPlan().toString()
+    assert "am_id" in led.wide()._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_unused_move_join_is_removed_when_moves_are_large(spark):
+def test_booked_gifts_are_read_once(spark):
     from donorlens.operators import ledger_reports as LR
     from donorlens.plans.ledger import gift_ledger
     from tests.conftest import SMALL
 
-    old = spark.conf.get("spark.donorlens.broadcastMaxRows", None)
-    try:
-        spark.conf.set("spark.donorlens.broadcastMaxRows", "0")
-        t = TestdataTables(spark, SMALL)
-        led = gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END)
-        unused = LR.unique_donors(led)._jdf.queryExecution().optimizedPlan().toString()
-        used = led.wide()._jdf.queryExecution().optimizedPlan().toString()
-        assert "first(am_name" not in unused  # no join with the moves at all
-        assert "first(am_name" in used
-    finally:
-        if old is None:
-            spark.conf.unset("spark.donorlens.broadcastMaxRows")
-        else:
-            spark.conf.set("spark.donorlens.broadcastMaxRows", old)
+    t = TestdataTables(spark, SMALL)
+    led = gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END)
+    for df in (led.wide(), LR.project_totals(led), X.marketing_income(t, Q.MARKETING_PERIOD, Q.MARKETING_START, Q.MARKETING_END)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("l_shipdate") and plan.count("lineitem.parquet") == 1
+
+
+def test_orphan_and_repeated_moves_follow_the_inner_join(spark):
+    from donorlens.plans.facts import posted_lines
+    from tests.conftest import SMALL
+
+    class Tables(TestdataTables):
+        pass
+
+    t = Tables(spark, SMALL)
+    lines = t.account_move_line.limit(3).collect()
+    ids = [r["move_id"] for r in lines]
+    moves = t.account_move
+    t._cache["account_move"] = moves.where(moves["id"] != ids[0]).unionByName(moves.where(moves["id"] == ids[1]))
+    got = posted_lines(t).groupBy("move_id").count().collect()
+    n = {r["move_id"]: r["count"] for r in got}
+    once = {r["move_id"]: r["count"] for r in posted_lines(t, with_move=False).groupBy("move_id").count().collect()}
+    assert ids[0] not in n
+    if ids[1] != ids[0]:
+        assert n[ids[1]] == 2 * once[ids[1]]

@@ -24,7 +24,8 @@ def append_audit(spark: SparkSession, path: str, job_id: int, at: dt.datetime |
     """Record one run of an extract: (id, timestamp, job id) appended to a
     parquet table in a shared folder."""
     at = at or dt.datetime.now()
-    row_id = uuid.uuid4().int >> 65  # unique however often the extract runs
+    # ordered by the second, unique however often the extract runs within it
+    row_id = int(at.timestamp()) << 32 | uuid.uuid4().int >> 96
     spark.createDataFrame([(row_id, at, int(job_id))], MASTER_JOBS).coalesce(1).write.mode("append").parquet(path)
 
 

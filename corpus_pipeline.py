@@ -63,8 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     find_package(spark)
-    ranks = bpe.load_ranks()
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks), ranks))
+    return bpe.digests(bpe.round_trip(docs))
 
 
 STAGES = [

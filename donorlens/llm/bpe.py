@@ -8,7 +8,8 @@ boundary on: that is where they are stitched.  Only boundaries between a
 letter or digit and a space or line end are used: no pre-token can span them,
 so encoding a piece alone gives the pre-tokens of the whole text.  Where an
 overlap has no such common boundary the rest of that text stays one piece.
-Decoding concatenates the raw bytes of the ids.
+Decoding concatenates the raw bytes of the ids; ``round_trip`` does both in
+the same tasks, so that ids need not pass through a second Python worker.
 
 Defined results: null text counts as empty (no ids); null and repeated
 ``doc_id`` rows are encoded row by row; other columns are ignored.
@@ -66,13 +67,19 @@ def token_starts(text: str, pattern) -> list[int]:
     return [m.start() for m in pattern.finditer(text)]
 
 
-def _encode_batches(ranks: bytes, pattern: str) -> Callable:
+def _with_ids(batch: pa.RecordBatch, names: list[str], ids: list[bytes], raw: list[bytes] | None) -> pa.RecordBatch:
+    """Columns ``names`` of the batch, ``ids`` and, given the table, ``decoded``."""
+    made = {"ids": ids} if raw is None else {"ids": ids, "decoded": [decode_ids(i, raw) for i in ids]}
+    arrays = [*map(batch.column, names), *[pa.array(v, pa.binary()) for v in made.values()]]
+    return pa.RecordBatch.from_arrays(arrays, [*names, *made])
+
+
+def _encode_batches(ranks: bytes, pattern: str, decoded: bool = False) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tables(ranks, pattern)
+        encoder, raw = _tables(ranks, pattern)
         for batch in small_batches(batches):
             ids = [encode_text(t or "", encoder) for t in batch.column("text").to_pylist()]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(ids, pa.binary())], [*names, "ids"])
+            yield _with_ids(batch, [n for n in batch.schema.names if n != "text"], ids, raw if decoded else None)
 
     return run
 
@@ -104,10 +111,14 @@ def _boundary_batches(pattern: str, chunk: int, overlap: int) -> Callable:
     return run
 
 
-def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), pa.array(ids, pa.binary())], ["doc_id", "copies", "ids"])
+def _join_batches(ranks: bytes, pattern: str, decoded: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = _tables(ranks, pattern)[1] if decoded else None
+        for batch in small_batches(batches, 16):  # long texts
+            ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
+            yield _with_ids(batch, ["doc_id", "copies"], ids, raw)
+
+    return run
 
 
 def _decode_batches(ranks: bytes, pattern: str) -> Callable:
@@ -123,10 +134,21 @@ def _decode_batches(ranks: bytes, pattern: str) -> Callable:
 def encode(docs: DataFrame, ranks: bytes | None = None, pattern: str = public_tokenizers.PATTERN,
            chunk_chars: int = 32768, overlap_chars: int = 1024) -> DataFrame:
     """One row per input row: ``doc_id``, ``ids`` (binary, little-endian uint32)."""
-    ranks = ranks or load_ranks()
+    return _encoded(docs, ranks or load_ranks(), pattern, chunk_chars, overlap_chars, decoded=False)
+
+
+def round_trip(docs: DataFrame, ranks: bytes | None = None, pattern: str = public_tokenizers.PATTERN,
+               chunk_chars: int = 32768, overlap_chars: int = 1024) -> DataFrame:
+    """The rows of ``encode`` and ``decoded``, the raw bytes that their ids stand for."""
+    return _encoded(docs, ranks or load_ranks(), pattern, chunk_chars, overlap_chars, decoded=True)
+
+
+def _encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk_chars: int, overlap_chars: int, decoded: bool) -> DataFrame:
+    made = ["ids", "decoded"] if decoded else ["ids"]
+    made_types = "".join(f", {name} binary" for name in made)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     short = (rows.where(F.length("text") <= chunk_chars)
-             .mapInArrow(_encode_batches(ranks, pattern), "doc_id long, ids binary"))
+             .mapInArrow(_encode_batches(ranks, pattern, decoded), f"doc_id long{made_types}"))
 
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")), 256)
     long = (rows.where(F.length("text") > chunk_chars)
@@ -157,8 +179,8 @@ def encode(docs: DataFrame, ranks: bytes | None = None, pattern: str = public_to
     whole = (encoded.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
              .join(long.select("k", "doc_id", "copies"), "k")
              .select("doc_id", "copies", "parts")
-             .mapInArrow(_join_batches, "doc_id long, copies long, ids binary")
-             .select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"))
+             .mapInArrow(_join_batches(ranks, pattern, decoded), f"doc_id long, copies long{made_types}")
+             .select("doc_id", *made, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"))
     return short.unionByName(whole)
 
 

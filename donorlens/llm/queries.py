@@ -46,8 +46,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = bpe.load_ranks()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,7 +254,9 @@ def test_bpe_matches_the_library(spark, docs_of):
         got = bpe.decode(bpe.encode(docs_of(rows), **options)).collect()
         want = Counter((i, np.asarray(encoder.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
         assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == want
-    assert bpe.encode(docs_of([])).count() == 0
+        both = bpe.round_trip(docs_of(rows), **options).collect()
+        assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in both) == want
+    assert bpe.encode(docs_of([])).count() == 0 and bpe.round_trip(docs_of([])).count() == 0
 
 
 # ---------------------------------------------------------------- op8

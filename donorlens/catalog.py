@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import params as Q
+from .functions import rules as R
 from .operators import categories as CAT
 from .operators import certificates as CERT
 from .operators import orders as ORD
@@ -19,6 +20,7 @@ from .operators import trace as TR
 from .operators import extracts as X
 from .operators import ledger_reports as LR
 from .plans.ledger import gift_ledger
+from .plans.selection import Selection
 from .operators import profile as PRO
 from .sources import TestdataTables
 
@@ -99,6 +101,47 @@ QUERIES: dict[str, Query] = {
     "latest_invoices": _q(lambda t: ORD.latest_invoices(t, Q.LATEST_INVOICES)),
     "ledger_dates": _l(lambda g, t: LR.ledger_dates(g, "npca")),
     "legacy_history": _q(lambda t: X.legacy_history(t, Q.LEGACY_START, Q.LEGACY_END)),
+    "legacy_ledger_wide": _q(lambda t: X.legacy_ledger(t, Q.LEGACY_START, Q.LEGACY_END, wide=True)),
+    "legacy_history_wide": _q(lambda t: X.legacy_history(t, Q.LEGACY_START, Q.LEGACY_END, wide=True)),
+    "unique_donors_by_place": _l(
+        lambda g, t: LR.unique_donors(g, Selection(postcodes=Q.DONOR_POSTCODES, account=R.CERTIFICATE_ACCOUNT))
+    ),
+    "unique_donors_by_gift": _l(
+        lambda g, t: LR.unique_donors(g, Selection(
+            provinces=Q.DONOR_PROVINCES, code_pattern=Q.PROJECT_TOTALS_PATTERN, description_like=Q.DONOR_DESCRIPTIONS))
+    ),
+    "thankyou_post_selected": _l(
+        lambda g, t: LR.thankyou_post(g, Selection(
+            code_pattern=Q.THANKYOU_PATTERN, with_email=False, description_not_like=Q.DESCRIPTION_LEFT_OUT))
+    ),
+    "thankyou_mail": _l(
+        lambda g, t: LR.thankyou_region(g, Selection(
+            codes=Q.MAIL_CODES, with_email=True, accepts_email=True, description_not_like=Q.DESCRIPTION_LEFT_OUT))
+    ),
+    "partner_totals_since": _l(
+        lambda g, t: LR.project_totals_since(g, Q.PROJECT_TOTALS_PATTERN, Q.PROJECT_TOTALS_SINCE, by="partner_id")
+    ),
+    "provider_gifts_other": _l(lambda g, t: LR.provider_gifts(g, Q.PROVIDER_OTHER_PATTERN, exclusions=())),
+    "ledger_lookup_text": _l(
+        lambda g, t: LR.ledger_lookup(g, selection=Selection(description_like=Q.LOOKUP_DESCRIPTION), order_by="naam")
+    ),
+    "ledger_lookup_department": _l(
+        lambda g, t: LR.ledger_lookup(g, selection=Selection(
+            department_like=Q.LOOKUP_DEPARTMENT, project_pattern=Q.LOOKUP_PROJECT))
+    ),
+    "ledger_lookup_dates": _l(
+        lambda g, t: LR.ledger_lookup(g, selection=Selection(dates=Q.LOOKUP_DATES, source="ERP"))
+    ),
+    "certificate_lines_total": _l(lambda g, t: CERT.certificate_lines_total(g)),
+    "fiscal_certificates_total": _l(lambda g, t: CERT.fiscal_certificates_total(g)),
+    "fiscal_certificates_of_entity": _l(
+        lambda g, t: CERT.fiscal_certificates(
+            g, entity_pattern=Q.CERTIFICATE_ENTITY, donor_not_like=Q.CERTIFICATE_NOT_DONOR)
+    ),
+    "orders_due": _q(lambda t: ORD.orders_due(t, Q.ORDERS_DUE_ON)),
+    "refund_orders": _q(lambda t: ORD.yearly_orders_overview(t, "J", Q.ORDERS_NEXT_AFTER, negative_only=True)),
+    "posting_lines": _q(lambda t: TR.posting_lines(t, Q.TRACE_NAMES)),
+    "posting_analytic_lines": _q(lambda t: TR.posting_analytic_lines(t, Q.TRACE_NAMES, Q.TRACE_ACCOUNTS)),
 }
 
 

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.period import as_date, months_before, resolve_period
 from ..plans import partner as P
-from ..plans.facts import history_lines, posted_lines
 from ..plans.joins import lookup
 from ..plans.ledger import GiftLedger
 from .profile import donor_profile
-from .recurring import recurring_project_donors
+from .recurring import donor_spans
 
 CERTIFICATE_MINIMUM = 40
 TOTAL = "decimal(18,2)"
@@ -42,14 +41,32 @@ CERTIFICATE_PARTNER_KEYS = [
 ]
 
 
-def fiscal_certificates(ledger: GiftLedger, minimum: int = CERTIFICATE_MINIMUM) -> DataFrame:
-    """Per donor and legal entity: certificate gifts (credit - debit) >= minimum."""
+def certificate_lines_total(ledger: GiftLedger) -> DataFrame:
+    """Total of ``certificate_lines`` (one row, NULL without lines)."""
+    cond = (F.col("grootboekrek") == R.CERTIFICATE_ACCOUNT) & ~F.col("description").like("GIFT/2014/%")
+    agg = ledger.aggregate([], [], {"s": F.sum("amount")}, {"s": F.sum("s")}, fact_filter=cond)
+    return agg.select(F.col("s").cast(TOTAL).alias("bedrag"))
+
+
+def fiscal_certificates(ledger: GiftLedger, minimum: int = CERTIFICATE_MINIMUM, entity_pattern: str | None = None,
+                        donor_not_like: tuple[str, ...] = ()) -> DataFrame:
+    """Per donor and legal entity: certificate gifts (credit - debit) >= minimum;
+    optionally of the entities, and without the donors, whose lower-cased name
+    is like the given patterns."""
+    gift = F.col("grootboekrek") == R.CERTIFICATE_ACCOUNT
+    if entity_pattern is not None:
+        gift = gift & F.lower("vzw").like(entity_pattern)
+    donor = None
+    for pattern in donor_not_like:
+        other = ~F.lower("naam").like(pattern)
+        donor = other if donor is None else donor & other
     agg = ledger.aggregate(
         fact_keys=["vzw"],
         partner_keys=CERTIFICATE_PARTNER_KEYS,
         partials={"sc": F.sum("credit"), "sd": F.sum("debet")},
         finals={"sc": F.sum("sc"), "sd": F.sum("sd")},
-        fact_filter=F.col("grootboekrek") == R.CERTIFICATE_ACCOUNT,
+        fact_filter=gift,
+        partner_filter=donor,
     )
     amount = (F.col("sc") - F.col("sd")).cast(TOTAL)
     out = agg.select(
@@ -62,6 +79,11 @@ def fiscal_certificates(ledger: GiftLedger, minimum: int = CERTIFICATE_MINIMUM)
     return out.where(F.col("amount") >= minimum)
 
 
+def fiscal_certificates_total(ledger: GiftLedger, **options) -> DataFrame:
+    """Total of ``fiscal_certificates`` (one row, NULL without certificates)."""
+    return fiscal_certificates(ledger, **options).agg(F.sum("amount").cast(TOTAL).alias("bedrag"))
+
+
 # ---------------------------------------------------------------- pledges
 def _valid_mandates(t, dedupe: bool = False) -> DataFrame:
     """Number of valid direct-debit mandates per partner.  In the report each
@@ -98,30 +120,32 @@ def annualised_pledges(t, as_of, dedupe_mandates: bool = False) -> DataFrame:
     )
 
 
-def _ytd_gift_totals(t, start, end) -> DataFrame:
-    """Per partner: year-to-date gifts of the gift ledger (booked gifts of an
-    existing partner, payment history of a partner with a known country),
-    folded per partner before any partner join."""
-    booked = posted_lines(t, start, end, R.GIFT_ACCOUNTS, projects=False, with_move=False)
-    booked = booked.where(F.col("partner_id") > 0).groupBy("partner_id").agg(
-        F.sum(R.gift_amount()).alias("s")
-    )
-    hist = history_lines(t, start, end).groupBy("partner_id").agg(F.sum("amount").alias("s"))
-    partners = t.res_partner.select("id", "country_id", "organisation_type_id")
-    countries = t.res_country.select(F.col("id").alias("c_id"))
-    with_country = lookup(partners, countries, F.col("country_id") == F.col("c_id"), "inner")
-    parts = booked.join(partners.select(F.col("id").alias("k_id")), F.col("partner_id") == F.col("k_id"),
-                        "left_semi").unionByName(
-        hist.join(with_country.select(F.col("id").alias("k_id")), F.col("partner_id") == F.col("k_id"), "left_semi")
-    )
-    private = partners.where(F.coalesce(F.col("organisation_type_id"), F.lit(0)) == 0).select(
-        F.col("id").alias("k_id")
+def _year_totals(t, start, end, history_start) -> DataFrame:
+    """Per partner: year-to-date gifts of private donors (booked gifts of an
+    existing partner, payment history of a partner with a known country) plus
+    the totals of the projects supported regularly, from one fold of the gifts."""
+    country = t.res_country.select(F.col("id").alias("c_id"))
+    partners = lookup(t.res_partner, country, F.col("country_id") == F.col("c_id"), "left").select(
+        F.col("id").alias("k_id"),
+        F.col("c_id").isNotNull().alias("known"),
+        (F.coalesce(F.col("organisation_type_id"), F.lit(0)) == 0).alias("private"),
+        R.active_or_deceased("active", "deceased").alias("eligible"),
     )
-    return (
-        parts.join(private, F.col("partner_id") == F.col("k_id"), "left_semi")
-        .groupBy("partner_id")
-        .agg(F.sum("s").cast(TOTAL).alias("bedrag"))
+    listed = t.dwh_partners.groupBy(F.col("partner_id").alias("w_id")).agg(F.count(F.lit(1)).alias("listed"))
+    spans = donor_spans(t, start, end, history_start).groupBy("partner_id").agg(
+        F.sum("booked_window").alias("booked"),
+        F.sum("history_window").alias("history"),
+        F.sum(F.when(F.col("regular"), F.col("bedrag"))).alias("regular"),
     )
+    joined = spans.join(partners, F.col("partner_id") == F.col("k_id"), "inner").join(
+        listed, F.col("partner_id") == F.col("w_id"), "left")
+    parts = [
+        F.when(F.col("private") & (F.col("partner_id") > 0), F.col("booked")),
+        F.when(F.col("private") & F.col("known"), F.col("history")),
+        F.when(F.col("eligible") & F.col("known"), F.col("regular") * F.col("listed")),
+    ]
+    total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+    return joined.where(F.coalesce(*parts).isNotNull()).select("partner_id", total.cast(TOTAL).alias("bedrag"))
 
 
 def certificate_donors_missing_id(
@@ -131,13 +155,10 @@ def certificate_donors_missing_id(
     day = as_date(as_of)
     start, end = resolve_period("YTD", as_of=day)
     since = day.year - 1 if profile_since_year is None else profile_since_year
-    ytd = _ytd_gift_totals(t, start, end)
+    year = _year_totals(t, start, end, months_before(day, history_months))
     pledges = annualised_pledges(t, day, dedupe_mandates).select("partner_id", "bedrag")
-    recurring = recurring_project_donors(
-        t, start, end, months_before(day, history_months), ordered=False
-    ).select("partner_id", F.col("bedrag").cast(TOTAL).alias("bedrag"))
     staged = (
-        ytd.unionByName(pledges).unionByName(recurring)
+        year.unionByName(pledges)
         .groupBy("partner_id").agg(F.sum("bedrag").cast("double").alias("bedrag"))
     )
     regular = donor_profile(t).where(

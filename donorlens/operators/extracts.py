@@ -47,12 +47,13 @@ def marketing_income(
     return L.income_ledger(t, first, last, R.MARKETING_ACCOUNTS, keep_unassigned=True, prefixed_bus=True)
 
 
-def legacy_ledger(t, start, end) -> DataFrame:
-    return L.legacy_ledger(t, start, end)
+def legacy_ledger(t, start, end, wide: bool = False) -> DataFrame:
+    """Legacies of [start, end]; ``wide`` with address, donor and account columns."""
+    return L.legacy_ledger(t, start, end, L.LEGACY_COLUMNS if wide else L.LEGACY_PRINTED)
 
 
-def legacy_history(t, start, end) -> DataFrame:
-    return L.legacy_history(t, start, end)
+def legacy_history(t, start, end, wide: bool = False) -> DataFrame:
+    return L.legacy_history(t, start, end, L.LEGACY_COLUMNS if wide else L.LEGACY_PRINTED)
 
 
 def ledger_extract(t, start, end) -> DataFrame:
@@ -63,4 +64,4 @@ def ledger_extract(t, start, end) -> DataFrame:
 def ledger_branch(t, start, end, branch: str) -> DataFrame:
     """One source of the analyst ledger (``moved`` or ``history``)."""
     led = L.gift_ledger(t, start, end)
-    return L.GiftLedger(led.facts.where(F.col("branch") == branch), led.partners).wide()
+    return led.rows(F.col("branch") == branch)

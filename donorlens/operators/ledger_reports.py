@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..plans.ledger import EXTRACT_COLUMNS, GiftLedger
+from ..plans.ledger import ACTIVE, EXTRACT_COLUMNS, PARTNER_COLUMNS, GiftLedger
+from ..plans.selection import DONOR_COLUMNS, EVERYTHING, Selection
 from .profile import donor_profile
 
 TOTAL = "decimal(18,2)"
@@ -124,10 +125,10 @@ def _date_merge():
     return {"s": F.sum("s"), "d0": F.min("d0"), "d1": F.max("d1")}
 
 
-def unique_donors(ledger: GiftLedger) -> DataFrame:
-    """Per donor and year: total and first/last gift date, donors that may be
-    written to (alive, address valid, post allowed, not hidden)."""
-    agg = ledger.aggregate(["jaar"], DONOR_KEYS, _date_sums(), _date_merge(), partner_filter=R.contactable_by_post())
+def unique_donors(ledger: GiftLedger, selection: Selection = Selection(accepts_post=True)) -> DataFrame:
+    """Per donor and year: total and first/last gift date, by default of donors
+    that may be written to (alive, address valid, post allowed, not hidden)."""
+    agg = ledger.aggregate(["jaar"], DONOR_KEYS, _date_sums(), _date_merge(), fact_filter=selection.gift(), partner_filter=selection.donor())
     out = agg.select(
         "partner_id", F.col("s").cast(TOTAL).alias("bedrag"), "jaar", F.col("d0").alias("min_date"),
         F.col("d1").alias("max_date"), *DONOR_KEYS[1:],
@@ -147,11 +148,15 @@ def project_totals_since(ledger: GiftLedger, code_pattern: str, since, by: str =
 
 def donor_contact_flags(ledger: GiftLedger, t) -> DataFrame:
     """Donors per year flagged as website user and as suppressed e-mail
-    (case-insensitive match on the address)."""
+    (case-insensitive match on the address; an address listed more than once
+    counts once, an empty one is never suppressed)."""
     web = t.website_users.select(F.col("partner_id").alias("w_partner_id"))
-    sup = t.suppression_list.select(F.col("emailaddress").alias("s_emailaddress"))
-    ext = ledger.partners.join(web, F.col("partner_id") == F.col("w_partner_id"), "left")
-    ext = ext.join(sup, F.lower(F.col("email")) == F.lower(F.col("s_emailaddress")), "left")
+    sup = t.suppression_list.where("emailaddress <> ''").select(F.lower("emailaddress").alias("s_emailaddress")).distinct()
+    ext = ledger.partners(DONOR_KEYS).join(web, F.col("partner_id") == F.col("w_partner_id"), "left")
+    # very many partners have no address, and none matches: they are dealt over all tasks
+    no_address = F.concat(F.lit(" "), F.pmod(F.xxhash64("partner_id"), F.lit(4096)).cast("string"))
+    ext = ext.withColumn("address", F.when(F.col("email") == "", no_address).otherwise(F.lower("email")))
+    ext = ext.join(sup, (F.col("address") == F.col("s_emailaddress")) & (F.col("email") != ""), "left")
     keys = [*DONOR_KEYS, "w_partner_id", "s_emailaddress"]
     agg = ledger.aggregate(["jaar"], keys, _date_sums(), _date_merge(), partners=ext)
     out = agg.select(
@@ -188,10 +193,11 @@ MAILING_KEYS = [
 ]
 
 
-def thankyou_post(ledger: GiftLedger) -> DataFrame:
+def thankyou_post(ledger: GiftLedger, selection: Selection = EVERYTHING) -> DataFrame:
     """Per donor and project, donors that may be written to, with the
     address line for the letter."""
-    agg = ledger.aggregate(["project"], MAILING_KEYS, _count_amount(), _merge_count_amount(), partner_filter=R.contactable_by_post())
+    agg = ledger.aggregate(["project"], MAILING_KEYS, _count_amount(), _merge_count_amount(), fact_filter=selection.gift(),
+                           partner_filter=selection.donor(R.contactable_by_post()), filter_columns=DONOR_COLUMNS)
     out = agg.select(
         "partner_id", F.col("n").cast("bigint").alias("aantal"), F.col("s").cast(TOTAL).alias("bedrag"), "project",
         "naam", "voornaam", "achternaam", R.mailing_line("straat", "huisnummer", "bus").alias("adres"),
@@ -200,15 +206,13 @@ def thankyou_post(ledger: GiftLedger) -> DataFrame:
     return out.orderBy(F.col("partner_id").asc_nulls_last())
 
 
-def thankyou_region(ledger: GiftLedger, postcodes=REGION_POSTCODES) -> DataFrame:
-    """Per donor and year, donors living in the given postcodes."""
+def thankyou_region(ledger: GiftLedger, selection: Selection = Selection(postcodes=REGION_POSTCODES)) -> DataFrame:
+    """Per donor and year, living donors that are not hidden; by default those
+    living in the region's postcodes."""
     status = ["overleden", "adres_status", "post_ontvangen", "email_ontvangen", "nooit_contacteren"]
-    cond = (
-        F.col("postcode").isin(*postcodes)
-        & (F.col("overleden") == "false")
-        & (F.coalesce(F.col("nooit_contacteren"), F.lit("false")) == "false")
-    )
-    agg = ledger.aggregate(["jaar"], MAILING_KEYS + status, _count_amount(), _merge_count_amount(), partner_filter=cond)
+    reachable = (F.col("overleden") == "false") & (F.coalesce(F.col("nooit_contacteren"), F.lit("false")) == "false")
+    agg = ledger.aggregate(["jaar"], MAILING_KEYS + status, _count_amount(), _merge_count_amount(),
+                           fact_filter=selection.gift(), partner_filter=selection.donor(reachable))
     out = agg.select(
         "partner_id", "jaar", F.col("n").cast("bigint").alias("aantal"), F.col("s").cast(TOTAL).alias("bedrag"),
         "naam", "voornaam", "achternaam", R.mailing_line("straat", "huisnummer", "bus").alias("adres"),
@@ -242,30 +246,26 @@ def provider_gifts(ledger: GiftLedger, pattern: str, exclusions=PROVIDER_EXCLUSI
     return rows.select(key.alias("transaction"), *EXTRACT_COLUMNS)
 
 
-def ledger_lookup(ledger: GiftLedger, partner_id=None, date=None, amount=None, bron=None,
-                  code_pattern=None) -> DataFrame:
-    """Ledger rows by partner, date, amount, source and/or project code."""
-    cond = F.lit(True)
+def ledger_lookup(ledger: GiftLedger, partner_id=None, amount=None, selection: Selection = EVERYTHING,
+                  order_by: str = "date") -> DataFrame:
+    """Ledger rows by partner, amount and the conditions of ``selection``
+    (dates, source, project code or name, description, department ...)."""
+    cond = F.lit(True) if selection.gift() is None else selection.gift()
     if partner_id is not None:
         cond = cond & (F.col("partner_id") == partner_id)
-    if date is not None:
-        cond = cond & (F.col("date") == F.lit(date).cast("date"))
     if amount is not None:
         cond = cond & (F.col("amount") == F.lit(amount))
-    if bron is not None:
-        cond = cond & (F.col("bron") == bron)
-    if code_pattern is not None:
-        cond = cond & F.col("project_code").like(code_pattern)
-    return ledger.rows(fact_filter=cond).orderBy(F.col("date").asc_nulls_last())
+    rows = ledger.rows(fact_filter=cond, donor_filter=selection.donor())
+    # the further columns spread one date (one donor) over the sort's ranges
+    return rows.orderBy(F.col(order_by).asc_nulls_last(), "date", "partner_id", "amount")
 
 
 def ledger_dates(ledger: GiftLedger, bron=None) -> DataFrame:
     """Distinct gift dates (optionally of one source) of the ledger."""
     facts = ledger.bare_facts if bron is None else ledger.bare_facts.where(F.col("bron") == bron)
     # only the eligibility of the gift's partner is needed, not its columns
-    eligible = ledger.partners.select("partner_id", "eligible")
-    rows = facts.select("partner_id", "branch", "date").join(eligible, "partner_id", "inner")
-    return rows.where((F.col("branch") != "active") | F.col("eligible")).select("date").distinct()
+    rows = facts.select("partner_id", "branch", "date").join(ledger.partners(()), "partner_id", "inner")
+    return rows.where((F.col("branch") != ACTIVE) | F.col("eligible")).select("date").distinct()
 
 
 PROFILE_COLUMNS = ("jaareerstegift", "jaarlaatstegift", "jarendonateur", "aantalgiften", "totaalgiften",
@@ -277,9 +277,9 @@ def profile_enrichment(ledger: GiftLedger, t) -> DataFrame:
     news = t.newsletter.select(F.col("partner_id").alias("n_partner_id"))
     prof = donor_profile(t).select(F.col("partner_id").alias("dp_partner_id"), *PROFILE_COLUMNS)
     ext = (
-        ledger.partners.join(news, F.col("partner_id") == F.col("n_partner_id"), "inner")
+        ledger.partners(PARTNER_COLUMNS).join(news, F.col("partner_id") == F.col("n_partner_id"), "inner")
         .join(prof, F.col("partner_id") == F.col("dp_partner_id"), "inner")
     )
     joined = ledger.facts.join(ext, "partner_id", "inner")
-    joined = joined.where((F.col("branch") != "active") | F.col("eligible"))
+    joined = joined.where((F.col("branch") != ACTIVE) | F.col("eligible"))
     return joined.select(*[GiftLedger.attr(c) for c in EXTRACT_COLUMNS], *PROFILE_COLUMNS)

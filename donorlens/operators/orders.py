@@ -71,6 +71,10 @@ def yearly_orders_overview(
     )
     if negative_only:
         orders = orders.where(F.col("donation_amount") < 0)
+    return _overview(t, orders)
+
+
+def _overview(t, orders: DataFrame) -> DataFrame:
     out = _join_invoices(orders, _last_invoices(t)).select(
         "id", "partner_id", "analytic_account_id", F.col("p_name").alias("name"), "interval_type",
         "interval_number", F.col("donation_amount").alias("bedrag"), "next_invoice_date", "donation_start",
@@ -80,6 +84,14 @@ def yearly_orders_overview(
     return out.orderBy(F.col("aanmaak_factuur").asc_nulls_last(), "id")
 
 
+def orders_due(t, day, interval_type: str = "M") -> DataFrame:
+    """Orders of one interval due or starting on ``day``, in the overview's columns."""
+    d = F.lit(day).cast("date")
+    orders = _orders_of_partners(t).where(
+        (F.col("interval_type") == interval_type) & ((F.col("next_invoice_date") == d) | (F.col("donation_start") == d)))
+    return _overview(t, orders)
+
+
 def next_invoice_dates(t, interval_type: str = "J") -> DataFrame:
     """Distinct next invoice dates of the orders with a mandate."""
     orders = _orders_of_partners(t).where(F.col("interval_type") == interval_type)

@@ -7,12 +7,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import left_join_spread_nulls
 
-def posting_trace(t, reconcile_names=None) -> DataFrame:
+
+def _reconciled_moves(t, reconcile_names=None) -> DataFrame:
+    """(reconcile_name, move_id) of the reconciliations, or of the named ones."""
     rec = t.account_move_reconcile.select(F.col("id").alias("rec_id"), F.col("name").alias("reconcile_name"))
     if reconcile_names is not None:
         rec = rec.where(F.col("reconcile_name").isin(*reconcile_names))
-    lines = t.account_move_line_reconcile.select(F.col("move_id"), F.col("reconcile_id"))
+    lines = t.account_move_line_reconcile.select("move_id", "reconcile_id")
+    return rec.join(lines, F.col("reconcile_id") == F.col("rec_id"), "inner").select("reconcile_name", "move_id")
+
+
+def posting_lines(t, reconcile_names=None) -> DataFrame:
+    """The posting behind each reconciliation: its lines with move, partner and account."""
+    moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("boeking"))
+    lines = t.account_move_line.select(F.col("move_id").alias("line_move"), "account_id", "partner_id", "date", "debit", "credit")
+    partners = t.res_partner.select(F.col("id").alias("p_id"), F.col("name").alias("naam"))
+    accounts = t.account_account.select(
+        F.col("id").alias("aa_id"), F.col("code").alias("grootboekrek"), F.col("name").alias("grootboekrek_naam"))
+    # one reconciliation is a few moves: distinct, since it may list a move once per line
+    found = (_reconciled_moves(t, reconcile_names).distinct()
+             .join(moves, F.col("move_id") == F.col("am_id"), "inner")
+             .join(lines, F.col("move_id") == F.col("line_move"), "inner")
+             .join(accounts, F.col("account_id") == F.col("aa_id"), "inner"))
+    return left_join_spread_nulls(found, partners, "partner_id", "p_id").select(
+        "reconcile_name", "move_id", "boeking", "partner_id", "naam", "grootboekrek", "grootboekrek_naam", "date", "debit", "credit")
+
+
+def posting_analytic_lines(t, reconcile_names=None, account_ids=None) -> DataFrame:
+    """The analytic lines of each reconciliation's moves, optionally only
+    those on the given analytic accounts, with the project they are booked on."""
+    analytic = t.account_analytic_line.select(F.col("account_id").alias("al_account"), F.col("move_id").alias("al_move"))
+    if account_ids is not None:
+        analytic = analytic.where(F.col("al_account").isin(*account_ids))
+    projects = t.account_analytic_account.select(
+        F.col("id").alias("aaa_id"), F.col("code").alias("project_code"), F.col("name").alias("project"))
+    found = (_reconciled_moves(t, reconcile_names).distinct()
+             .join(analytic, F.col("move_id") == F.col("al_move"), "inner")
+             .join(projects, F.col("al_account") == F.col("aaa_id"), "left"))
+    return found.select("reconcile_name", "move_id", F.col("al_account").alias("account_id"), "project_code", "project")
+
+
+def posting_trace(t, reconcile_names=None) -> DataFrame:
     invoices = t.account_invoice.select(F.col("id").alias("invoice_id"), F.col("move_id").alias("inv_move_id"))
     inv_lines = t.account_invoice_line.select(F.col("id").alias("invoice_line_id"), F.col("invoice_id").alias("il_inv"))
     members = t.membership_membership_line.select(
@@ -23,7 +60,7 @@ def posting_trace(t, reconcile_names=None) -> DataFrame:
         F.count(F.lit(1)).alias("analytic_lines")
     )
     chain = (
-        rec.join(lines, F.col("reconcile_id") == F.col("rec_id"), "inner")
+        _reconciled_moves(t, reconcile_names)
         .join(invoices, F.col("inv_move_id") == F.col("move_id"), "inner")
         .join(inv_lines, F.col("il_inv") == F.col("invoice_id"), "inner")
         .join(members, F.col("ml_line") == F.col("invoice_line_id"), "left")

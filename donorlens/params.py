@@ -32,6 +32,22 @@ PROJECT_TOTALS_SINCE = "1997-01-01"
 THANKYOU_PATTERN = "F-00001%"
 PROVIDER_PATTERN = "mangopaysanpexp"
 LOOKUP_PARTNER = 5
+PROVIDER_OTHER_PATTERN = "mangopaysanpdonation"
+
+DONOR_POSTCODES = ("1037", "1239", "1296", "1370", "1444", "1956", "2673")
+DONOR_PROVINCES = ("Antwerpen", "Luik", "Namen")
+DONOR_DESCRIPTIONS = ("mangopay sa np exp%", "mangopay sanp %", "%line%5")
+DESCRIPTION_LEFT_OUT = "GIFT/2014/%"
+MAIL_CODES = ("F-00000", "F-00001", "F-00003")
+LOOKUP_DESCRIPTION = ("%koalect%",)
+LOOKUP_DEPARTMENT = "%00000005%"
+LOOKUP_DATES = ("1997-01-31", "1996-09-23", "1996-10-27")
+LOOKUP_PROJECT = "blue%"
+CERTIFICATE_ENTITY = "beheer b%"
+CERTIFICATE_NOT_DONOR = ("customer#000000001", "%00003")
+ORDERS_DUE_ON = "2020-10-15"
+TRACE_NAMES = ("B-15-0", "B-15-40", "B-15-60", "B-15-100", "B-15-120")
+TRACE_ACCOUNTS = (6, 8, 12, 13, 16, 20)
 
 MONTHLY_ORDERS_NEXT_AFTER = "2019-01-01"
 MONTHLY_ORDERS_AS_OF = "2022-01-01"

@@ -16,6 +16,7 @@ Three families share the same building blocks (narrow facts from
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -187,6 +188,7 @@ BRANCH_COLUMNS = {
     "huidige_lidmaatschap_status": ("p_membership_state", "p_membership_state_b"),
     "opzegdatum": ("p_membership_cancel", "p_membership_cancel_b"),
 }
+PARTNER_COLUMNS = tuple(c for c in EXTRACT_COLUMNS if c not in FACT_COLUMNS)
 ACTIVE, MOVED, HISTORY = "active", "moved", "history"
 
 
@@ -195,8 +197,17 @@ class GiftLedger:
     """Ledger as (facts, partners); ``wide()`` gives the 49-column table."""
 
     facts: DataFrame  # FACT_COLUMNS + branch
-    partners: DataFrame  # one row per partner_id: attribute columns
+    stored: DataFrame | None = None  # written partner attributes, one row per partner_id; else built from ``tables``
     unnamed: DataFrame | None = None  # the facts without the join for the move name (boeking NULL)
+    tables: object | None = None
+
+    def partners(self, columns: Iterable[str] = PARTNER_COLUMNS) -> DataFrame:
+        """partner_id, eligible and the attributes behind ``columns``; only
+        the lookups that these need are joined."""
+        raw = list(dict.fromkeys(r for c in columns if c != "partner_id" for r in BRANCH_COLUMNS.get(c, (c,))))
+        if self.stored is not None:
+            return self.stored.select("partner_id", "eligible", *raw)
+        return _extract_partners(self.tables, raw)
 
     @property
     def bare_facts(self) -> DataFrame:
@@ -215,7 +226,7 @@ class GiftLedger:
         return F.col(name)
 
     def wide(self) -> DataFrame:
-        joined = self._eligible(self.facts.join(self.partners, "partner_id", "inner"))
+        joined = self._eligible(self.facts.join(self.partners(), "partner_id", "inner"))
         return joined.select([self.attr(c) if c not in FACT_COLUMNS else F.col(c) for c in EXTRACT_COLUMNS])
 
     def aggregate(
@@ -228,6 +239,7 @@ class GiftLedger:
         partner_filter: Column | None = None,
         fact_exprs: dict[str, Column] | None = None,
         partners: DataFrame | None = None,
+        filter_columns: Iterable[str] = (),
     ) -> DataFrame:
         """Group the ledger by fact and partner columns in two phases.
 
@@ -238,7 +250,8 @@ class GiftLedger:
         ``finals`` must combine ``partials`` (sum of sums, min of mins, ...).
         ``fact_exprs`` adds derived fact columns usable as keys; ``partners``
         replaces the partner attributes (e.g. extended by a partner-level join,
-        whose repetitions then multiply sums exactly as a row-level join).
+        whose repetitions then multiply sums exactly as a row-level join);
+        ``filter_columns`` names what ``partner_filter`` reads beside the keys.
         """
         facts = self.facts if "boeking" in fact_keys else self.bare_facts
         facts = facts if fact_filter is None else facts.where(fact_filter)
@@ -247,7 +260,7 @@ class GiftLedger:
         part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
             *[c.alias(n) for n, c in partials.items()]
         )
-        attrs = self.partners if partners is None else partners
+        attrs = self.partners([*partner_keys, *filter_columns]) if partners is None else partners
         joined = self._eligible(part.join(attrs, "partner_id", "inner"))
         if partner_filter is not None:
             joined = joined.where(partner_filter)
@@ -273,52 +286,68 @@ class GiftLedger:
         # partitioned by year: date-limited reports on the stored ledger
         # read only their years
         self.facts.write.mode("overwrite").partitionBy("jaar").parquet(f"{root}/facts")
-        self.partners.write.mode("overwrite").parquet(f"{root}/partners")
+        self.partners().write.mode("overwrite").parquet(f"{root}/partners")
         facts = spark.read.parquet(f"{root}/facts").select(*self.facts.columns)
         return GiftLedger(facts, spark.read.parquet(f"{root}/partners"))
 
-    def rows(self, fact_filter: Column | None = None, partners: DataFrame | None = None) -> DataFrame:
-        """The wide ledger restricted by a fact predicate (pushed below the join)."""
+    def rows(self, fact_filter: Column | None = None, donor_filter: Column | None = None) -> DataFrame:
+        """The wide ledger restricted by a fact predicate (pushed below the
+        join) and a predicate on the donor's columns."""
         facts = self.facts if fact_filter is None else self.facts.where(fact_filter)
-        return GiftLedger(facts, self.partners if partners is None else partners).wide()
-
-
-EXTRACT_LOOKUPS = ("country", "state", "street", "city", "title", "legal", "dept", "dept_choice", "relation")
+        wide = GiftLedger(facts, self.stored, tables=self.tables).wide()
+        return wide if donor_filter is None else wide.where(donor_filter)
+
+
+# lookups behind the attributes that need one
+ATTRIBUTE_LOOKUPS = {
+    "afdeling": ("dept", "dept_choice"),
+    "straat": ("country", "street"),
+    "huisnummer": ("country",),
+    "postcode": ("country", "city"),
+    "gemeente": ("country", "city"),
+    "provincie": ("country", "state"),
+    "land": ("country",),
+    "naam_partner": ("relation",),
+    "aanspreking": ("title",),
+    "rechtspersoon": ("legal",),
+}
 
 
-def _extract_partners(t) -> DataFrame:
+def _extract_partners(t, columns: Iterable[str]) -> DataFrame:
     """Partner attributes of the analyst ledger, NULL text already filled."""
-    pdim = P.partner_dim(t, EXTRACT_LOOKUPS)
+    pdim = P.partner_dim(t, {lookup for c in columns for lookup in ATTRIBUTE_LOOKUPS.get(c, ())})
+    attributes = {
+        "lidnummer": R.or_empty("p_membership_nbr"),
+        "partner": P.label(),
+        "naam": F.col("p_name"),
+        "voornaam": R.or_empty("p_first_name"),
+        "achternaam": R.or_empty("p_last_name"),
+        "afdeling": P.afdeling(),
+        "straat": P.straat(),
+        "huisnummer": R.or_empty(P.huisnummer()),
+        "bus": R.or_empty("p_street_bus"),
+        "postcode": P.postcode(),
+        "gemeente": P.gemeente(),
+        "postbus": F.col("p_postbus_nbr"),
+        "provincie": P.provincie_state(),
+        "land": F.col("c_name"),
+        "rijksregisternummer": F.col("p_national_id_nbr"),
+        "geboorte_datum": F.col("p_birthday"),
+        "naam_partner": F.col("a5_name"),
+        "adres_status": P.adres_status().cast("string"),
+        "email_ontvangen": P.email_ontvangen(),
+        "post_ontvangen": P.post_ontvangen(),
+        "nooit_contacteren": R.bool_text("p_iets_te_verbergen"),
+        "overleden": R.bool_text(P.overleden()),
+        "email": R.or_empty("p_email"),
+        "aanspreking": P.aanspreking(),
+        "geslacht": F.col("p_gender"),
+        "rechtspersoon": F.col("pct_name"),
+    }
     return pdim.select(
         F.col("p_id").alias("partner_id"),
         R.active_or_deceased("p_active", "p_deceased").alias("eligible"),
-        "p_membership_state", "p_membership_state_b", "p_membership_cancel", "p_membership_cancel_b",
-        R.or_empty("p_membership_nbr").alias("lidnummer"),
-        P.label().alias("partner"),
-        F.col("p_name").alias("naam"),
-        R.or_empty("p_first_name").alias("voornaam"),
-        R.or_empty("p_last_name").alias("achternaam"),
-        P.afdeling().alias("afdeling"),
-        P.straat().alias("straat"),
-        R.or_empty(P.huisnummer()).alias("huisnummer"),
-        R.or_empty("p_street_bus").alias("bus"),
-        P.postcode().alias("postcode"),
-        P.gemeente().alias("gemeente"),
-        F.col("p_postbus_nbr").alias("postbus"),
-        P.provincie_state().alias("provincie"),
-        F.col("c_name").alias("land"),
-        F.col("p_national_id_nbr").alias("rijksregisternummer"),
-        F.col("p_birthday").alias("geboorte_datum"),
-        F.col("a5_name").alias("naam_partner"),
-        P.adres_status().cast("string").alias("adres_status"),
-        P.email_ontvangen().alias("email_ontvangen"),
-        P.post_ontvangen().alias("post_ontvangen"),
-        R.bool_text("p_iets_te_verbergen").alias("nooit_contacteren"),
-        R.bool_text(P.overleden()).alias("overleden"),
-        R.or_empty("p_email").alias("email"),
-        P.aanspreking().alias("aanspreking"),
-        F.col("p_gender").alias("geslacht"),
-        F.col("pct_name").alias("rechtspersoon"),
+        *[attributes.get(c, F.col(c)).alias(c) for c in columns],
     )
 
 
@@ -405,72 +434,85 @@ def _gift_ledger(t, start, end, codes) -> GiftLedger:
         F.lit(HISTORY).alias("branch"),
     )
     return GiftLedger(
-        _booked_facts(t, start, end, codes, True).unionByName(hist), _extract_partners(t),
-        _booked_facts(t, start, end, codes, False).unionByName(hist))
+        _booked_facts(t, start, end, codes, True).unionByName(hist),
+        unnamed=_booked_facts(t, start, end, codes, False).unionByName(hist), tables=t)
 
 
 # ============================================================================
 # Legacies
 # ============================================================================
 LEGACY_PROJECT_PATTERN = "L-%"
+# columns of the staged legacies, and those that the report prints
+LEGACY_COLUMNS = (
+    "acount_id", "date", "jaar", "maand", "debet", "credit", "amount", "partner_id", "huidige_lidmaatschap_status",
+    "lidnummer", "partner", "naam", "voornaam", "achternaam", "afdeling", "opzegdatum", "straat", "huisnummer", "bus",
+    "postcode", "gemeente", "postbus", "provincie", "land", "geboorte_datum", "naam_partner", "adres_status",
+    "email_ontvangen", "post_ontvangen", "nooit_contacteren", "overleden", "email", "aanspreking", "geslacht",
+    "rechtspersoon", "description", "ref", "dimensie1", "dimensie2", "dimensie3", "project_code", "project",
+    "grootboekrek", "grootboekrek_naam", "vzw", "boeking", "bron",
+)
+LEGACY_PRINTED = (
+    "date", "jaar", "amount", "partner_id", "huidige_lidmaatschap_status", "lidnummer", "partner", "description",
+    "ref", "dimensie1", "dimensie2", "dimensie3", "project_code", "project", "grootboekrek", "grootboekrek_naam",
+    "vzw", "boeking",
+)
 
 
-def legacy_ledger(t, start, end) -> DataFrame:
+def _legacy_partners(t, columns: tuple[str, ...]) -> DataFrame:
+    lookups = {lookup for c in columns for lookup in ATTRIBUTE_LOOKUPS.get(c, ())}
+    return P.partner_dim(t, (lookups - {"state"}) | {"country"}).where(F.col("c_id").isNotNull())
+
+
+def _legacy_columns(posted: bool, columns: tuple[str, ...]) -> list[Column]:
+    fact = {
+        "acount_id": F.col("account_id").cast("int"), "debet": F.col("debit"), "credit": F.col("credit"),
+        "amount": R.gift_amount().cast(AMOUNT), "description": R.clean_text("name"), "ref": F.col("ref"),
+        "dimensie1": R.or_empty("d1_name"), "dimensie2": R.or_empty("d2_name"), "dimensie3": R.or_empty("d3_name"),
+        "project_code": project_code(), "project": project_name(), "grootboekrek": F.col("aa_code"),
+        "grootboekrek_naam": R.clean_separator("aa_name"), "vzw": F.col("rc_name"), "boeking": F.col("am_name"),
+        "bron": F.lit("ERP"), "huidige_lidmaatschap_status": F.col("p_membership_state"),
+        "opzegdatum": F.col("p_membership_cancel"),
+    } if posted else {
+        "acount_id": _null("int"), "debet": _null(MONEY), "credit": _null(MONEY),
+        "amount": F.col("amount").cast(AMOUNT), "description": R.clean_text("description"), "ref": _null("string"),
+        "dimensie1": F.col("project_nbr"), "dimensie2": F.col("cost_center"), "dimensie3": _null("string"),
+        "project_code": R.history_project("project_nbr", "cost_center"), "project": _null("string"),
+        "grootboekrek": _null("string"), "grootboekrek_naam": _null("string"), "vzw": _null("string"),
+        "boeking": _null("string"), "bron": F.lit("npca"),
+        "huidige_lidmaatschap_status": F.col("p_membership_state_b"), "opzegdatum": F.col("p_membership_cancel_b"),
+    }
+    person = {
+        "date": F.col("date"), "jaar": R.year_of("date"), "maand": R.month_of("date"), "partner_id": F.col("p_id"),
+        "lidnummer": F.col("p_membership_nbr"), "partner": P.label(), "naam": F.col("p_name"),
+        "voornaam": F.col("p_first_name"), "achternaam": F.col("p_last_name"), "afdeling": P.afdeling(),
+        "straat": P.straat(), "huisnummer": P.huisnummer(), "bus": F.col("p_street_bus"), "postcode": P.postcode(),
+        "gemeente": P.gemeente(), "postbus": F.col("p_postbus_nbr"), "provincie": P.provincie_zip(),
+        "land": F.col("c_name"), "geboorte_datum": F.col("p_birthday"), "naam_partner": F.col("a5_name"),
+        "adres_status": P.adres_status().cast("string"), "email_ontvangen": P.email_ontvangen(),
+        "post_ontvangen": P.post_ontvangen(), "nooit_contacteren": R.bool_text("p_iets_te_verbergen"),
+        "overleden": R.bool_text(P.overleden()), "email": F.col("p_email"), "aanspreking": P.aanspreking(),
+        "geslacht": F.col("p_gender"), "rechtspersoon": F.col("pct_name"),
+    }
+    return [(fact | person)[c].alias(c) for c in columns]
+
+
+def _by_project(legacies: DataFrame) -> DataFrame:
+    # the further columns spread one project's gifts over the sort's ranges
+    return legacies.orderBy(F.col("project_code").asc_nulls_last(), "date", "partner_id", "amount")
+
+
+def legacy_ledger(t, start, end, columns: tuple[str, ...] = LEGACY_PRINTED) -> DataFrame:
     """Bequests: booked lines on a legacy project (code ``L-...``) of an
-    active or deceased partner with a known country, ordered by project."""
+    active or deceased partner with a known country, ordered by project.
+    ``columns=LEGACY_COLUMNS`` gives the whole staged row."""
     lines = posted_lines(t, start, end, codes=None).where(project_code().like(LEGACY_PROJECT_PATTERN))
-    pdim = P.partner_dim(t, ("country",)).where(
-        F.col("c_id").isNotNull() & R.active_or_deceased("p_active", "p_deceased")
-    )
+    pdim = _legacy_partners(t, columns).where(R.active_or_deceased("p_active", "p_deceased"))
     joined = lines.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
-    out = joined.select(
-        F.col("date"),
-        R.year_of("date").alias("jaar"),
-        R.gift_amount().cast(AMOUNT).alias("amount"),
-        F.col("p_id").alias("partner_id"),
-        F.col("p_membership_state").alias("huidige_lidmaatschap_status"),
-        F.col("p_membership_nbr").alias("lidnummer"),
-        P.label().alias("partner"),
-        R.clean_text("name").alias("description"),
-        F.col("ref"),
-        R.or_empty("d1_name").alias("dimensie1"),
-        R.or_empty("d2_name").alias("dimensie2"),
-        R.or_empty("d3_name").alias("dimensie3"),
-        project_code().alias("project_code"),
-        project_name().alias("project"),
-        F.col("aa_code").alias("grootboekrek"),
-        R.clean_separator("aa_name").alias("grootboekrek_naam"),
-        F.col("rc_name").alias("vzw"),
-        F.col("am_name").alias("boeking"),
-    )
-    # the further columns spread one project's gifts over the sort's ranges
-    return out.orderBy(F.col("project_code").asc_nulls_last(), "date", "partner_id", "amount")
+    return _by_project(joined.select(_legacy_columns(True, columns)))
 
 
-def legacy_history(t, start, end) -> DataFrame:
+def legacy_history(t, start, end, columns: tuple[str, ...] = LEGACY_PRINTED) -> DataFrame:
     """Payment-history gifts of [start, end] in the legacy report's columns
     (partner with a known country, history project rule)."""
-    pdim = P.partner_dim(t, ("country",)).where(F.col("c_id").isNotNull())
-    hist = history_lines(t, start, end).join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
-    out = hist.select(
-        F.col("date"),
-        R.year_of("date").alias("jaar"),
-        F.col("amount").cast(AMOUNT).alias("amount"),
-        F.col("p_id").alias("partner_id"),
-        F.col("p_membership_state_b").alias("huidige_lidmaatschap_status"),
-        F.col("p_membership_nbr").alias("lidnummer"),
-        P.label().alias("partner"),
-        R.clean_text("description").alias("description"),
-        _null("string").alias("ref"),
-        F.col("project_nbr").alias("dimensie1"),
-        F.col("cost_center").alias("dimensie2"),
-        _null("string").alias("dimensie3"),
-        R.history_project("project_nbr", "cost_center").alias("project_code"),
-        _null("string").alias("project"),
-        _null("string").alias("grootboekrek"),
-        _null("string").alias("grootboekrek_naam"),
-        _null("string").alias("vzw"),
-        _null("string").alias("boeking"),
-    )
-    # the further columns spread one project's gifts over the sort's ranges
-    return out.orderBy(F.col("project_code").asc_nulls_last(), "date", "partner_id", "amount")
+    joined = history_lines(t, start, end).join(_legacy_partners(t, columns), F.col("partner_id") == F.col("p_id"), "inner")
+    return _by_project(joined.select(_legacy_columns(False, columns)))

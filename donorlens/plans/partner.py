@@ -46,6 +46,10 @@ def _partner_dim(t, wanted: frozenset) -> DataFrame:
     partners = t.res_partner
     p = partners.select([F.col(c).alias(f"p_{c}") for c in partners.columns])
     names = partners.select("id", "name")
+    # only partners that are somebody's department: few rows, so their joins need not shuffle the partners
+    used = (partners.select(F.explode(F.array("department_id", "department_choice_id")).alias("used_id"))
+            .where("used_id IS NOT NULL").distinct())
+    departments = names.join(used, F.col("id") == F.col("used_id"), "left_semi")
     specs = {
         "country": (t.res_country, "c", ("id", "name"), "p_country_id"),
         "state": (t.res_country_state, "cs", ("id", "name"), "p_state_id"),
@@ -53,8 +57,8 @@ def _partner_dim(t, wanted: frozenset) -> DataFrame:
         "city": (t.res_country_city, "cc", ("id", "name", "zip"), "p_zip_id"),
         "title": (t.res_partner_title, "pt", ("id", "shortcut"), "p_title"),
         "legal": (t.res_partner_corporation_type, "pct", ("id", "name"), "p_corporation_type_id"),
-        "dept": (names, "a", ("id", "name"), "p_department_id"),
-        "dept_choice": (names, "a2", ("id", "name"), "p_department_choice_id"),
+        "dept": (departments, "a", ("id", "name"), "p_department_id"),
+        "dept_choice": (departments, "a2", ("id", "name"), "p_department_choice_id"),
         "relation": (names, "a5", ("id", "name"), "p_relation_partner_id"),
     }
     for key in LOOKUPS:

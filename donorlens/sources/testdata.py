@@ -208,7 +208,10 @@ MAPPED: dict[str, Mapped] = {
                 "date": "CAST(l_shipdate AS DATE)",
                 "debit": "CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END",
                 "credit": "CASE WHEN l_returnflag <> 'R' THEN l_quantity * (1 + l_suppkey % 30) ELSE 0 END",
-                "name": f"'gift; line' || chr(10) || {_s('l_linenumber')}",
+                "name": (
+                    f"CASE WHEN l_partkey % 37 = 3 THEN NULL WHEN l_partkey % 23 = 4 THEN 'GIFT/2014/' || {_s('l_orderkey')} "
+                    f"ELSE 'gift; line' || chr(10) || {_s('l_linenumber')} END"
+                ),
                 "ref": f"CASE WHEN l_linenumber % 3 <> 0 THEN 'REF' || {_s('l_orderkey')} END",
                 "analytic_dimension_1_id": "1 + l_partkey % 30",
                 "analytic_dimension_2_id": "CASE WHEN l_suppkey % 3 = 0 THEN 1 + l_partkey % 5 END",
@@ -275,7 +278,7 @@ MAPPED: dict[str, Mapped] = {
                 "analytic_account_id": f"1 + {C} % 30",
                 "interval_type": f"CASE WHEN {C} % 8 = 0 THEN 'J' ELSE 'M' END",
                 "interval_number": "1",
-                "donation_amount": f"5 * (1 + {C} % 20)",
+                "donation_amount": f"CASE WHEN {C} % 24 = 8 THEN -5 ELSE 5 END * (1 + {C} % 20)",
                 "next_invoice_date": _days("2020-06-01", f"({C} * 37) % 900"),
                 "donation_start": _days("2018-01-01", f"{C} % 700"),
                 "last_invoice_date": _days("2019-06-01", f"({C} * 37) % 900"),

@@ -1,6 +1,7 @@
 """Physical-plan properties that matter at scale."""
 
 from donorlens import params as Q
+from donorlens.operators import certificates as CERT
 from donorlens.operators import ledger_reports as LR
 from donorlens.operators import recurring as REC
 from donorlens.operators import extracts as X
@@ -38,3 +39,24 @@ def test_recurring_has_no_window_over_gift_rows(tables):
     assert window_at >= 0
     # the window's input is an aggregate (one row per project name)
     assert opt.find("Aggregate", window_at) > window_at
+
+
+def facts_read(df):
+    """Scans of the booked lines; a reused stage counts once."""
+    return plan(df).split("== Initial Plan ==")[-1].count("lineitem.parquet")
+
+
+def test_facts_are_read_as_seldom_as_possible(tables):
+    assert facts_read(REC.recurring_project_donors(tables, Q.RECURRING_START, Q.RECURRING_END, Q.RECURRING_HISTORY_START)) == 1
+    certificates = CERT.certificate_donors_missing_id(
+        tables, Q.CERTIFICATE_AS_OF, Q.CERTIFICATE_PROFILE_SINCE, Q.CERTIFICATE_HISTORY_MONTHS)
+    assert facts_read(certificates) == 2
+
+
+def test_only_the_lookups_of_a_report_are_joined(tables):
+    led = gift_ledger(tables, Q.LEDGER_START, Q.LEDGER_END)
+    joins = {name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for name, df in {
+        "ledger_dates": LR.ledger_dates(led, "npca"), "thankyou_totals": LR.thankyou_totals(led, Q.THANKYOU_PATTERN),
+        "unique_donors": LR.unique_donors(led)}.items()}
+    # the ledger's own joins and one with the partners: no partner lookups
+    assert joins["ledger_dates"] <= 2 and joins["thankyou_totals"] <= 11 < joins["unique_donors"], joins

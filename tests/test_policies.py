@@ -7,12 +7,14 @@ import tempfile
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from donorlens.operators import categories as CAT
+from donorlens.operators import certificates as CERT
 from donorlens.operators import extracts as X
+from donorlens.operators import ledger_reports as LR
 from donorlens.operators import recurring as REC
 from donorlens.plans.ledger import gift_ledger
+from donorlens.plans.selection import Selection
 from donorlens.sources.schemas import SCHEMAS, columns
 from donorlens.sources.testdata import LITERALS
 
@@ -121,9 +123,64 @@ def test_recurring_row_numbers_follow_project_order(spark):
 
 
 def test_certificate_threshold_applies_per_staged_row(spark):
-    staged = spark.createDataFrame([(1, 30.0), (1, 30.0), (2, 50.0), (2, 10.0)], "partner_id long, bedrag double")
-    kept = staged.where(F.col("bedrag") >= 40).groupBy("partner_id").agg(F.sum("bedrag").alias("b"))
-    assert [tuple(r) for r in kept.collect()] == [(2, 50.0)]
+    """Staged rows of a partner: this year's gifts with pledges, and the
+    yearly mean of a regular donor; each must reach the minimum by itself."""
+    def gifts(pid, last, before):
+        days = [(dt.date(2021, 2, 1), last), (dt.date(2020, 2, 1), before), (dt.date(2019, 2, 1), before)]
+        return [line(pid, day, credit) for day, credit in days if credit]
+
+    t = Tables(
+        spark,
+        res_partner=[partner(p, tax_certificate=True) for p in (1, 2, 3)] + [partner(4, tax_certificate=True, national_id_nbr="R4")],
+        account_move=MOVES,
+        account_analytic_account=PROJECTS,
+        # 1: 30 this year and a mean of 35: neither counts; 2: 50 this year, mean of 35; 3: 30 this year, mean of 45
+        account_move_line=gifts(1, "30.00", "20.00") + gifts(2, "50.00", "10.00") + gifts(3, "30.00", "30.00") + gifts(4, "90.00", None),
+    )
+    rows = CERT.certificate_donors_missing_id(t, "2021-06-30", 2020).collect()
+    assert {r.partner_id: r.bedrag for r in rows} == {2: 50.0, 3: 45.0}
+
+
+def test_one_donor_may_have_year_gifts_and_a_regular_project(spark):
+    """Year to date counts a gift once more when its project is supported regularly."""
+    days = [dt.date(2020 + (m // 12), m % 12 + 1, 5) for m in range(4, 18)]  # 14 months up to June 2021
+    t = Tables(
+        spark,
+        res_partner=[partner(1, tax_certificate=True)],
+        dwh_partners=[(1, True, False, False, None)],
+        account_move=MOVES,
+        account_analytic_account=PROJECTS,
+        account_move_line=[line(1, day, "3.00") for day in days],
+    )
+    rec = REC.recurring_project_donors(t, "2021-01-01", "2021-06-30", "2020-05-01").collect()
+    assert [(r.bedrag, r.periode_j, r.periode_m, r.r) for r in rec] == [(Decimal("42.00"), 1, 13, 14)]
+    rows = CERT.certificate_donors_missing_id(t, "2021-06-30").collect()
+    # six gifts this year; thirteen since 30 May 2020, as a regular project; the mean of the two profile years
+    assert [(r.partner_id, r.bedrag) for r in rows] == [(1, 6 * 3.0 + 13 * 3.0 + 42.0)]
+
+
+def test_selection_conditions(spark):
+    t = Tables(
+        spark,
+        res_partner=[partner(1, email="a@x.org", zip="1000"), partner(2, zip="2000"), partner(3, zip="1000", opt_out=True, email="b@x.org")],
+        account_move=MOVES,
+        account_analytic_account=PROJECTS,
+        account_move_line=[line(1, dt.date(2020, 5, 1), "10.00", name="Bank ABC"), line(2, dt.date(2020, 5, 2), "20.00", name=None),
+                           line(3, dt.date(2020, 5, 3), "30.00", name="other")],
+    )
+    led = gift_ledger(t, "2020-01-01", "2020-12-31")
+
+    def found(**conditions):
+        return sorted(r.partner_id for r in LR.ledger_lookup(led, selection=Selection(**conditions)).collect())
+
+    assert found() == [1, 2, 3]
+    assert found(description_like=("%abc%", "%x")) == [1]
+    assert found(description_not_like="Bank%") == [3]  # a missing description is neither like nor unlike
+    assert found(with_email=True) == [1, 3] and found(with_email=False) == [2]
+    assert found(with_email=True, accepts_email=True) == [1]
+    assert found(postcodes=("1000",), dates=("2020-05-03", "2020-05-02")) == [3]
+    assert found(codes=("F-00001",), project_pattern="Project%", source="ERP", account="732100") + found(codes=("x",)) in ([1, 2, 3], [])
+    assert {r.partner_id for r in LR.thankyou_post(led, Selection(with_email=False)).collect()} == {2}
 
 
 def test_audit_row_is_appended(spark):

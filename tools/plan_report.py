@@ -29,20 +29,20 @@ def summary(plan: str) -> dict:
 
 def scans(plan: str, table: str) -> tuple[set, set]:
     cols, filters = set(), set()
-    for line in plan.splitlines():
-        if "FileScan parquet" in line and f"/{table}.parquet" in line:
-            m = re.search(r"ReadSchema: struct<([^>]*)>", line)
-            if m:
-                cols.update(f.split(":")[0] for f in m.group(1).split(","))
-            m = re.search(r"PushedFilters: \[([^\]]*)\]", line)
+    # a filter may hold a line break, so a scan is read up to its schema
+    for scan in re.findall(r"FileScan parquet .*?ReadSchema: struct<[^>]*>", plan, re.S):
+        if f"/{table}.parquet" in scan:
+            m = re.search(r"ReadSchema: struct<([^>]*)>", scan)
+            cols.update(f.split(":")[0] for f in m.group(1).split(","))
+            m = re.search(r"PushedFilters: \[([^\]]*)\]", scan)
             if m and m.group(1):
-                filters.update(x.strip() for x in re.split(r", (?=[A-Z])", m.group(1)))
+                filters.update(" ".join(x.split()) for x in re.split(r", (?=[A-Z])", m.group(1)))
     return cols, filters
 
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from donorlens.catalog import QUERIES
     from donorlens.session import local_session
 
     spark = local_session()
@@ -53,7 +53,7 @@ def main(argv):
     print("| report | shuffles | broadcasts | reused stages | sort-merge joins | broadcast joins | windows | expand |"
           " lineitem columns read | lineitem pushed filters |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

@@ -25,8 +25,12 @@ blocks is dealt again with other salts, and in the end by one common key.
 stream.  Up to ``small_run`` classes of one signature are paired.  A longer
 run (a passage or line that very many documents share, or a very large group
 of near copies) is needed only for classes that have too few other
-signatures; these are linked to the run's first such class, and only what is
-in different components after that is compared pair by pair.
+signatures.  With n non-empty blocks, of which any ``need`` must hold a shared
+one, a class may leave out n - need signatures, if all classes leave out the
+last ones of one order (as prefix filters do); that order is short runs, then
+long runs by signature.  The classes of a long run that are left are linked to
+its centre, the class in most of them, and only what is in different
+components after that is compared pair by pair.
 
 *Verify.*  Pairs pass the size and the 1024-bit Hamming bound, then the sets
 themselves are compared exactly: 100 * intersection >= 75 * union.
@@ -314,12 +318,13 @@ class NgramJaccardJoin:
         lost = entries.where(salt == 0).groupBy("fp", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
         c = self.classes.select(F.col("fp").alias("class_fp"), "own", "slack_own", "slack_next")
         slack = F.when(F.col("band") == F.col("own").bitwiseAND(0xFF), F.col("slack_own")).otherwise(F.col("slack_next"))
-        safe = (lost.join(c, F.col("fp") == F.col("class_fp"))
-                .groupBy("fp", "band").agg(F.max(F.when(F.col("lost") > slack, 1).otherwise(0)).alias("open")).where("open = 0")
-                .select(F.col("fp").alias("safe_fp"), F.col("band").alias("safe_band")))
-        needed = written(entries.withColumn("band", F.when(salt == 0, band))
-                         .join(safe, (F.col("fp") == F.col("safe_fp")) & (F.col("band") == F.col("safe_band")), "left_anti")
-                         .select("sig", "fp"), "long-runs")
+        # of the long runs a class keeps only as many as its short ones leave open, the first by signature
+        keep = (lost.join(c, F.col("fp") == F.col("class_fp")).groupBy("fp", "band").agg(F.max(F.col("lost") - slack).alias("keep"))
+                .where("keep > 0").select(F.col("fp").alias("keep_fp"), F.col("band").alias("keep_band"), "keep"))
+        place = F.row_number().over(Window.partitionBy("fp", "band").orderBy("sig"))
+        ranked = entries.where(salt == 0).select("sig", "fp", band.alias("band")).withColumn("place", place)
+        kept = ranked.join(keep, (F.col("fp") == F.col("keep_fp")) & (F.col("band") == F.col("keep_band")) & (F.col("place") <= F.col("keep")))
+        needed = written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
         # the class of a run that is in most long runs is the least edited one: the centre of the run's star
         runs_of = needed.groupBy("fp").agg(F.count(F.lit(1)).alias("n_runs")).select(F.col("fp").alias("runs_of"), "n_runs")
         centre = (needed.join(runs_of, F.col("fp") == F.col("runs_of")).groupBy("sig").agg(F.max(F.struct("n_runs", "fp")).alias("centre"))

@@ -25,12 +25,14 @@ blocks is dealt again with other salts, and in the end by one common key.
 stream.  Up to ``small_run`` classes of one signature are paired.  A longer
 run (a passage or line that very many documents share, or a very large group
 of near copies) is needed only for classes that have too few other
-signatures.  With n non-empty blocks, of which any ``need`` must hold a shared
-one, a class may leave out n - need signatures, if all classes leave out the
-last ones of one order (as prefix filters do); that order is short runs, then
-long runs by signature.  The classes of a long run that are left are linked to
-its centre, the class in most of them, and only what is in different
-components after that is compared pair by pair.
+signatures.  With n non-empty blocks a class may leave out n - (d + 1)
+signatures, if all classes leave out the last ones of one order (as prefix
+filters do); that order is short runs, then long runs by signature.  Only the
+strict d + 1 serves here: short runs are the blocks a text shares with few, so
+the chance behind ``miss_bits`` says nothing about them, and where fewer than
+d + 1 blocks are used no long run is left out.  The classes of a long run that
+are left are linked to its centre, the class in most of them, and only what is
+in different components after that is compared pair by pair.
 
 *Verify.*  Pairs pass the size and the 1024-bit Hamming bound, then the sets
 themselves are compared exactly: 100 * intersection >= 75 * union.
@@ -104,9 +106,10 @@ def upper(band: int, percent: int = PERCENT) -> int:
     return int((100 / percent) ** band + 1e-9)
 
 
-def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_BITS) -> tuple[int, int]:
-    """(m, need): blocks of a band's sketches, and how many non-empty ones
-    must differ for a linked pair to be missed."""
+def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_BITS) -> tuple[int, int, int]:
+    """(m, need, strict): blocks of a band's sketches, how many non-empty ones
+    must differ for a linked pair to be missed, and the number (d + 1) of which
+    one is shared whichever are picked."""
     t = percent / 100
     d = int(2 * upper(band, percent) * (1 - t) / (1 + t) + 1e-9)
     need, m = d + 1, int(1.25 * (d + 1)) + 6
@@ -118,7 +121,7 @@ def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_B
                 need, m = fewer, int(1.25 * fewer) + 1
                 break
             fewer += max(1, fewer // 32)
-    return m, need
+    return m, need, d + 1
 
 
 def blocks(elements: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +135,13 @@ def blocks(elements: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndar
 
 def signatures(elements: np.ndarray, percent: int, miss_bits: int | None, plan: dict) -> tuple[np.ndarray, list[int]]:
     """Signatures of a set for its own and the next band; and, for both, how
-    many of its blocks can be lost to long runs before it may miss a link."""
+    many of its blocks any choice may leave out without missing a link (below 0
+    where fewer blocks than the strict pigeonhole asks for are used)."""
     own, out, slack = band_of(len(elements), percent), [], []
     for band in (own, own + 1):
         if band not in plan:
             plan[band] = blocks_for(band, percent, miss_bits)
-        m, need = plan[band]
+        m, need, strict = plan[band]
         for salt in range(SALTS + 1):
             tag = np.uint64(((band & 0xFF) << 4) | salt)
             if salt == SALTS:  # too few blocks under every salt: one key for all such sets
@@ -146,7 +150,7 @@ def signatures(elements: np.ndarray, percent: int, miss_bits: int | None, plan:
             number, xor = blocks(elements, m, salt)
             out.append((mix64(xor + mix64(number + np.uint64(band * 131071 + salt))) & ~_TAG) | tag)
             if salt == 0:
-                slack.append(len(number) - need)
+                slack.append(len(number) - strict)
             if len(number) >= need:
                 break
     return np.concatenate(out), slack

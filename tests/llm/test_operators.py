@@ -108,6 +108,16 @@ def test_join_components(spark, docs_of, options):
     assert got == brute_components(rows)
 
 
+def test_join_keeps_links_that_only_long_runs_hold(spark, docs_of):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(2304)]  # 2300 shingles
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):  # supersets at 0.76 to 0.80, none of them linked to another
+        rows.append((i, " ".join(base + [f"s{i}x{k}" for k in range(rng.randint(576, 724))])))
+    got = jaccard.NgramJaccardJoin(docs_of(rows)).documents().collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_join_odd_rows(spark, docs_of):
     got = jaccard.NgramJaccardJoin(docs_of(ODD)).documents().collect()
     assert len(got) == len(ODD)

@@ -6,9 +6,11 @@ normalised (lower case, white space runs as one space, trimmed) and hashed,
 and the distinct documents of each host that hold it are counted.  Lines held
 by more than ``max_docs_per_host`` of them are removed, and a document that
 loses more than ``max_lost_percent`` of its words that way is rejected as
-depleted.  The host of a document is its ``source``.
+depleted.  ``cleaned`` returns the texts without these lines (blank lines
+stay); ``apply_rules`` is the same without the text.  The host of a document
+is its ``source``.
 
-Defined results: null text counts as empty (0 words, so base_failed); a null
+Defined results: null text counts as empty (0 words, so base_failed) and stays null; a null
 source is a host of its own; rows that repeat a (doc_id, text) count once as
 a document of a host and each get their result; rows with a null doc_id are
 told apart by their text.
@@ -31,11 +33,11 @@ def doc_key() -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Per input row: doc_id, host, doc (key), n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed."""
-    ids = ["doc_id", "host", "doc"]
+    """Per input row: doc_id, host, doc (key), text, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    ids = ["doc_id", "host", "doc", "text"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
-                       doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("t"))
+                       doc_key().alias("doc"), "text", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.select(
         *ids, F.filter(F.split("t", GAP), lambda w: w != "").alias("w"), _word_lines("t").alias("raw"),
         F.length(F.regexp_replace("t", GAP, "")).cast("long").alias("word_chars"),
@@ -64,10 +66,10 @@ def _word_lines(text: str) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc, host, pos, h, words): every line with a word, its hash and its
-    words; rows that repeat a document give its lines once."""
-    rows = docs.select(doc_key().alias("doc"), F.col("source").cast("string").alias("host"), F.posexplode(_word_lines("text")).alias("pos", "line"))
-    return rows.select("doc", "host", "pos", F.xxhash64(normalised(F.col("line"))).alias("h"),
+    """(doc, host, pos, h, words): every line with a word, its number in the
+    text, its hash and its words; rows that repeat a document give its lines once."""
+    rows = docs.select(doc_key().alias("doc"), F.col("source").cast("string").alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.where(F.col("line").rlike(WORD)).select("doc", "host", "pos", F.xxhash64(normalised(F.col("line"))).alias("h"),
                        F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).distinct()
 
 
@@ -78,21 +80,32 @@ def frequent_lines(lines: DataFrame, max_docs_per_host: int) -> DataFrame:
             .where(F.col("n_docs") > max_docs_per_host).select(F.col("host").alias("hot_host"), F.col("h").alias("hot_h")))
 
 
-def removed_words(docs: DataFrame, max_docs_per_host: int) -> DataFrame:
-    """(lost_doc, lost_host, lost): words of a document in frequent lines."""
+def removed_lines(docs: DataFrame, max_docs_per_host: int) -> DataFrame:
+    """(lost_doc, lost_host, lost, removed): words of a document in frequent
+    lines, and the numbers of these lines."""
     lines = document_lines(docs)
     hot = frequent_lines(lines, max_docs_per_host)
     return (lines.join(hot, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("h") == F.col("hot_h")))
-            .groupBy("doc", "host").agg(F.sum("words").alias("lost"))
-            .select(F.col("doc").alias("lost_doc"), F.col("host").alias("lost_host"), "lost"))
+            .groupBy("doc", "host").agg(F.sum("words").alias("lost"), F.collect_list("pos").alias("removed"))
+            .select(F.col("doc").alias("lost_doc"), F.col("host").alias("lost_host"), "lost", "removed"))
 
 
-def apply_rules(docs: DataFrame, max_docs_per_host: int = 100, max_lost_percent: int = 50) -> DataFrame:
-    """One row per input row: doc_id, the counts, base_failed, n_removed_words, kept."""
+def cleaned(docs: DataFrame, max_docs_per_host: int = 100, max_lost_percent: int = 50) -> DataFrame:
+    """One row per input row: doc_id, the counts, base_failed, n_removed_words,
+    kept, and ``text`` less its frequent lines."""
     base = base_counts(docs)
-    lost = removed_words(docs, max_docs_per_host)
+    lost = removed_lines(docs, max_docs_per_host)
     out = base.join(lost, (F.col("doc") == F.col("lost_doc")) & F.col("host").eqNullSafe(F.col("lost_host")), "left")
     lost_words = F.coalesce("lost", F.lit(0)).cast("long")
     depleted = lost_words * 100 > F.col("n_words") * max_lost_percent
+    out = out.withColumn("raw", F.when(F.col("removed").isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), "removed")  # keeps the order
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.element_at(F.col("raw"), i + 1)), "\n"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      lost_words.alias("n_removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
+                      lost_words.alias("n_removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"), text.alias("text"))
+
+
+def apply_rules(docs: DataFrame, max_docs_per_host: int = 100, max_lost_percent: int = 50) -> DataFrame:
+    """The rows of ``cleaned`` without their text."""
+    return cleaned(docs, max_docs_per_host, max_lost_percent).drop("text")

@@ -318,6 +318,27 @@ def test_rules_match_brute_force(spark, docs_of):
     assert rules.apply_rules(docs_of([])).count() == 0
 
 
+def test_frequent_lines_leave_the_text(spark, docs_of):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source")
+    mine = [(-1, "A  menu\n\nfirst\n a MENU \nlast", "en", "s"), (-2, "a menu\n\n", "en", "s"), (-2, "a menu\n\n", "en", "s"), (-3, "a menu", "en", "s"),
+            (-4, "a menu\nof another host", "en", None), (-5, None, "en", "s"), (None, "a menu\nno id", "en", "s"), (-6, "", "en", "s")]
+    rows = [tuple(r) for r in table.collect()] + mine
+    norm = lambda x: " ".join(words(x)).lower()
+    held = defaultdict(set)
+    for i, t, _, s in rows:
+        for x in (t or "").split("\n"):
+            if words(x):
+                held[s, norm(x)].add((i, t))
+    want = [(i, t if t is None else "\n".join(x for x in t.split("\n") if len(held[s, norm(x)]) <= 2)) for i, t, _, s in rows]
+    got = rules.cleaned(docs_of(rows), max_docs_per_host=2)
+    found = got.collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(want)
+    assert (-1, "\nfirst\nlast") in want and (-4, "a menu\nof another host") in want and (-2, "\n") in want
+    before = {(i, t): len(words(t)) for i, t, _, _ in rows}
+    assert sorted(r.n_removed_words for r in found) == sorted(before[i, t] - len(words(w)) for (i, t, _, _), (_, w) in zip(rows, want))
+    assert rules.apply_rules(docs_of(rows)).columns == [c for c in got.columns if c != "text"]
+
+
 # ---------------------------------------------------------------- op10
 def brute_lines(rows):
     seen, gone = set(), defaultdict(set)

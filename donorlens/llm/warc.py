@@ -9,8 +9,8 @@ page_id is the response; the others revisit it and carry no payload.
 digests.  The captures of one archive, sorted by (URL key, timestamp), are a
 run.
 
-*External merge.*  The key space is cut at keys sampled from the runs (at most
-``sample_keys`` of them).  Every run is dealt, already sorted, over these
+*External merge.*  The key space is cut at keys sampled from the runs by hash
+(at most ``sample_keys`` of them).  Every run is dealt, already sorted, over these
 ranges, and each range merges its k run parts with a loser tree: range by
 range the captures are in global order (``range_no``, ``position``).
 
@@ -228,8 +228,8 @@ def _merge_range(group: pa.Table) -> pa.Table:
 def merge_runs(runs: DataFrame, rows_per_range: int = 25_000, sample_keys: int = 20_000) -> DataFrame:
     """All captures in global order of (range_no, position)."""
     total = runs.count()
-    every = max(1, total // sample_keys)
-    sample = runs.where(F.col("place") % every == every // 2).select("url_key", "ts").orderBy(F.xxhash64("run", "place")).limit(sample_keys)
+    draw = F.pmod(F.xxhash64("run", "place"), F.lit(max(total, 1)))  # every row with the same chance, wherever it stands in its run
+    sample = runs.where(draw < 2 * sample_keys).select("url_key", "ts", draw.alias("draw")).orderBy("draw").limit(sample_keys)
     keys = sorted((r["url_key"], r["ts"]) for r in sample.collect())  # at most sample_keys rows
     ranges = max(1, -(-total // rows_per_range))
     cuts = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []

@@ -207,6 +207,18 @@ def test_merge_over_many_ranges(spark):
     assert [(r.url_key, r.ts) for r in ordered] == sorted((r.url_key, r.ts) for r in got)
 
 
+def test_ranges_are_even_when_few_keys_are_sampled(spark):
+    pages = [(i, f"http://h{i % 97}.org/{i}", f"{i}") for i in range(2000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = warc.write_archives(df, f"{warc.checkpoint_dir(spark)}/few-{random.random()}", records_per_file=20)
+    for sample_keys in (40, 100):  # one key of 50, and of 20, for runs of 20
+        got = warc.merge_runs(warc.read_runs(spark, path), rows_per_range=250, sample_keys=sample_keys).collect()
+        sizes = Counter(r.range_no for r in got)
+        assert sum(sizes.values()) == 2000 and len(sizes) == 8 and max(sizes.values()) < 1000
+        ordered = sorted(got, key=lambda r: (r.range_no, r.position))
+        assert [(r.url_key, r.ts) for r in ordered] == sorted((r.url_key, r.ts) for r in got)
+
+
 # ---------------------------------------------------------------- op5
 def test_article_text_of_every_page(spark):
     import html as H

@@ -44,7 +44,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}+ ?(?:[\[({]at[\])}]| at |@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({]dot[\])}]| dot |\.) ?[A-Za-z]{2,24}+){1,4}")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_ANCHOR = re.compile(r"[0-9@]|[ (\[{]dot[ )\]}]")
+# Necessary conditions of the patterns: of a spelled-out address, and of all others (an IPv6 address may hold no digit).
+_SPELLED = re.compile(r"(?:[\[({]at[\])}]| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:[\[({]dot[\])}]| dot |\.) ?[A-Za-z]{2}")
+_ANCHOR = re.compile(r"[0-9@:]")
+_SENTENCE_END = re.compile(r"[A-Za-z0-9-]\. ")  # 'at home. The': a full stop, no dot of a domain
 
 # Gazetteers and context words (English, German, French, Spanish).
 ENDINGS = frozenset("com org net edu gov info biz io eu de fr es at ch be uk us it nl example".split())
@@ -98,8 +101,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
     spans = []
-    if "dot" in text or "(at)" in text or "[at]" in text:
-        spans += [(0, *m.span()) for m in _LOOSE_EMAIL.finditer(text) if "@" not in m[0]]
+    if _SPELLED.search(text):
+        at = 0
+        while m := _LOOSE_EMAIL.search(text, at):
+            start, at = m.span()
+            # '(at) example.org. The' ends before the full stop where that is an address already
+            if (stop := _SENTENCE_END.search(m[0])) and (short := _LOOSE_EMAIL.fullmatch(text, start, start + stop.start() + 1)):
+                at = short.end()
+            if "@" not in text[start:at]:
+                spans.append((0, start, at))
     if ":" in text:
         spans += [(1, *m.span()) for m in _IPV6.finditer(text)]
     for m in _CARD.finditer(text):
@@ -114,6 +124,8 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
 def _check(kind: int, found: str) -> int:
     digits = _digits(found)
     if kind == 0:
+        if _SENTENCE_END.search(found):
+            return NO
         ending = re.split(r"[^A-Za-z0-9-]+", found.rstrip("])} "))[-1]
         return YES if ending.isalpha() and 2 <= len(ending) <= 24 else NO
     if kind == 1:
@@ -126,6 +138,8 @@ def _check(kind: int, found: str) -> int:
 def _gazetteer(kind: int, found: str) -> int:
     digits = _digits(found)
     if kind == 0:
+        if _SENTENCE_END.search(found):
+            return NO
         return YES if re.split(r"[^A-Za-z0-9-]+", found.lower().rstrip("])} "))[-1] in ENDINGS else ABSTAIN
     if kind == 1:
         return ABSTAIN if ":" in found else YES if 1 <= int(found.split(".")[0]) <= 223 else NO
@@ -175,7 +189,7 @@ def decode_code(code: int) -> tuple[int, tuple[int, ...], tuple[int, int, int]]:
 
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and looser spans that are no base span of their kind."""
-    if not _ANCHOR.search(text):
+    if not _ANCHOR.search(text) and not _SPELLED.search(text):
         return [], []
     base = base_spans(text)
     known = set(base)

@@ -55,6 +55,18 @@ def test_pii_rows(spark, docs_of):
     assert pii.find(docs_of([])).count() == 0
 
 
+def test_spelled_out_addresses_need_nothing_else_in_the_text():
+    forms = ["jane.doe (at) example.org", "jane {at} example.org", "jane [at] example [dot] org", "jane at example.com", "jane (at) example dot org"]
+    for form in forms:
+        for text in (f"write to {form} now", f"write to {form}. The rest", f"{form}. Bob (at) web.de is next"):
+            base, loose = pii.candidates(text)
+            assert not base and form in [text[a:b] for k, a, b in loose if k == 0], text
+    assert pii.candidates("host fe:dc:ba:ab:cd:ef:fa:ce up")[1] == [(1, 5, 28)]
+    text = "we stayed at home. The door"
+    (span,) = pii.candidates(text)[1]
+    assert pii.votes(text, *span, False)[1:3] == (pii.NO, pii.NO)
+
+
 def test_em_prefers_agreeing_labelers():
     good = pii.code_of(3, (1, 1, 1, 1, 1), (2, 2, 1))
     weak = pii.code_of(3, (2, 0, 2, 0, 0), (2, 0, 0))

@@ -8,6 +8,12 @@ second pass gives it the label of its nearest decided neighbour.  Inside an
 article or main element only neighbours of the same element count, and a block
 without any such neighbour is text.
 
+A block under 200 characters is a copyright notice, and no text, if it starts
+with the sign or the word and a year ("Copyright (c) 2020 ..."); outside an
+article or main element also if it starts with the sign, holds the sign or the
+word with a year or "copyright by", or reserves all rights.  Text that merely
+speaks of copyright is judged like any other.
+
 Defined results: null or empty html gives an empty text; unclosed and stray
 tags are tolerated; repeated rows and null page_ids are extracted row by row.
 """
@@ -60,6 +66,11 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|d
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _WORDS = re.compile(r"[^\W\d_]+")
+# Copyright notices: a block that starts with the word or the sign and a year; outside articles also one
+# that starts with the sign, names the sign with a year or an owner, or reserves all rights.
+_SIGN = r"(?:©|\(c\)|copyright\b)"
+_NOTICE = re.compile(rf"\W*{_SIGN}(?:\W|{_SIGN})*(?:by\W+)?(?:19|20)\d\d\b", re.I)
+_OWNER = re.compile(rf"^[^\w©]*©|{_SIGN}\W*(?:19|20)\d\d\b|copyright\W*(?:©|\(c\)|by\b)|all rights reserved", re.I)
 
 LONG, SHORT = 200, 70  # characters
 DENSE, THIN, LINKED = 0.30, 0.12, 0.35  # stop words per word; share of characters inside links
@@ -166,7 +177,7 @@ def first_pass(text: str, linked: int, bad: bool, main: int) -> int:
     """GOOD, BAD or OPEN (ambiguous)."""
     if bad or linked > LINKED * len(text):
         return BAD
-    if len(text) < LONG and ("©" in text or "copyright" in text.lower()):
+    if len(text) < LONG and (_NOTICE.match(text) or (not main and _OWNER.search(text))):
         return BAD
     if len(text) < SHORT:
         return OPEN

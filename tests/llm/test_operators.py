@@ -257,6 +257,15 @@ def test_page_rules(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_text_about_copyright_is_no_notice():
+    heading, short = "Copyright in Europe", "The copyright of a book is held by its author, and the sign © is not needed for that."
+    body = "This is the first of the long paragraphs and it has a lot of the words that are in the list of them."
+    article = f"<article><h1>{heading}</h1><p>{body}</p><p>{short}</p><p>© 2020 The Owner</p></article>"
+    page = f"<body><nav>Home</nav>{article}<div>Copyright (c) 2021 by Site</div><div>© the owner</div><div>Acme. All rights reserved.</div></body>"
+    assert extract.main_text(page) == f"{heading} {body} {short}"
+    assert extract.main_text(f"<body><div><p>{body}</p><p>{short}</p></div><p>Site © 2021</p></body>") == f"{body} {short}"
+
+
 # ---------------------------------------------------------------- op6
 def test_quality_on_held_out_rows(spark):
     got = queries.op6_quality_classifier(spark, MEDIUM).alias("s").join(spark.read.parquet(f"{MEDIUM}/labels.parquet"), "doc_id").where("held_out")

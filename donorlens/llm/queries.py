@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.llm import bpe, extract, jaccard, lines, mixing, pii, quality, rules, topk, warc
+from donorlens.llm import bpe, extract, flat_ids, jaccard, lines, mixing, pii, quality, repair, resample, rules, sql, topk, warc
 from donorlens.llm.common import table
 
 def held_out() -> Column:
@@ -62,11 +62,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "text", "n_removed_lines")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged_rows(table(spark, sf_dir, "conversations")))
+
+
+def op13_flat_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_ids.read(spark, flat_ids.write(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii_weak_supervision, op2_ngram_jaccard_join, op3_source_mixing, op4_warc_index_merge, op5_html_extraction,
-    op6_quality_classifier, op7_byte_bpe, op8_exact_topk, op9_quality_rules, op10_line_dedup)}
+    op6_quality_classifier, op7_byte_bpe, op8_exact_topk, op9_quality_rules, op10_line_dedup,
+    op11_target_resampling, op12_conversation_repair, op13_flat_token_ids)}
 
-#: DuckDB SQL of the queries that SQL can express.  The others (1, 3, 5, 6, 7)
+#: DuckDB SQL of the queries that SQL can express.  The others (1, 3, 5, 6, 7, 13)
 #: are held against brute-force versions by the tests.
 ORACLE_SQL: dict[str, str] = {}
 
@@ -162,3 +175,6 @@ rest AS (
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n GROUP BY l.doc_id)
 SELECT documents.doc_id, rest.text, coalesce(n_removed_lines, 0) AS n_removed_lines FROM documents LEFT JOIN rest USING (doc_id)
 """
+
+ORACLE_SQL["op11_target_resampling"] = sql.TARGET_RESAMPLING
+ORACLE_SQL["op12_conversation_repair"] = sql.CONVERSATION_REPAIR

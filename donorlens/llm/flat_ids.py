@@ -20,8 +20,8 @@ are a document's; readers map the files into memory.
 *Encoding.*  Texts are encoded by the tokenizers library.  No pre-token of
 these vocabularies spans ASCII white space, so a text's ids are those of its
 words, and equal words are encoded once while a task remembers them.  Words of
-printable ASCII go to the library's BPE model directly, all others through
-its whole pipeline.
+printable ASCII and Latin-1 letters go to the library's BPE model directly,
+pre-token by pre-token, all others through its whole pipeline.
 
 The folder must be one that the driver and all executors mount (files are
 mapped into memory).  Defined results: a null or empty text has only the end
@@ -53,59 +53,127 @@ from donorlens.session import checkpoint_dir
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 300_000  # words a task remembers before it starts anew
+REMEMBERED = 300_000  # words that a worker keeps at least
 PIECE = 1 << 20
 FILES = "file_no int, name string, width int, n_docs long, n_null long, n_ids long"
 _LOADED: dict = {}
+_GAP = re.compile(rb"\s")
 
-# The vocabulary's own pre-token rule, for printable ASCII in lower case.
-_ASCII = re.compile(rb"[\x21-\x7e]+")
-_PRETOKEN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The vocabulary's own pre-token rule for plain words: printable ASCII and the
+# letters of Latin-1, which neither composing nor lower-casing changes in number.
+_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte -> character of byte-level vocabularies: printable Latin-1 stays, the others follow from 256 on."""
+    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in stay)}
+
+
+class _Recent:
+    """The ids of words met lately: of the last ``REMEMBERED`` and, until they are
+    needed again, of as many before those.  Frequent words stay, rare ones go."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that are not known; the others are in ``now`` after this."""
+        if len(self.now) > REMEMBERED:
+            self.before, self.now = self.now, {}
+        new = wanted.difference(self.now)
+        unknown = new.difference(self.before)
+        for word in new - unknown:
+            self.now[word] = self.before[word]
+        return unknown
 
 
 class WordEncoder:
     """Encodes texts word by word; ``ids`` are little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(vocabulary)
-        self.width = 2 if max(self.library.get_vocab().values()) < 1 << 16 else 4
+        self.model = Tokenizer(self.library.model)  # the same merges, for pre-tokens in byte letters
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.words: dict[bytes, bytes] = {}
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        self.letters = _byte_letters()
+        self.words, self.pieces = _Recent(), _Recent()
 
     def packed(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        order = list(self.pieces.missing(pieces))
+        if not order:
+            return
+        text = " ".join(order)
+        if not text.isascii():
+            text = " ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in order])
+        found = np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[found]) + 1
+        if len(ends) != len(order):  # a vocabulary without an end for every word
+            tracked = self.model.encode(text, add_special_tokens=False)
+            ends = np.searchsorted(np.asarray(tracked.word_ids, np.int64), np.arange(len(order)), "right")
+        ids, begin = found.tobytes(), 0
+        for piece, end in zip(order, (ends * self.width).tolist(), strict=True):
+            self.pieces.now[piece] = ids[begin:end]
+            begin = end
+
     def _learn(self, words: set[bytes]) -> None:
-        model, rest = self.library.model, []
+        letters, texts, mixed, pieces, rest = [], [], [], [], []
         for word in words:
-            if _ASCII.fullmatch(word) and b"<|" not in word:  # special tokens are the pipeline's
-                self.words[word] = self.packed([t.id for p in _PRETOKEN.findall(word.lower()) for t in model.tokenize(p.decode())])
-            else:
+            text = word.decode()
+            if not _PLAIN.fullmatch(text) or "<|" in text:  # special tokens are the pipeline's
                 rest.append(word)
-        for word, found in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.words[word] = self.packed(found.ids)
-
-    def ids(self, text: str) -> Iterator[bytes]:
-        data = text.encode()
-        if text.isascii() and b"<|" not in data:
-            data = data.lower()
-        at = 0
-        while at < len(data):
-            stop = at + PIECE
-            if stop < len(data) and (gap := re.compile(rb"\s").search(data, stop)):
-                stop = gap.end()
-            elif stop < len(data):
-                stop = len(data)
-            words = data[at:stop].split()
-            if new := {w for w in words if w not in self.words}:
-                if len(self.words) > REMEMBERED:
-                    self.words.clear()
-                    new = set(words)
-                self._learn(new)
-            yield b"".join(map(self.words.__getitem__, words))
-            at = stop
+            elif text.isalpha():
+                letters.append(word)
+                texts.append(text.lower())
+            else:
+                mixed.append(word)
+                pieces.append(_PRETOKEN.findall(text.lower()))
+        self._learn_pieces(set(texts).union(*pieces))
+        ids = self.pieces.now.__getitem__
+        self.words.now.update(zip(letters, map(ids, texts), strict=True))
+        self.words.now.update(zip(mixed, [b"".join(map(ids, p)) for p in pieces], strict=True))
+        if rest:
+            for word, found in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+                self.words.now[word] = self.packed(found.ids)
+
+    def _pieces_of(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(row, UTF-8) of every text, long ones in pieces cut at white space."""
+        for row, text in enumerate(texts):
+            data, at = (text or "").encode(), 0
+            while len(data) - at > PIECE and (gap := _GAP.search(data, at + PIECE)):
+                yield row, data[at:gap.end()]
+                at = gap.end()
+            yield row, data[at:]
+
+    def encoded(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(row, ids), in the order of the texts; a long text has several, every one at least one."""
+        group, size = [], 0
+        for row, data in self._pieces_of(texts):
+            group.append((row, data.split()))
+            size += len(data)
+            if size > PIECE:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, bytes]]:
+        wanted = set().union(*[words for _, words in group])
+        if new := self.words.missing(wanted):
+            self._learn(new)
+        known = {w: self.words.now[w] for w in wanted}  # few enough to stay in the processor's cache
+        for row, words in group:
+            yield row, b"".join(map(known.__getitem__, words))
 
 
 def _encoder(vocabulary: str) -> WordEncoder:
@@ -132,15 +200,19 @@ def _write_batches(folder: str, vocabulary: str, end_id: int) -> Callable:
         n_docs = n_null = n_ids = 0
         with open(f"{own}.ids", "wb") as ids_file, open(f"{own}.docs", "wb") as docs_file:
             for batch in small_batches(batches):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    size = 0
-                    for piece in encoder.ids(text or ""):
-                        size += ids_file.write(piece)
-                    size += ids_file.write(end)
-                    n_ids += size // encoder.width
-                    n_docs += 1
-                    n_null += doc_id is None
-                    docs_file.write(np.array([doc_id or 0, n_ids], "<i8").tobytes())
+                doc_ids, sizes = batch.column("doc_id").to_pylist(), [0] * batch.num_rows
+                last = 0
+                for row, ids in encoder.encoded(batch.column("text").to_pylist()):
+                    if row != last:
+                        sizes[last] += ids_file.write(end)
+                        last = row
+                    sizes[row] += ids_file.write(ids)
+                sizes[last] += ids_file.write(end)
+                ends = n_ids + np.cumsum(sizes) // encoder.width
+                docs_file.write(np.column_stack((np.array([d or 0 for d in doc_ids], "<i8"), ends.astype("<i8"))).tobytes())
+                n_ids = int(ends[-1])
+                n_docs += batch.num_rows
+                n_null += sum(d is None for d in doc_ids)
         for kind in ("ids", "docs"):
             if n_docs:
                 os.replace(f"{own}.{kind}", f"{folder}/{name}.{kind}")

@@ -29,22 +29,32 @@ def brute(library, rows):
     return out
 
 
+def encoded(encoder, texts):
+    out = [b""] * len(texts)
+    for row, ids in encoder.encoded(texts):
+        out[row] += ids
+    return [np.frombuffer(ids, encoder.kind).tolist() for ids in out]
+
+
 def test_words_alone_give_the_texts_ids(library):
-    encoder = flat_ids.WordEncoder(library.to_str())
-    texts = [t for _, t in ODD if t] + [
-        "Don't we'll THEY'RE 'S 'tis", "a\x1cb\x85c\xa0d\u2003e", "H\u0331 I\u0307 Ⅷ ǅ ß İ ΑΣ", "<|endoftext|> x <|ENDOFTEXT|>", "x<|startoftext|>y!!'s 12ab34",
-        "\u0301start e\u0301 \u0301", "tab\tnl\nvt\x0bff\x0ccr\rzero\x00del\x7f", "汉字 仮名 한국어 🙂🙂", "##%% ''ll 'd'd'", "A" * 3000]
-    for text in texts:
-        got = np.frombuffer(b"".join(encoder.ids(text)), encoder.kind).tolist()
-        assert got == library.encode(text, add_special_tokens=False).ids, text[:60]
+    texts = [t for _, t in ODD] + [
+        "Don't we'll THEY'RE 'S 'tis", "a\x1cb\x85c\xa0d\u2003e", "H\u0331 I\u0307 Ⅷ ǅ ß ẞ İ ΑΣ", "<|endoftext|> x <|ENDOFTEXT|>", "x<|startoftext|>y!!'s 12ab34",
+        "\u0301start e\u0301 \u0301", "À\u0301B É\u0302x ÀÖØÞßàöøþÿ×÷ªºµ²½ é1è2", "tab\tnl\nvt\x0bff\x0ccr\rzero\x00del\x7f", "汉字 仮名 한국어 🙂🙂", "##%% ''ll 'd'd'", "A" * 3000]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoded(flat_ids.WordEncoder(library.to_str()), texts) == want
 
 
-def test_long_texts_are_cut_at_white_space(library, monkeypatch):
+def test_long_texts_and_forgotten_words(library, monkeypatch):
     monkeypatch.setattr(flat_ids, "PIECE", 50)
     monkeypatch.setattr(flat_ids, "REMEMBERED", 5)
+    texts = ["one two, three! " * 40, "Ünï çødé " * 40, "x" * 300, None, "x" * 300 + " y", "", "one two"]
+    assert encoded(flat_ids.WordEncoder(library.to_str()), texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_vocabularies_without_word_ends(library):
     encoder = flat_ids.WordEncoder(library.to_str())
-    for text in ("one two, three! " * 40, "Ünï çødé " * 40, "x" * 300, "x" * 300 + " y"):
-        assert np.frombuffer(b"".join(encoder.ids(text)), encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    encoder.ends_word[:] = False
+    assert encoded(encoder, ["one two's three-four", "Ünï"]) == [library.encode(t, add_special_tokens=False).ids for t in ("one two's three-four", "Ünï")]
 
 
 def test_query_rows(spark, library):

@@ -53,8 +53,8 @@ from donorlens.session import checkpoint_dir
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 300_000  # words that a worker keeps at least
-PIECE = 1 << 20
+REMEMBERED = 800_000  # words that a worker keeps at least
+PIECE, GROUP = 1 << 20, 4 << 20  # bytes: of one cut of a long text; of texts looked up together
 FILES = "file_no int, name string, width int, n_docs long, n_null long, n_ids long"
 _LOADED: dict = {}
 _GAP = re.compile(rb"\s")
@@ -76,18 +76,21 @@ class _Recent:
     needed again, of as many before those.  Frequent words stay, rare ones go."""
 
     def __init__(self):
-        self.now: dict = {}
-        self.before: dict = {}
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def missing(self, wanted: set) -> set:
-        """Those of ``wanted`` that are not known; the others are in ``now`` after this."""
+    def known(self, wanted: set[bytes]) -> tuple[dict[bytes, bytes | None], list[bytes]]:
+        """The ids of ``wanted`` (None: not known), and those not known."""
         if len(self.now) > REMEMBERED:
             self.before, self.now = self.now, {}
-        new = wanted.difference(self.now)
-        unknown = new.difference(self.before)
-        for word in new - unknown:
-            self.now[word] = self.before[word]
-        return unknown
+        now, before, missing = self.now.get, self.before.get, []
+        found = {word: now(word) for word in wanted}
+        for word in [w for w, ids in found.items() if ids is None]:
+            if (ids := before(word)) is None:
+                missing.append(word)
+            else:
+                found[word] = self.now[word] = ids
+        return found, missing
 
 
 class WordEncoder:
@@ -105,15 +108,16 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.letters = _byte_letters()
-        self.words, self.pieces = _Recent(), _Recent()
+        self.words = _Recent()
 
     def packed(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        order = list(self.pieces.missing(pieces))
+    def _encoded_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, by the model alone in one call."""
+        order = list(pieces)
         if not order:
-            return
+            return {}
         text = " ".join(order)
         if not text.isascii():
             text = " ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in order])
@@ -122,30 +126,30 @@ class WordEncoder:
         if len(ends) != len(order):  # a vocabulary without an end for every word
             tracked = self.model.encode(text, add_special_tokens=False)
             ends = np.searchsorted(np.asarray(tracked.word_ids, np.int64), np.arange(len(order)), "right")
-        ids, begin = found.tobytes(), 0
-        for piece, end in zip(order, (ends * self.width).tolist(), strict=True):
-            self.pieces.now[piece] = ids[begin:end]
-            begin = end
+        ids, ends = found.tobytes(), (ends * self.width).tolist()
+        return {piece: ids[a:b] for piece, a, b in zip(order, [0, *ends[:-1]], ends, strict=True)}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learned(self, words: list[bytes]) -> dict[bytes, bytes]:
         letters, texts, mixed, pieces, rest = [], [], [], [], []
         for word in words:
             text = word.decode()
-            if not _PLAIN.fullmatch(text) or "<|" in text:  # special tokens are the pipeline's
+            if not (text.isprintable() if text.isascii() else _PLAIN.fullmatch(text)):
                 rest.append(word)
             elif text.isalpha():
                 letters.append(word)
                 texts.append(text.lower())
-            else:
+            elif "<|" not in text:  # special tokens are the pipeline's
                 mixed.append(word)
                 pieces.append(_PRETOKEN.findall(text.lower()))
-        self._learn_pieces(set(texts).union(*pieces))
-        ids = self.pieces.now.__getitem__
-        self.words.now.update(zip(letters, map(ids, texts), strict=True))
-        self.words.now.update(zip(mixed, [b"".join(map(ids, p)) for p in pieces], strict=True))
+            else:
+                rest.append(word)
+        ids = self._encoded_pieces(set(texts).union(*pieces)).__getitem__
+        out = dict(zip(letters, map(ids, texts), strict=True))
+        out.update(zip(mixed, [b"".join(map(ids, p)) for p in pieces], strict=True))
         if rest:
-            for word, found in zip(rest, self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-                self.words.now[word] = self.packed(found.ids)
+            found = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            out.update(zip(rest, [self.packed(f.ids) for f in found], strict=True))
+        return out
 
     def _pieces_of(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
         """(row, UTF-8) of every text, long ones in pieces cut at white space."""
@@ -162,16 +166,17 @@ class WordEncoder:
         for row, data in self._pieces_of(texts):
             group.append((row, data.split()))
             size += len(data)
-            if size > PIECE:
+            if size > GROUP:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
     def _group(self, group: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, bytes]]:
-        wanted = set().union(*[words for _, words in group])
-        if new := self.words.missing(wanted):
-            self._learn(new)
-        known = {w: self.words.now[w] for w in wanted}  # few enough to stay in the processor's cache
+        known, missing = self.words.known(set().union(*[words for _, words in group]))
+        if missing:
+            new = self._learned(missing)
+            self.words.now.update(new)
+            known.update(new)
         for row, words in group:
             yield row, b"".join(map(known.__getitem__, words))
 
@@ -199,7 +204,7 @@ def _write_batches(folder: str, vocabulary: str, end_id: int) -> Callable:
         name, own = f"part-{number:06d}", f"{folder}/.{uuid.uuid4().hex}"
         n_docs = n_null = n_ids = 0
         with open(f"{own}.ids", "wb") as ids_file, open(f"{own}.docs", "wb") as docs_file:
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, 1024):
                 doc_ids, sizes = batch.column("doc_id").to_pylist(), [0] * batch.num_rows
                 last = 0
                 for row, ids in encoder.encoded(batch.column("text").to_pylist()):

@@ -21,13 +21,20 @@ probability below 2**-miss_bits (random dealing of d elements over m blocks;
 ``miss_bits=None`` keeps d + 1 everywhere).  A set with too few non-empty
 blocks is dealt again with other salts, and in the end by one common key.
 
-*Join.*  Rows (block signature, class) are sorted by signature and read as a
-stream.  Up to ``small_run`` classes of one signature are paired.  A longer
-run (a passage or line that very many documents share, or a very large group
-of near copies) is needed only for classes that have too few other
-signatures.  With n non-empty blocks a class may leave out n - (d + 1)
+*Seeds.*  Each class gives its few smallest signatures of either band first.
+The classes of such a signature are linked to a centre and verified, which
+joins most groups of near copies: what these groups hold in common, nearly
+all their signatures, need not be looked at again.
+
+*Join.*  Rows (block signature, class, group by the seeds) are sorted by
+signature and read as a stream; a run of classes of a single group has nothing
+left to find and is left out.  Up to ``small_run`` classes of one signature
+are paired.  A longer run (a passage or line that very many documents share,
+or a very large group of near copies) is needed only for classes that have too
+few other signatures.  With n non-empty blocks a class may leave out n - (d + 1)
 signatures, if all classes leave out the last ones of one order (as prefix
-filters do); that order is short runs, then long runs by signature.  Only the
+filters do); that order is short runs and runs of one group, then long runs by
+signature.  Only the
 strict d + 1 serves here: short runs are the blocks a text shares with few, so
 the chance behind ``miss_bits`` says nothing about them, and where fewer than
 d + 1 blocks are used no long run is left out.  The classes of a long run that
@@ -53,13 +60,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from donorlens.llm.common import hash_words, mix64, text_bytes, written
+from donorlens.llm.common import hash_words, mix64, small_batches, text_bytes, written
 from donorlens.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
 MISS_BITS = 30
 SMALL_RUN = 8
+SEEDS = 4  # of each band
 SALTS = 4
 SKETCH_WORDS = 16  # 1024 bits
 _TAG = np.uint64(0xFFF)  # low bits of a signature: band and salt
@@ -158,110 +166,108 @@ def signatures(elements: np.ndarray, percent: int, miss_bits: int | None, plan:
 
 # --- passes over the texts ----------------------------------------------------
 
-SETS = "doc_id long, variant long, n_shingles long, fp long, fp2 long, own int, slack_own int, slack_next int, sketch array<long>"
+SETS = ("doc_id long, variant long, n_shingles long, fp long, fp2 long, own int, slack_own int, slack_next int, sketch array<long>, "
+        "seeds array<long>, sigs array<long>")
 
 
-def _set_batches(shingle: int, percent: int, miss_bits: int | None) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: dict = {}
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for _, data in text_bytes(batch.column("text")):
-                e = shingle_set(data, shingle)
-                fp, fp2 = fingerprint(e) if len(e) else (0, 0)
-                slack = signatures(e, percent, miss_bits, plan)[1] if len(e) else [0, 0]
-                for c, v in zip(cols, (len(e), fp, fp2, band_of(len(e), percent), *slack, bit_sketch(e)), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("variant"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                                             ["doc_id", "variant", "n_shingles", "fp", "fp2", "own", "slack_own", "slack_next", "sketch"])
-
-    return run
+def smallest_signatures(found: np.ndarray, seeds: int) -> np.ndarray:
+    """The ``seeds`` smallest signatures of each band, as unsigned numbers."""
+    band = found & np.uint64(0xFF0)
+    return np.concatenate([np.sort(found[band == b])[:seeds] for b in np.unique(band)])
 
 
-def _signature_batches(shingle: int, percent: int, miss_bits: int | None) -> Callable:
+def _set_batches(shingle: int, percent: int, miss_bits: int | None, seeds: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: dict = {}
-        seen: set = set()  # classes this task has sent: copies are sent once
-        for batch in batches:
-            sig, fps, sizes = [], [], []
+        seen: set = set()  # classes this task has sent: the signatures of copies are sent once
+        names = [c.strip().split(" ")[0] for c in SETS.split(",")]
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), longs, longs, longs]
+        for batch in small_batches(batches, 1024):
+            cols: list[list] = [[] for _ in kinds]
             for _, data in text_bytes(batch.column("text")):
                 e = shingle_set(data, shingle)
-                if not len(e) or (key := fingerprint(e)) in seen:
-                    continue
+                key = fingerprint(e) if len(e) else (0, 0)
+                found, slack = signatures(e, percent, miss_bits, plan) if len(e) else (None, [0, 0])
+                first = found is not None and key not in seen
                 seen.add(key)
-                s, _ = signatures(e, percent, miss_bits, plan)
-                sig.append(s)
-                fps.append(key[0])
-                sizes.append(len(s))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), sizes))], ["sig", "fp"])
+                sent = [smallest_signatures(found, seeds).view(np.int64), found.view(np.int64)] if first else [None, None]
+                for c, v in zip(cols, (len(e), *key, band_of(len(e), percent), *slack, bit_sketch(e), *sent), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("variant"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
     return run
 
 
-def _pack_runs(rows: list[tuple[bool, int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()),
-        pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["long", "sig", "members"])
+RUNS = "long boolean, sig long, members array<long>, low long, high long"
+
+
+def _pack_runs(rows: list[tuple[bool, int, np.ndarray, int, int]]) -> pa.RecordBatch:
+    kinds = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["long", "sig", "members", "low", "high"])
 
 
 class _RunReader:
-    """Reads rows sorted by (sig, fp) and gives each run of more than one
-    class: whole if small, in chunks if long.  A small run that this task has
-    just given is not given again (near copies share most signatures)."""
+    """Reads rows (sig, fp, group) sorted by (sig, fp) and gives each run of
+    more than one group: whole if small, in chunks if long, with the lowest and
+    highest group (one chunk of a run may hold a single group).  A small run
+    that this task has just given is not given again (near copies share most
+    signatures)."""
 
     def __init__(self, small_run: int, chunk: int = 4096):
         self.small_run, self.chunk = small_run, chunk
         self.given: set = set()
-        self.sig, self.fp = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows of a run that may go on
+        none = np.zeros(0, np.int64)
+        self.rest = none, none, none  # rows of a run that may go on
         self.going: int | None = None  # signature of a long run of which a chunk has been given
 
-    def read(self, sig: np.ndarray, fp: np.ndarray, last: bool) -> list[tuple[bool, int, np.ndarray]]:
-        sig, fp = np.concatenate((self.sig, sig)), np.concatenate((self.fp, fp))
+    def read(self, sig: np.ndarray, fp: np.ndarray, group: np.ndarray, last: bool) -> list[tuple[bool, int, np.ndarray, int, int]]:
+        sig, fp, group = (np.concatenate(c) for c in zip(self.rest, (sig, fp, group), strict=True))
         if not len(sig):
             return []
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
-        sig, fp = sig[new], fp[new]
+        sig, fp, group = sig[new], fp[new], group[new]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         end = np.append(first[1:], len(sig))
+        low, high = np.minimum.reduceat(group, first), np.maximum.reduceat(group, first)
         rows: list = []
         tail = len(sig) if last else int(first[-1])
-        if not last:
-            first, end = first[:-1], end[:-1]
-        wanted = end - first > 1
+        wanted = low < high
         if self.going is not None:
             wanted |= sig[first] == self.going
-        for a, b in zip(first[wanted].tolist(), end[wanted].tolist(), strict=True):
-            self._give(rows, int(sig[a]), fp[a:b])
+        if not last:
+            wanted[-1] = False
+        for a, b, x, y in zip(*(c[wanted].tolist() for c in (first, end, low, high)), strict=True):
+            self._give(rows, int(sig[a]), fp[a:b], x, y)
         if not last and (len(sig) - tail > self.chunk or sig[tail] == self.going):
             self.going = int(sig[tail])
             if len(sig) - tail > 1:
-                rows.append((True, self.going, fp[tail:-1]))
+                part = group[tail:-1]
+                rows.append((True, self.going, fp[tail:-1], int(part.min()), int(part.max())))
             tail = len(sig) - 1
-        self.sig, self.fp = sig[tail:], fp[tail:]
+        self.rest = sig[tail:], fp[tail:], group[tail:]
         return rows
 
-    def _give(self, rows: list, sig: int, members: np.ndarray) -> None:
+    def _give(self, rows: list, sig: int, members: np.ndarray, low: int, high: int) -> None:
         if sig == self.going or len(members) > self.small_run:
-            rows.append((True, sig, members))
+            rows.append((True, sig, members, low, high))
             return
         key = hash(members.tobytes())
         if key not in self.given:
             if len(self.given) > 500_000:
                 self.given.clear()
             self.given.add(key)
-            rows.append((False, sig, members))
+            rows.append((False, sig, members, low, high))
 
 
 def _runs(small_run: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _RunReader(small_run)
         for batch in batches:
-            if rows := reader.read(batch.column("sig").to_numpy(), batch.column("fp").to_numpy(), False):
+            if rows := reader.read(*(batch.column(c).to_numpy() for c in ("sig", "fp", "grp")), False):
                 yield _pack_runs(rows)
         none = np.zeros(0, np.int64)
-        if rows := reader.read(none, none, True):
+        if rows := reader.read(none, none, none, True):
             yield _pack_runs(rows)
 
     return run
@@ -298,43 +304,56 @@ def _near(percent: int) -> Column:
 class NgramJaccardJoin:
     """The join over one ``documents`` table (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss_bits: int | None = MISS_BITS, small_run: int = SMALL_RUN):
+    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss_bits: int | None = MISS_BITS, small_run: int = SMALL_RUN, seeds: int = SEEDS):
         self.shingle, self.percent, self.miss_bits, self.small_run = shingle, percent, miss_bits, small_run
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("variant"), "text")
-        self.sets = written(self.docs.mapInArrow(_set_batches(shingle, percent, miss_bits), SETS), "sets")
+        self.sets = written(self.docs.mapInArrow(_set_batches(shingle, percent, miss_bits, seeds), SETS), "sets")
         self.classes = written(
             self.sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fp", "fp2", "n_shingles")
             .agg(F.min(F.struct("doc_id", "variant")).alias("rep"), F.first("own").alias("own"), F.first("slack_own").alias("slack_own"),
                  F.first("slack_next").alias("slack_next"), F.first("sketch").alias("sketch")), "classes")
 
-    def _candidates(self) -> tuple[DataFrame, DataFrame]:
-        """(fa, fb) class pairs; and (sig, fp) of long runs for the classes that need them."""
-        rows = self.docs.where("doc_id IS NOT NULL").mapInArrow(
-            _signature_batches(self.shingle, self.percent, self.miss_bits), "sig long, fp long")
-        runs = written(rows.repartition("sig").sortWithinPartitions("sig", "fp")
-                       .mapInArrow(_runs(self.small_run), "long boolean, sig long, members array<long>"), "runs")
+    def _signature_rows(self, column: str) -> DataFrame:
+        """(sig, fp) of every class; copies that different tasks have read repeat it."""
+        return self.sets.where(f"doc_id IS NOT NULL AND {column} IS NOT NULL").select(F.explode(column).alias("sig"), "fp")
+
+    @staticmethod
+    def _stars(entries: DataFrame) -> DataFrame:
+        """(fa, fb): the classes of each signature of (sig, fp) with its
+        centre, the class that most others meet: the least edited one."""
+        sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sig").alias("size_sig"), "n")
+        shared = written(entries.join(sizes, F.col("sig") == F.col("size_sig")).select("sig", "fp", "n"), "shared")
+        met = shared.groupBy("fp").agg(F.sum("n").alias("met")).select(F.col("fp").alias("met_fp"), "met")
+        centre = (shared.join(met, F.col("fp") == F.col("met_fp")).groupBy("sig").agg(F.max(F.struct("met", "fp")).alias("centre"))
+                  .select(F.col("sig").alias("centre_sig"), F.col("centre.fp").alias("fa")))
+        return shared.join(centre, F.col("sig") == F.col("centre_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb")).distinct()
+
+    def _candidates(self, member: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(fa, fb) class pairs; and (sig, fp) of long runs for the classes that
+        need them.  ``member``: the components (node, component) by the seeds."""
+        groups = (self.classes.join(member, F.col("rep.doc_id") == F.col("node"))
+                  .select(F.col("fp").alias("group_fp"), F.xxhash64(F.lit(7), "component").alias("grp")))
+        rows = (self.sets.where("doc_id IS NOT NULL AND sigs IS NOT NULL").select("fp", "sigs").join(groups, F.col("fp") == F.col("group_fp"), "left")
+                .select(F.explode("sigs").alias("sig"), "fp", F.coalesce("grp", "fp").alias("grp")))
+        runs = written(rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_runs(self.small_run), RUNS), "runs")
         small = runs.where(~F.col("long")).select("members").distinct()
         i = F.posexplode("members").alias("i", "fa")
         pairs = small.select("members", i).select("fa", F.explode(F.slice("members", F.col("i") + 2, F.lit(self.small_run))).alias("fb"))
 
-        entries = runs.where("long").select("sig", F.explode("members").alias("fp"))
+        mixed = (runs.where("long").groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+                 .select(F.col("sig").alias("mixed_sig")))
+        entries = runs.where("long").join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi").select("sig", F.explode("members").alias("fp"))
         band, salt = F.shiftright(F.col("sig").bitwiseAND(0xFF0), 4), F.col("sig").bitwiseAND(0xF)
         lost = entries.where(salt == 0).groupBy("fp", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
         c = self.classes.select(F.col("fp").alias("class_fp"), "own", "slack_own", "slack_next")
         slack = F.when(F.col("band") == F.col("own").bitwiseAND(0xFF), F.col("slack_own")).otherwise(F.col("slack_next"))
-        # of the long runs a class keeps only as many as its short ones leave open, the first by signature
+        # of the long runs a class keeps only as many as its other ones leave open, the first by signature
         keep = (lost.join(c, F.col("fp") == F.col("class_fp")).groupBy("fp", "band").agg(F.max(F.col("lost") - slack).alias("keep"))
                 .where("keep > 0").select(F.col("fp").alias("keep_fp"), F.col("band").alias("keep_band"), "keep"))
         place = F.row_number().over(Window.partitionBy("fp", "band").orderBy("sig"))
         ranked = entries.where(salt == 0).select("sig", "fp", band.alias("band")).withColumn("place", place)
         kept = ranked.join(keep, (F.col("fp") == F.col("keep_fp")) & (F.col("band") == F.col("keep_band")) & (F.col("place") <= F.col("keep")))
-        needed = written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
-        # the class of a run that is in most long runs is the least edited one: the centre of the run's star
-        runs_of = needed.groupBy("fp").agg(F.count(F.lit(1)).alias("n_runs")).select(F.col("fp").alias("runs_of"), "n_runs")
-        centre = (needed.join(runs_of, F.col("fp") == F.col("runs_of")).groupBy("sig").agg(F.max(F.struct("n_runs", "fp")).alias("centre"))
-                  .select(F.col("sig").alias("centre_sig"), F.col("centre.fp").alias("fa")))
-        stars = needed.join(centre, F.col("sig") == F.col("centre_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb"))
-        return pairs.union(stars).distinct(), needed
+        return pairs, written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
 
     def _class_side(self, side: str) -> DataFrame:
         return self.classes.select(F.col("fp").alias(f"fp_{side}"), F.col("rep.doc_id").alias(side), F.col("rep.variant").alias(f"v{side}"),
@@ -358,24 +377,33 @@ class NgramJaccardJoin:
                 .select("a", "va", "b", "text_a", "text_b"))
         return both.mapInArrow(_verify_batches(self.shingle, self.percent), "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
 
+    def _linked(self, pairs: DataFrame, member: DataFrame | None) -> DataFrame:
+        """Verified links (a, b) of class pairs (fa, fb), of different components of ``member`` only."""
+        named = pairs.join(self._class_side("a"), F.col("fa") == F.col("fp_a")).join(self._class_side("b"), F.col("fb") == F.col("fp_b")).where(_near(self.percent))
+        if member is not None:
+            for side in "ab":
+                of = member.select(F.col("node").alias(f"node_{side}"), F.col("component").alias(f"c{side}"))
+                named = named.join(of, F.col(side) == F.col(f"node_{side}"), "left")
+            named = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        return self._verified(named.select("a", "va", "b", "vb").distinct())
+
     def links(self) -> DataFrame:
         """(a, b): verified links between class representatives, enough of
-        them to connect every component (short runs: every link)."""
-        pairs, needed = self._candidates()
-        ends = ["a", "va", "b", "vb"]
-        named = (pairs.join(self._class_side("a"), F.col("fa") == F.col("fp_a")).join(self._class_side("b"), F.col("fb") == F.col("fp_b"))
-                 .where(_near(self.percent)).select(*ends).distinct())
-        links = written(self._verified(named), "links")
+        them to connect every component."""
+        links = written(self._linked(self._stars(self._signature_rows("seeds").distinct()), None), "links")
+        member = connected_components(links, "a", "b")
+        pairs, needed = self._candidates(member)
+        links = written(links.union(self._linked(pairs.union(self._stars(needed)).distinct(), member)), "links")
         # classes of one long run that are still apart are compared pair by pair
         member = connected_components(links, "a", "b")
         k = (needed.join(self._class_side("a"), F.col("fp") == F.col("fp_a")).join(member, F.col("a") == F.col("node"), "left")
              .select("sig", "a", "va", "na", "sa", F.coalesce("component", "a").alias("ca")))
-        run = Window.partitionBy("sig")
-        k = written(k.withColumn("low", F.min("ca").over(run)).withColumn("high", F.max("ca").over(run)).where("low < high").drop("low", "high"), "apart")
+        mixed = k.groupBy("sig").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select(F.col("sig").alias("mixed_sig"))
+        k = written(k.join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi"), "apart")
         if not k.isEmpty():
             other = k.select(F.col("sig").alias("sig_b"), F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("ca").alias("cb"))
             rest = (k.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(self.percent))
-                    .select(*ends).distinct())
+                    .select("a", "va", "b", "vb").distinct())
             links = written(links.union(self._verified(rest)), "links")
         return links
 

@@ -140,16 +140,43 @@ def test_join_odd_rows(spark, docs_of):
 
 
 def test_runs_over_batches_are_whole():
-    sig = np.repeat(np.arange(6), [1, 3, 40, 2, 9, 1])
+    sig = np.repeat(np.arange(8), [1, 3, 40, 2, 9, 1, 30, 4])
     fp = np.arange(len(sig))
+    group = np.where((sig == 6) | (sig == 7), 5, fp)  # two runs of a single group
     for size in (1, 2, 7, 100):
-        reader, got = jaccard._RunReader(4, chunk=5), defaultdict(list)
-        for at in range(0, len(sig), size):
-            for _, s, m in reader.read(sig[at:at + size], fp[at:at + size], False):
-                got[s] += m.tolist()
-        for _, s, m in reader.read(sig[:0], fp[:0], True):
+        reader, got, low, high = jaccard._RunReader(4, chunk=5), defaultdict(list), {}, {}
+        given = [reader.read(sig[at:at + size], fp[at:at + size], group[at:at + size], False) for at in range(0, len(sig), size)]
+        for _, s, m, x, y in [row for rows in [*given, reader.read(sig[:0], fp[:0], group[:0], True)] for row in rows]:
             got[s] += m.tolist()
-        assert {k: sorted(v) for k, v in got.items()} == {s: fp[sig == s].tolist() for s in (1, 2, 3, 4)}
+            low[s], high[s] = min(x, low.get(s, x)), max(y, high.get(s, y))
+        mixed = {s: sorted(m) for s, m in got.items() if low[s] < high[s]}
+        assert mixed == {s: fp[sig == s].tolist() for s in (1, 2, 3, 4)}
+        assert 7 not in got  # a short run of one group is not given at all
+
+
+def test_groups_of_near_copies_are_not_compared_block_by_block(spark, docs_of):
+    rng = random.Random(9)
+    rows = []
+    for words_of in (300, 2000):  # near copies of one text each
+        base = [f"b{words_of}x{k}" for k in range(words_of)]
+        for _ in range(1500 if words_of == 300 else 300):
+            text = list(base)
+            for _ in range(rng.randint(0, words_of // 100)):
+                text[rng.randrange(len(text))] = f"e{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    join = jaccard.NgramJaccardJoin(docs_of(rows))
+    links = join._linked(join._stars(join._signature_rows("seeds").distinct()), None)
+    _, needed = join._candidates(jaccard.connected_components(links, "a", "b"))
+    assert needed.count() < 2 * len(rows)  # without the seeds: over 100 a text
+    got = {r.doc_id: r.component_id for r in join.documents().collect()}
+    assert got == {i: 0 if i < 1500 else 1500 for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("seeds", [0, 1, 50])
+def test_seeds_change_no_component(spark, docs_of, seeds):
+    rows = near_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.NgramJaccardJoin(docs_of(rows), seeds=seeds, small_run=1).documents().collect()}
+    assert got == brute_components(rows)
 
 
 # ---------------------------------------------------------------- op3
@@ -257,6 +284,28 @@ def test_page_rules(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+LONG_TEXT = "This is the first of the long paragraphs and it has a lot of the words that are in the list of them."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<html><head><title>Site</title><meta charset=x><body><p>{LONG_TEXT}</p>", LONG_TEXT),  # a head without its end
+    (f"<head><title>Site</title><article><p>{LONG_TEXT}</p></article>", LONG_TEXT),
+    (f"<article><h1><a href=/x>A linked heading</a></h1><p>{LONG_TEXT}</p><p>End.</p></article>", f"A linked heading {LONG_TEXT} End."),
+    ("<article><p>Read <a href=x>this other long report on the same matter</a> now</p><p>End.</p></article>", "Read this other long report on the same matter now End."),
+    (f"<article><p>{LONG_TEXT}</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><p>End.</p></article>", f"{LONG_TEXT} End."),
+    (f"<article><div class='social-history box'><p>{LONG_TEXT}</p></div><div class='related-posts'><p>{LONG_TEXT}</p></div></article>", LONG_TEXT),
+    (f"<article><div class='adBanner'>Buy it</div><div id='newsletter_signup'>Mail</div><p>{LONG_TEXT}</p></article>", LONG_TEXT),
+    ("<body><p>" + "这是一个很长的中文段落，它讲述了很多事情。" * 12 + "</p><p>结束。</p>", "这是一个很长的中文段落，它讲述了很多事情。" * 12 + " 结束。"),
+])
+def test_pages_off_the_beaten_track(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_page_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{LONG_TEXT}</p>", "x", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extract.extract(df).collect()] == [(1, "u", LONG_TEXT, len(LONG_TEXT))]
+
+
 def test_text_about_copyright_is_no_notice():
     heading, short = "Copyright in Europe", "The copyright of a book is held by its author, and the sign © is not needed for that."
     body = "This is the first of the long paragraphs and it has a lot of the words that are in the list of them."
@@ -287,6 +336,49 @@ def test_quality_odd_rows(spark, docs_of):
     assert kept.columns == [*docs.columns, "score"] and quality.score(docs.limit(0), weights).count() == 0
 
 
+def test_ftrl_and_scores_match_a_plain_version():
+    """Sparse dictionaries and scalar updates in place of arrays."""
+    def vector(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        out = defaultdict(float)
+        for grams, (_, _, scale) in zip(quality.features(data, 12), quality.ORDERS, strict=True):
+            for g in grams.tolist():
+                out[g] += scale / len(grams)
+        return out
+
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choice(["Good", "fine,", "word", "x1", "##"][:3 + 2 * bad]) for _ in range(rng.randint(0, 30))), 1 - bad) for bad in (0, 1) * 20]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, alpha=0.5, beta=1.0, l1=1e-4, l2=1e-3):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    def probability(v):
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(weight(i) * x for i, x in v.items())))))
+
+    for _ in range(3):
+        for text, label in texts:
+            v = {**vector(text), 1 << 12: 1.0}
+            p = probability(v)
+            for i, w, x in [(i, weight(i), x) for i, x in v.items()]:
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w
+                n[i] += g * g
+    rows = [(*quality.sparse_vector(np.frombuffer(t.encode(), np.uint8), 12), float(label)) for t, label in texts]
+    weights = quality.ftrl(rows, 12, 3)
+    assert all(abs(weights[i] - weight(i)) < 1e-9 for i in range(len(weights)))
+    for text, _ in texts:
+        assert abs(quality.text_score(np.frombuffer(text.encode(), np.uint8), weights, 12) - probability({**vector(text), 1 << 12: 1.0})) < 1e-9
+
+
+def test_a_label_trains_with_one_row(spark, docs_of, monkeypatch):
+    docs = docs_of([(1, f"text {k}") for k in range(500)] + [(2, "other text")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    trained = quality.train(docs, labels, F.lit(True), train_rows=2, shards=1)
+    once = quality.train(docs_of([(1, "text 0"), (2, "other text")]), labels, F.lit(True), train_rows=2, shards=1)
+    assert (trained == once).all()
+
+
 # ---------------------------------------------------------------- op7
 def test_bpe_matches_the_library(spark, docs_of):
     encoder, _ = bpe._tables(bpe.load_ranks(), bpe.public_tokenizers.PATTERN)
@@ -310,15 +402,40 @@ def test_topk_matches_brute_force(spark):
     bad = [(400, None), (420, [1.0, None, 0.0, 0.0, 0.0]), (440, [float("nan")] * 5), (460, [float("inf")] * 5), (None, [0.0] * 5), (480, [1.0, 2.0]), (500, [])]
     df = spark.createDataFrame([*rows, *bad, rows[0]], "vec_id long, embedding array<double>")
     got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, shard_rows=64, leaf_rows=8, query_rows=10).collect()
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
-    want = []
-    for q in [i for i in whole if i % 20 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
-        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == brute_top([*rows, rows[0]], 7)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_top(rows, k):
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, vector) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(vector, v, strict=True)), i) for other, (i, v) in enumerate(whole) if other != at)[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
+def test_rows_that_repeat_an_id_are_candidates_of_their_own(spark):
+    import duckdb
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.5, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 3.0])] + [(7, [0.25, k / 8]) for k in range(40)]
+    table = spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<double>, row string, dim int")
+    got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 20 == 0, shard_rows=8, leaf_rows=2, query_rows=2).collect()))
+    assert got == brute_top(rows, 20)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op8_exact_topk"]).fetchall())
+
+
+@pytest.mark.parametrize("big", [1e30, 2.0**40])
+def test_scores_beyond_a_long_are_an_error(spark, big):
+    table = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(table, F.col("vec_id") % 20 == 0).collect()
+
+
 # ---------------------------------------------------------------- op9
 def brute_rules(rows, limit, percent=50):
     held = defaultdict(set)

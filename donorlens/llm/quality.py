@@ -129,8 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
     rank = F.xxhash64(F.lit(41), "doc_id")
     chosen = (marks.select("doc_id", "label", rank.alias("rank")).orderBy("rank", "doc_id").limit(train_rows)
               .select(F.col("doc_id").alias("of"), "label", "rank"))
+    # of rows that share a doc_id the least text learns, so a label is one row at most
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))  # at most train_rows narrow rows
+            .groupBy("of", "label", "rank").agg(F.min("text").alias("text"))
             .select(F.pmod("rank", F.lit(shards)).alias("shard"), "rank", "label", "text"))
     parts = rows.groupBy("shard").applyInArrow(_train_shard(bits, epochs), "rows long, weights binary").collect()  # one row a shard
     total = sum(p["rows"] for p in parts)

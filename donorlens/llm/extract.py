@@ -5,8 +5,14 @@ from its stop-word density, its length and its link density, and from the
 element it stands in (menus, headers, footers, forms, adverts, notices,
 comments are never text).  What is too short to decide is ambiguous; the
 second pass gives it the label of its nearest decided neighbour.  Inside an
-article or main element only neighbours of the same element count, and a block
-without any such neighbour is text.
+article or main element only neighbours of the same element count, what is
+left out is no neighbour, and a block without any is text; links decide only
+for the items of a list that hold nothing else, and an element is an advert,
+notice or the like only if its whole class name says so ("related-posts", not
+"social-history").
+
+Stop words are known for four languages.  On a page whose text holds next to
+none of them, sentence marks take the place of stop words.
 
 A block under 200 characters is a copyright notice, and no text, if it starts
 with the sign or the word and a year ("Copyright (c) 2020 ..."); outside an
@@ -15,7 +21,9 @@ word with a year or "copyright by", or reserves all rights.  Text that merely
 speaks of copyright is judged like any other.
 
 Defined results: null or empty html gives an empty text; unclosed and stray
-tags are tolerated; repeated rows and null page_ids are extracted row by row.
+tags are tolerated, also a head or a menu without its end tag; repeated rows
+and null page_ids are extracted row by row; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -51,9 +59,17 @@ subscribe subscription signup popup modal overlay sidebar menu nav navbar naviga
 masthead share sharing social related recommended comment comments disqus reply replies respond login search widget toolbar
 pagination pager copyright contentinfo complementary dialog skip
 """.split())
+# Words that beside one of the above still name such an element.
+FILL_WORDS = frozenset("""
+post posts article articles news story stories link links list lists item items box block container wrapper wrap inner outer
+section area content widget widgets button buttons bar icon icons media form field panel top bottom left right inline slot unit
+main page site global floating sticky fixed more this js
+""".split())
+HEAD_TAGS = frozenset("title base link meta basefont bgsound command".split())
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
 HEADER_WORDS = frozenset("header masthead banner".split())
 CONTAINERS = BAD_TAGS | MAIN_TAGS | frozenset("div section table ul ol dl blockquote figure details center body".split())
+LISTS = frozenset("ul ol dl".split())
 INLINE = frozenset("""
 a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup
 time tt u var wbr img
@@ -73,7 +89,10 @@ _NOTICE = re.compile(rf"\W*{_SIGN}(?:\W|{_SIGN})*(?:by\W+)?(?:19|20)\d\d\b", re.
 _OWNER = re.compile(rf"^[^\w©]*©|{_SIGN}\W*(?:19|20)\d\d\b|copyright\W*(?:©|\(c\)|by\b)|all rights reserved", re.I)
 
 LONG, SHORT = 200, 70  # characters
-DENSE, THIN, LINKED = 0.30, 0.12, 0.35  # stop words per word; share of characters inside links
+DENSE, THIN, LINKED, MENU = 0.30, 0.12, 0.35, 0.9  # stop words per word; share of characters inside links
+UNKNOWN = 0.06  # stop words per word of a whole page, below which its language is not known
+SENTENCE = 150  # characters a sentence mark stands for, where no language is known
+_SENTENCE = re.compile(r"[.!?…]+(?=\s|$|[\"'”’»)])|[。！？．؟۔।]")
 
 GOOD, BAD, OPEN = 1, 0, -1
 
@@ -85,22 +104,31 @@ def _words_of(attributes: str) -> set[str]:
     return found
 
 
+def _names_no_text(attributes: str) -> bool:
+    """Whether a whole class, id or role names an element that is no article text."""
+    for m in _MARKS.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = {p.lower() for p in _PARTS.findall(name) if not p.isdigit()}
+            if parts and parts <= (BAD_WORDS | FILL_WORDS) and (parts & BAD_WORDS) - HEADER_WORDS:
+                return True
+    return False
+
+
 def _is_bad(tag: str, attributes: str, in_main: bool) -> bool:
-    words = _words_of(attributes) if "=" in attributes else set()
     if tag in MAIN_TAGS or tag == "body":
-        return bool(words & COMMENT_WORDS)
+        return "=" in attributes and bool(_words_of(attributes) & COMMENT_WORDS)
     if _HIDDEN.search(attributes):
         return True
     if in_main:  # an article's own header holds its title
-        return (tag in BAD_TAGS and tag != "header") or bool((words & BAD_WORDS) - HEADER_WORDS)
-    return tag in BAD_TAGS or bool(words & BAD_WORDS)
+        return (tag in BAD_TAGS and tag != "header") or ("=" in attributes and _names_no_text(attributes))
+    return tag in BAD_TAGS or ("=" in attributes and bool(_words_of(attributes) & BAD_WORDS))
 
 
 class _Blocks:
-    """Cuts a page into (text, link characters, bad, main element) blocks."""
+    """Cuts a page into (text, link characters, bad, main element, in a list) blocks."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int, bool, int]] = []
+        self.blocks: list[tuple[str, int, bool, int, bool]] = []
         self.parts: list[str] = []
         self.linked, self.in_link = 0, False
         self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, bad, number of its main element
@@ -114,7 +142,7 @@ class _Blocks:
             if text:
                 _, bad, main = self.stack[-1]
                 # what is left out inside an article is no neighbour of its blocks
-                self.blocks.append((text, self.linked, bad, 0 if bad else main))
+                self.blocks.append((text, self.linked, bad, 0 if bad else main, any(t in LISTS for t, _, _ in self.stack)))
             self.parts = []
         self.linked = 0
 
@@ -141,6 +169,9 @@ class _Blocks:
             if m.lastindex is None or m[2] is None:
                 continue
             tag = m[2].lower()
+            if not m[1] and self.stack[-1][0] == "head" and tag not in HEAD_TAGS and tag not in RAW:
+                self._flush()  # a head without an end tag ends with the first element that it cannot hold
+                self.stack.pop()
             if tag in RAW and not m[1]:
                 if not m[3].endswith("/"):
                     end = _END[tag].search(page, at)
@@ -173,16 +204,25 @@ class _Blocks:
                 return
 
 
-def first_pass(text: str, linked: int, bad: bool, main: int) -> int:
-    """GOOD, BAD or OPEN (ambiguous)."""
-    if bad or linked > LINKED * len(text):
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(text: str, linked: int, bad: bool, main: int, listed: bool, known: bool = True) -> int:
+    """GOOD, BAD or OPEN (ambiguous); ``known``: the page is in a language with stop words."""
+    if bad or linked > (MENU if main and listed else 1 if main else LINKED) * len(text):
         return BAD
     if len(text) < LONG and (_NOTICE.match(text) or (not main and _OWNER.search(text))):
         return BAD
+    if not known:
+        marks = len(_SENTENCE.findall(text))
+        return GOOD if marks and marks * SENTENCE >= len(text) and len(text) >= SHORT else OPEN if main or marks or len(text) < SHORT else BAD
     if len(text) < SHORT:
         return OPEN
-    words = _WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    found, words = stop_words(text)
+    density = found / max(words, 1)
     if density >= DENSE:
         return GOOD
     if main:
@@ -225,8 +265,11 @@ def second_pass(labels: list[int], mains: list[int]) -> list[bool]:
 
 def main_text(page: str) -> str:
     blocks = _Blocks(page).blocks
-    labels = [first_pass(*b) for b in blocks]
-    kept = second_pass(labels, [b[3] for b in blocks])
+    counts = [stop_words(b[0]) for b in blocks if not b[2]]
+    known = not counts or sum(c for c, _ in counts) >= UNKNOWN * sum(n for _, n in counts)
+    labels = [first_pass(*b, known) for b in blocks]
+    mains = [0 if label == BAD else b[3] for label, b in zip(labels, blocks, strict=True)]
+    kept = second_pass(labels, mains)
     return " ".join(b[0] for b, keep in zip(blocks, kept, strict=True) if keep)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from donorlens.session import checkpoint_dir
+from donorlens.session import checkpoint_dir, file_system
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+`` (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,15 +33,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []  # folders of this process' intermediate tables
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder, removed by ``remove_written``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/donorlens-llm/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
     the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/donorlens-llm/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables and files that the operators have
+    written so far; to be called when their results are stored elsewhere."""
+    paths, _MADE[:] = list(_MADE), []
+    for path in paths:
+        system, where = file_system(spark, path)
+        system.delete(where, True)
+    return len(paths)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: bounds what a Python worker builds at once."""
     for batch in batches:

@@ -48,8 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from donorlens.llm.common import small_batches
-from donorlens.session import checkpoint_dir
+from donorlens.llm.common import new_folder, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -236,7 +235,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
 
     ``tokenizer`` is the path of a word vocabulary of the tokenizers library;
     ``folder`` a new folder under the shared checkpoint folder if not given."""
-    folder = folder or f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/donorlens-llm/ids-{uuid.uuid4().hex}"
+    folder = folder or new_folder(docs.sparkSession, "ids")
     path = local_path(folder)
     os.makedirs(path, exist_ok=True)
     with open(tokenizer or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:

@@ -6,9 +6,11 @@ report over the whole tables with the parameters of ``params``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import params as Q
 from .functions import rules as R
@@ -22,7 +24,11 @@ from .operators import ledger_reports as LR
 from .plans.ledger import gift_ledger
 from .plans.selection import Selection
 from .operators import profile as PRO
+from .plans.store import LedgerStore, ProfileStore
+from .session import checkpoint_dir
 from .sources import TestdataTables
+from .sources.sinks import export_ordered, read_ordered
+from .sql_functions import register_functions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +58,58 @@ def _l(fn) -> Query:
     return run
 
 
+def _sql(text: str) -> Query:
+    """A call of the SQL table functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        register_functions(spark, t)
+        t.newsletter.createOrReplaceTempView("newsletter")
+        return spark.sql(text)
+
+    return run
+
+
+def _ledger_store(t) -> LedgerStore:
+    """The ledger of the default period, loaded in two overlapping parts; once per session and folder."""
+
+    def build() -> LedgerStore:
+        store = LedgerStore(t.spark, buckets=Q.STORE_BUCKETS, hot_rows=Q.STORE_HOT_ROWS)
+        for start, end in Q.STORE_LOADS:
+            store.load(t, start, end)
+        return store
+
+    return t.memo("ledger_store", build)
+
+
+def _stored(fn) -> Query:
+    """A report over the stored ledger."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        return fn(_ledger_store(t).ledger(Q.LEDGER_START, Q.LEDGER_END), t)
+
+    return run
+
+
+def _stored_profile(t) -> DataFrame:
+    def build() -> ProfileStore:
+        store = ProfileStore(t.spark)
+        for first, last in Q.PROFILE_YEAR_LOADS:
+            store.load(t, first, last)
+        return store
+
+    return PRO.donor_profile(t, parts=t.memo("profile_store", build).partials())
+
+
+def _exported_donors(g, t) -> DataFrame:
+    """Thank-you totals exported in order and read back with their place."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/exports/donors-{uuid.uuid4().hex}"
+    donors = LR.thankyou_totals(g, Q.THANKYOU_PATTERN)
+    export_ordered(donors, path, [F.col("bedrag").desc(), "partner_id"], rows_per_file=50)
+    return read_ordered(t.spark, path, ", ".join(f"{c} {kind}" for c, kind in donors.dtypes))
+
+
 QUERIES: dict[str, Query] = {
     "gift_ledger": _q(lambda t: X.gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END)),
     "gift_ledger_one_partner": _q(lambda t: X.gift_ledger(t, Q.LEDGER_START, Q.LEDGER_END, Q.ONE_PARTNER)),
@@ -142,6 +200,26 @@ QUERIES: dict[str, Query] = {
     "refund_orders": _q(lambda t: ORD.yearly_orders_overview(t, "J", Q.ORDERS_NEXT_AFTER, negative_only=True)),
     "posting_lines": _q(lambda t: TR.posting_lines(t, Q.TRACE_NAMES)),
     "posting_analytic_lines": _q(lambda t: TR.posting_analytic_lines(t, Q.TRACE_NAMES, Q.TRACE_ACCOUNTS)),
+    "posting_trace_named": _q(lambda t: TR.posting_trace(t, Q.TRACE_NAMES)),
+    "fiscal_certificates_of_partners": _l(lambda g, t: CERT.fiscal_certificates(g, partner_ids=Q.CERTIFICATE_PARTNERS)),
+    "gift_ledger_function": _sql(f"SELECT * FROM gift_ledger(NULL, DATE '{Q.LEDGER_START}', DATE '{Q.LEDGER_END}')"),
+    "gift_ledger_function_one_partner": _sql(
+        f"SELECT * FROM gift_ledger({Q.ONE_PARTNER}, DATE '{Q.LEDGER_START}', DATE '{Q.LEDGER_END}')"),
+    "gift_categories_function": _sql(f"SELECT * FROM gift_categories('{Q.CATEGORY_PERIOD}', DATE '{Q.CATEGORY_AS_OF}')"),
+    "donor_profile_function": _sql("SELECT p.* FROM newsletter AS n, LATERAL donor_profile(n.partner_id) AS p"),
+    "marketing_income_function": _sql(
+        f"SELECT * FROM marketing_income('{Q.MARKETING_PERIOD}', DATE '{Q.MARKETING_START}', DATE '{Q.MARKETING_END}')"),
+    "donor_profile_stored": _q(_stored_profile),
+    "gift_categories_stored": _q(
+        lambda t: CAT.gift_categories(t, Q.CATEGORY_PERIOD, as_of=Q.CATEGORY_AS_OF, profile=_stored_profile(t))),
+    "certificate_donors_stored": _q(
+        lambda t: CERT.certificate_donors_missing_id(
+            t, Q.CERTIFICATE_AS_OF, Q.CERTIFICATE_PROFILE_SINCE, Q.CERTIFICATE_HISTORY_MONTHS, profile=_stored_profile(t))),
+    "ledger_extract_stored": _stored(lambda g, t: g.wide()),
+    "gift_statistics_stored": _stored(lambda g, t: LR.gift_statistics(g)),
+    "unique_donors_stored": _stored(lambda g, t: LR.unique_donors(g)),
+    "ledger_lookup_stored": _stored(lambda g, t: LR.ledger_lookup(g, partner_id=Q.LOOKUP_PARTNER)),
+    "exported_donors": _l(_exported_donors),
 }
 
 

@@ -80,7 +80,7 @@ def _draft(t, start, end) -> DataFrame:
     )
 
 
-def _enrich(t, gifts: DataFrame) -> DataFrame:
+def _enrich(t, gifts: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """De-duplicate narrow gifts and attach the partner columns.
 
     A partner id without a partner row reports as "no partner", like a
@@ -90,7 +90,7 @@ def _enrich(t, gifts: DataFrame) -> DataFrame:
     known = t.res_partner.select(F.col("id").alias("known_id"))
     gifts = left_join_spread_nulls(gifts, known, "partner_id", "known_id")
     gifts = gifts.withColumn("partner_id", F.col("known_id")).drop("known_id").distinct()
-    counts = donor_profile(t).select(F.col("partner_id").alias("pr_id"), "aantalgiften")
+    counts = (donor_profile(t) if profile is None else profile).select(F.col("partner_id").alias("pr_id"), "aantalgiften")
     pdim = P.partner_dim(t, ("country", "street", "city"))
     pdim = pdim.join(counts, F.col("p_id") == F.col("pr_id"), "left").drop("pr_id")
     return _project(left_join_spread_nulls(gifts, pdim, "partner_id", "p_id"))
@@ -124,10 +124,14 @@ def _project(joined: DataFrame) -> DataFrame:
     )
 
 
-def gift_categories(t, period: str, start=None, end=None, as_of=None) -> DataFrame:
-    first, last = resolve_period(period, start, end, as_of)
-    gifts = _posted(t, first, last).unionByName(_draft(t, first, last))
-    return _enrich(t, gifts)
+def categories_between(t, first, last, profile: DataFrame | None = None) -> DataFrame:
+    """Gift categories of [first, last]; None: no border.  ``profile``: the
+    donor profiles, if they are stored."""
+    return _enrich(t, _posted(t, first, last).unionByName(_draft(t, first, last)), profile)
+
+
+def gift_categories(t, period: str, start=None, end=None, as_of=None, profile: DataFrame | None = None) -> DataFrame:
+    return categories_between(t, *resolve_period(period, start, end, as_of), profile)
 
 
 def draft_statement_gifts(t, period: str, start=None, end=None, as_of=None) -> DataFrame:

@@ -49,11 +49,13 @@ def certificate_lines_total(ledger: GiftLedger) -> DataFrame:
 
 
 def fiscal_certificates(ledger: GiftLedger, minimum: int = CERTIFICATE_MINIMUM, entity_pattern: str | None = None,
-                        donor_not_like: tuple[str, ...] = ()) -> DataFrame:
+                        donor_not_like: tuple[str, ...] = (), partner_ids: tuple[int, ...] = ()) -> DataFrame:
     """Per donor and legal entity: certificate gifts (credit - debit) >= minimum;
     optionally of the entities, and without the donors, whose lower-cased name
-    is like the given patterns."""
+    is like the given patterns, or of a list of partners."""
     gift = F.col("grootboekrek") == R.CERTIFICATE_ACCOUNT
+    if partner_ids:
+        gift = gift & F.col("partner_id").isin(*partner_ids)
     if entity_pattern is not None:
         gift = gift & F.lower("vzw").like(entity_pattern)
     donor = None
@@ -150,8 +152,10 @@ def _year_totals(t, start, end, history_start) -> DataFrame:
 
 def certificate_donors_missing_id(
     t, as_of, profile_since_year: int | None = None, history_months: int = 13,
-    minimum: int = CERTIFICATE_MINIMUM, dedupe_mandates: bool = False,
+    minimum: int = CERTIFICATE_MINIMUM, dedupe_mandates: bool = False, profile: DataFrame | None = None,
 ) -> DataFrame:
+    """``profile``: the donor profiles, if they are stored; then the booked
+    lines are read once, for the months of the fold."""
     day = as_date(as_of)
     start, end = resolve_period("YTD", as_of=day)
     since = day.year - 1 if profile_since_year is None else profile_since_year
@@ -161,7 +165,7 @@ def certificate_donors_missing_id(
         year.unionByName(pledges)
         .groupBy("partner_id").agg(F.sum("bedrag").cast("double").alias("bedrag"))
     )
-    regular = donor_profile(t).where(
+    regular = (donor_profile(t) if profile is None else profile).where(
         (F.col("jaarlaatstegift") >= since) & (F.col("jarendonateur") >= 2) & (F.col("avggiftenperjaar") >= 0.75)
     ).select("partner_id", F.col("avgbedragperjaar").alias("bedrag"))
     staged = staged.unionByName(regular).where(F.col("bedrag") >= minimum)

@@ -6,7 +6,6 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.period import resolve_period
@@ -62,6 +61,5 @@ def ledger_extract(t, start, end) -> DataFrame:
 
 
 def ledger_branch(t, start, end, branch: str) -> DataFrame:
-    """One source of the analyst ledger (``moved`` or ``history``)."""
-    led = L.gift_ledger(t, start, end)
-    return led.rows(F.col("branch") == branch)
+    """One source of the analyst ledger (``active``, ``moved`` or ``history``)."""
+    return L.branch_ledger(t, start, end, branch).wide()

@@ -146,21 +146,37 @@ def project_totals_since(ledger: GiftLedger, code_pattern: str, since, by: str =
     return agg.select(F.col("s").cast(TOTAL).alias("bedrag"), by)
 
 
+EMPTY_SALTS = 256
+
+
+def _address_key(address: str, salt) -> Column:
+    """Lower-cased address; an empty one is a blank and a salt, which no address is."""
+    return F.when(F.col(address) == "", F.concat(F.lit(" "), salt.cast("string"))).otherwise(F.lower(address))
+
+
 def donor_contact_flags(ledger: GiftLedger, t) -> DataFrame:
     """Donors per year flagged as website user and as suppressed e-mail
-    (case-insensitive match on the address; an address listed more than once
-    counts once, an empty one is never suppressed)."""
-    web = t.website_users.select(F.col("partner_id").alias("w_partner_id"))
-    sup = t.suppression_list.where("emailaddress <> ''").select(F.lower("emailaddress").alias("s_emailaddress")).distinct()
+    (case-insensitive match on the address).
+
+    Both lists are left joins that repeat a gift as often as they hold its
+    partner or address; every spelling of an address is a group of its own, and
+    an empty address matches a listed empty one.  No row is repeated here: each
+    list is folded to (key, spelling, how often) and the sums are multiplied."""
+    web = t.website_users.groupBy(F.col("partner_id").alias("w_partner_id")).agg(F.count(F.lit(1)).alias("w_times"))
+    spelled = t.suppression_list.where("emailaddress IS NOT NULL").groupBy(F.col("emailaddress").alias("s_emailaddress")).agg(
+        F.count(F.lit(1)).alias("s_times"))
+    # very many partners have no address: they, and the one listed empty address, are dealt over EMPTY_SALTS keys
+    salts = F.when(F.col("s_emailaddress") == "", F.sequence(F.lit(0), F.lit(EMPTY_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spelled = spelled.select("*", F.explode(salts).alias("salt")).select(
+        _address_key("s_emailaddress", F.col("salt")).alias("s_key"), "s_emailaddress", "s_times")
     ext = ledger.partners(DONOR_KEYS).join(web, F.col("partner_id") == F.col("w_partner_id"), "left")
-    # very many partners have no address, and none matches: they are dealt over all tasks
-    no_address = F.concat(F.lit(" "), F.pmod(F.xxhash64("partner_id"), F.lit(4096)).cast("string"))
-    ext = ext.withColumn("address", F.when(F.col("email") == "", no_address).otherwise(F.lower("email")))
-    ext = ext.join(sup, (F.col("address") == F.col("s_emailaddress")) & (F.col("email") != ""), "left")
-    keys = [*DONOR_KEYS, "w_partner_id", "s_emailaddress"]
+    ext = ext.withColumn("address", _address_key("email", F.pmod(F.xxhash64("partner_id"), F.lit(EMPTY_SALTS))))
+    ext = ext.join(spelled, F.col("address") == F.col("s_key"), "left")
+    keys = [*DONOR_KEYS, "w_partner_id", "s_emailaddress", "w_times", "s_times"]
     agg = ledger.aggregate(["jaar"], keys, _date_sums(), _date_merge(), partners=ext)
+    times = F.coalesce("w_times", F.lit(1)) * F.coalesce("s_times", F.lit(1))
     out = agg.select(
-        "partner_id", F.col("s").cast(TOTAL).alias("bedrag"), "jaar", F.col("d0").alias("min_date"),
+        "partner_id", (F.col("s") * times).cast(TOTAL).alias("bedrag"), "jaar", F.col("d0").alias("min_date"),
         F.col("d1").alias("max_date"), "aanspreking", "geslacht", "naam", "voornaam", "achternaam", "straat",
         "huisnummer", "bus", "postcode", "gemeente", "provincie", "land", "email",
         R.found_flag("w_partner_id", 0).alias("website_gebruiker"),
@@ -275,9 +291,9 @@ PROFILE_COLUMNS = ("jaareerstegift", "jaarlaatstegift", "jarendonateur", "aantal
 def profile_enrichment(ledger: GiftLedger, t) -> DataFrame:
     """Ledger rows of newsletter subscribers with their donor profile."""
     news = t.newsletter.select(F.col("partner_id").alias("n_partner_id"))
-    prof = donor_profile(t).select(F.col("partner_id").alias("dp_partner_id"), *PROFILE_COLUMNS)
+    prof = donor_profile(t, only=news).select(F.col("partner_id").alias("dp_partner_id"), *PROFILE_COLUMNS)
     ext = (
-        ledger.partners(PARTNER_COLUMNS).join(news, F.col("partner_id") == F.col("n_partner_id"), "inner")
+        ledger.partners(PARTNER_COLUMNS, only=news).join(news, F.col("partner_id") == F.col("n_partner_id"), "inner")
         .join(prof, F.col("partner_id") == F.col("dp_partner_id"), "inner")
     )
     joined = ledger.facts.join(ext, "partner_id", "inner")

@@ -20,34 +20,42 @@ from ..plans.joins import lookup
 TOTAL = "decimal(18,2)"
 
 
-def _partials(df: DataFrame) -> DataFrame:
+def _partials(df: DataFrame, source: str) -> DataFrame:
     return df.groupBy("partner_id").agg(
         F.min("jaar").alias("y0"),
         F.max("jaar").alias("y1"),
         F.count("partner_id").alias("n"),
         F.sum("amount").alias("s"),
         F.max("amount").alias("mx"),
-    )
+    ).select("partner_id", F.lit(source).alias("bron"), "y0", "y1", "n", "s", "mx")
 
 
-def donor_profile(t, partner_id: int | None = None) -> DataFrame:
+def profile_parts(t, partner_id: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Partial statistics per partner and source ('erp', 'npca'), read from
+    the gifts; of one partner, or of those whose ids ``only`` lists."""
     booked = posted_lines(t, codes=R.GIFT_ACCOUNTS, with_move=False, projects=False)
     booked = booked.select("partner_id", R.year_of("date").alias("jaar"), R.gift_amount().alias("amount"))
     hist = history_lines(t).select(
         "partner_id", R.year_of("date").alias("jaar"), F.col("amount").cast("decimal(16,2)").alias("amount")
     )
-    partners = t.res_partner.select("id", "country_id")
     if partner_id is not None:
         booked = booked.where(F.col("partner_id") == partner_id)
         hist = hist.where(F.col("partner_id") == partner_id)
-        partners = partners.where(F.col("id") == partner_id)
-    known = partners.select(F.col("id").alias("k_id"))
-    with_country = lookup(partners, t.res_country.select(F.col("id").alias("c_id")),
-                          F.col("country_id") == F.col("c_id"), "inner").select(F.col("id").alias("k_id"))
-    parts = (
-        _partials(booked).join(known, F.col("partner_id") == F.col("k_id"), "left_semi")
-        .unionByName(_partials(hist).join(with_country, F.col("partner_id") == F.col("k_id"), "left_semi"))
-    )
+    parts = _partials(booked, "erp").unionByName(_partials(hist, "npca"))
+    return parts if only is None else parts.join(only, F.col("partner_id") == F.col(only.columns[0]), "left_semi")
+
+
+def donor_profile(t, partner_id: int | None = None, parts: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The profile of every donor, or of one.  ``parts`` are partial statistics
+    kept elsewhere (``plans.store.ProfileStore``), so that no gift is read."""
+    if parts is None:
+        parts = profile_parts(t, partner_id, only)
+    elif partner_id is not None:
+        parts = parts.where(F.col("partner_id") == partner_id)
+    # booked gifts count for every partner, payment history only with a known country
+    partners = lookup(t.res_partner.select("id", "country_id"), t.res_country.select(F.col("id").alias("c_id")),
+                      F.col("country_id") == F.col("c_id"), "left").select(F.col("id").alias("k_id"), F.col("c_id").isNotNull().alias("known"))
+    parts = parts.join(partners, F.col("partner_id") == F.col("k_id"), "inner").where((F.col("bron") == "erp") | F.col("known"))
     agg = parts.groupBy("partner_id").agg(
         F.min("y0").alias("jaareerstegift"),
         F.max("y1").alias("jaarlaatstegift"),

@@ -1,13 +1,17 @@
 """Posting trace: from a reconciliation to its moves, invoices, invoice
 lines, membership lines and analytic lines - the manual look-up chain used to
-follow one payment, as one join chain over a set of reconciliations."""
+follow one payment, as one join chain over a set of reconciliations.
+
+For named reconciliations the chain is followed key set by key set: the moves
+are found first and restrict the scans of lines, invoices and analytic lines
+(``only_keys``), the invoices those of their lines, and so on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import left_join_spread_nulls
+from ..plans.joins import KEY_LIMIT, left_join_spread_nulls, only_keys
 
 
 def _reconciled_moves(t, reconcile_names=None) -> DataFrame:
@@ -19,15 +23,25 @@ def _reconciled_moves(t, reconcile_names=None) -> DataFrame:
     return rec.join(lines, F.col("reconcile_id") == F.col("rec_id"), "inner").select("reconcile_name", "move_id")
 
 
-def posting_lines(t, reconcile_names=None) -> DataFrame:
+def _moves_and(t, reconcile_names, limit: int):
+    """(reconciled moves, restriction of a table to them); without names the whole tables are traced."""
+    moves = _reconciled_moves(t, reconcile_names)
+    if reconcile_names is None:
+        return moves, lambda table, key, keys: table
+    return moves, lambda table, key, keys: only_keys(table, key, keys, limit)
+
+
+def posting_lines(t, reconcile_names=None, key_limit: int = KEY_LIMIT) -> DataFrame:
     """The posting behind each reconciliation: its lines with move, partner and account."""
-    moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("boeking"))
-    lines = t.account_move_line.select(F.col("move_id").alias("line_move"), "account_id", "partner_id", "date", "debit", "credit")
+    reconciled, only = _moves_and(t, reconcile_names, key_limit)
+    ids = reconciled.select("move_id")
+    moves = only(t.account_move, "id", ids).select(F.col("id").alias("am_id"), F.col("name").alias("boeking"))
+    lines = only(t.account_move_line, "move_id", ids).select(F.col("move_id").alias("line_move"), "account_id", "partner_id", "date", "debit", "credit")
     partners = t.res_partner.select(F.col("id").alias("p_id"), F.col("name").alias("naam"))
     accounts = t.account_account.select(
         F.col("id").alias("aa_id"), F.col("code").alias("grootboekrek"), F.col("name").alias("grootboekrek_naam"))
     # one reconciliation is a few moves: distinct, since it may list a move once per line
-    found = (_reconciled_moves(t, reconcile_names).distinct()
+    found = (reconciled.distinct()
              .join(moves, F.col("move_id") == F.col("am_id"), "inner")
              .join(lines, F.col("move_id") == F.col("line_move"), "inner")
              .join(accounts, F.col("account_id") == F.col("aa_id"), "inner"))
@@ -35,32 +49,37 @@ def posting_lines(t, reconcile_names=None) -> DataFrame:
         "reconcile_name", "move_id", "boeking", "partner_id", "naam", "grootboekrek", "grootboekrek_naam", "date", "debit", "credit")
 
 
-def posting_analytic_lines(t, reconcile_names=None, account_ids=None) -> DataFrame:
+def posting_analytic_lines(t, reconcile_names=None, account_ids=None, key_limit: int = KEY_LIMIT) -> DataFrame:
     """The analytic lines of each reconciliation's moves, optionally only
     those on the given analytic accounts, with the project they are booked on."""
-    analytic = t.account_analytic_line.select(F.col("account_id").alias("al_account"), F.col("move_id").alias("al_move"))
+    reconciled, only = _moves_and(t, reconcile_names, key_limit)
+    analytic = only(t.account_analytic_line, "move_id", reconciled.select("move_id")).select(
+        F.col("account_id").alias("al_account"), F.col("move_id").alias("al_move"))
     if account_ids is not None:
         analytic = analytic.where(F.col("al_account").isin(*account_ids))
     projects = t.account_analytic_account.select(
         F.col("id").alias("aaa_id"), F.col("code").alias("project_code"), F.col("name").alias("project"))
-    found = (_reconciled_moves(t, reconcile_names).distinct()
+    found = (reconciled.distinct()
              .join(analytic, F.col("move_id") == F.col("al_move"), "inner")
              .join(projects, F.col("al_account") == F.col("aaa_id"), "left"))
     return found.select("reconcile_name", "move_id", F.col("al_account").alias("account_id"), "project_code", "project")
 
 
-def posting_trace(t, reconcile_names=None) -> DataFrame:
-    invoices = t.account_invoice.select(F.col("id").alias("invoice_id"), F.col("move_id").alias("inv_move_id"))
-    inv_lines = t.account_invoice_line.select(F.col("id").alias("invoice_line_id"), F.col("invoice_id").alias("il_inv"))
-    members = t.membership_membership_line.select(
+def posting_trace(t, reconcile_names=None, key_limit: int = KEY_LIMIT) -> DataFrame:
+    reconciled, only = _moves_and(t, reconcile_names, key_limit)
+    ids = reconciled.select("move_id")
+    invoices = only(t.account_invoice, "move_id", ids).select(F.col("id").alias("invoice_id"), F.col("move_id").alias("inv_move_id"))
+    inv_lines = only(t.account_invoice_line, "invoice_id", invoices.select("invoice_id")).select(
+        F.col("id").alias("invoice_line_id"), F.col("invoice_id").alias("il_inv"))
+    members = only(t.membership_membership_line, "account_invoice_line", inv_lines.select("invoice_line_id")).select(
         F.col("id").alias("membership_line_id"), F.col("account_invoice_line").alias("ml_line")
     )
     # analytic lines are counted per move before the join (one row per move)
-    analytic = t.account_analytic_line.groupBy(F.col("move_id").alias("al_move")).agg(
+    analytic = only(t.account_analytic_line, "move_id", ids).groupBy(F.col("move_id").alias("al_move")).agg(
         F.count(F.lit(1)).alias("analytic_lines")
     )
     chain = (
-        _reconciled_moves(t, reconcile_names)
+        reconciled
         .join(invoices, F.col("inv_move_id") == F.col("move_id"), "inner")
         .join(inv_lines, F.col("il_inv") == F.col("invoice_id"), "inner")
         .join(members, F.col("ml_line") == F.col("invoice_line_id"), "left")

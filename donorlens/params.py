@@ -52,3 +52,10 @@ TRACE_ACCOUNTS = (6, 8, 12, 13, 16, 20)
 MONTHLY_ORDERS_NEXT_AFTER = "2019-01-01"
 MONTHLY_ORDERS_AS_OF = "2022-01-01"
 LATEST_INVOICES = 100
+
+# stored ledger and profile: two loads that overlap; small tables need few buckets
+STORE_LOADS = (("1996-01-01", "1997-03-15"), ("1997-02-01", "1997-12-31"))
+STORE_BUCKETS = 2
+STORE_HOT_ROWS = 2000
+PROFILE_YEAR_LOADS = ((1990, 2012), (2010, 2035))
+CERTIFICATE_PARTNERS = (1, 3, 5, 7, 11, 13, 101)

@@ -11,7 +11,7 @@ analytic-project triple is resolved with three lookups of the project table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +55,20 @@ def with_projects(df: DataFrame, t) -> DataFrame:
     return _project_lookups(df, t.account_analytic_account.select("id", "code", "name"))
 
 
+def on_projects(t, pattern: str) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the lines of which any dimension is a project with a code like
+    ``pattern``: the few ids meet the lines, not the whole project table."""
+    ids = t.account_analytic_account.where(F.col("code").like(pattern)).select("id").distinct()
+
+    def keep(lines: DataFrame) -> DataFrame:
+        found = lines
+        for k, key in enumerate(DIM_KEYS, start=1):
+            found = found.join(ids.select(F.col("id").alias(f"on_{k}")), F.col(key) == F.col(f"on_{k}"), "left")
+        return found.where(F.coalesce("on_1", "on_2", "on_3").isNotNull()).select(*lines.columns)
+
+    return keep
+
+
 def posted_lines(
     t,
     start=None,
@@ -64,9 +78,13 @@ def posted_lines(
     with_company: bool = True,
     with_move: bool = True,
     projects: bool = True,
+    restrict: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Move lines in [start, end] on the given ledger codes.
 
+    ``restrict`` keeps (or repeats) only some of the lines of the period,
+    before any of them meets another table.
+
     The posting header (move) supplies only its name.  Where the name is
     wanted the lines are joined with the moves (inner join, at every size: a
     line without a move goes, a move that is there twice repeats its lines).
@@ -75,6 +93,8 @@ def posted_lines(
     primary key, so there it neither drops nor repeats lines.
     """
     lines = t.account_move_line.where(_between("date", start, end))
+    if restrict is not None:
+        lines = restrict(lines)
     lines = lookup(lines, accounts(t), F.col("account_id") == F.col("aa_id"), "inner")
     if codes is not None:
         lines = lines.where(F.col("aa_code").isin(*codes))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from . import partner as P
-from .facts import history_lines, posted_lines, project_code, project_name
+from .facts import history_lines, on_projects, posted_lines, project_code, project_name
 from .joins import left_join_spread_nulls
 
 MONEY = "decimal(15,2)"
@@ -41,88 +41,107 @@ def _null(t: str) -> Column:
 INCOME_LOOKUPS = ("country", "street", "city", "title", "dept", "dept_choice", "relation")
 
 
-def _income_columns(posted: bool, bus: Column, bron: str) -> list[Column]:
-    """Select list of one branch; ``posted`` = booked lines, else history."""
-    dims = []
-    if posted:
-        dims = [
-            R.or_empty("d1_name").alias("dimensie1"),
-            R.or_empty("d2_name").alias("dimensie2"),
-            R.or_empty("d3_name").alias("dimensie3"),
-            R.or_empty("d1_code").alias("code1"),
-            R.or_empty("d2_code").alias("code2"),
-            R.or_empty("d3_code").alias("code3"),
-            project_code().alias("project_code"),
-            project_name().alias("project"),
-            F.col("aa_code").alias("grootboekrek"),
-            R.clean_separator("aa_name").alias("grootboekrek_naam"),
-            R.certificate_flag("aa_code").alias("fiscaal_attest"),
-            F.col("am_name").alias("boeking"),
-            R.posting_type("am_name").alias("boeking_type"),
-        ]
-    else:
-        dims = [
-            F.col("project_nbr").alias("dimensie1"),
-            F.col("cost_center").alias("dimensie2"),
-            _null("string").alias("dimensie3"),
-            _null("string").alias("code1"),
-            _null("string").alias("code2"),
-            _null("string").alias("code3"),
-            R.history_project("project_nbr", "cost_center").alias("project_code"),
-            _null("string").alias("project"),
-            _null("string").alias("grootboekrek"),
-            _null("string").alias("grootboekrek_naam"),
-            _null("boolean").alias("fiscaal_attest"),
-            _null("string").alias("boeking"),
-            _null("string").alias("boeking_type"),
-        ]
-    return [
-        (F.col("account_id") if posted else _null("int")).cast("int").alias("account_id"),
-        F.col("date"),
-        R.year_of("date").alias("jaar"),
-        R.month_of("date").alias("maand"),
-        R.iso_week_of("date").alias("week"),
-        (F.col("debit") if posted else _null(MONEY)).alias("debet"),
-        (F.col("credit") if posted else _null(MONEY)).alias("credit"),
-        (R.gift_amount() if posted else F.col("amount")).cast(AMOUNT).alias("amount"),
-        F.col("p_id").alias("partner_id"),
-        F.col("p_membership_state" if posted else "p_membership_state_b").alias("huidige_lidmaatschap_status"),
-        F.col("p_membership_nbr").alias("lidnummer"),
-        P.label().alias("partner"),
-        F.col("p_name").alias("naam"),
-        F.col("p_first_name").alias("voornaam"),
-        F.col("p_last_name").alias("achternaam"),
-        P.afdeling().alias("afdeling"),
-        P.afdeling_id().alias("afdeling_id"),
-        F.col("p_membership_cancel" if posted else "p_membership_cancel_b").alias("opzegdatum"),
-        P.straat().alias("straat"),
-        P.huisnummer().alias("huisnummer"),
-        bus.alias("bus"),
-        P.postcode().alias("postcode"),
-        P.gemeente().alias("gemeente"),
-        F.col("p_postbus_nbr").alias("postbus"),
-        P.provincie_zip().alias("provincie"),
-        F.col("c_name").alias("land"),
-        F.col("p_birthday").alias("geboorte_datum"),
-        F.col("a5_name").alias("naam_partner"),
-        P.adres_status().alias("adres_status"),
-        P.email_ontvangen().alias("email_ontvangen"),
-        P.post_ontvangen().alias("post_ontvangen"),
-        F.col("p_iets_te_verbergen").alias("nooit_contacteren"),
-        P.overleden().alias("overleden"),
-        F.col("p_email").alias("email"),
-        P.aanspreking().alias("aanspreking"),
-        F.col("p_gender").alias("geslacht"),
-        R.clean_text("name" if posted else "description").alias("description"),
-        (F.col("ref") if posted else _null("string")).alias("ref"),
-        *dims,
-        F.col("p_corporation_type_id").alias("rechtspersoon"),
-        (R.organisation_flag("p_organisation_type_id", "p_corporation_type_id") if posted else _null("int")).alias(
-            "particuliere_gift"
-        ),
-        (F.col("rc_name") if posted else _null("string")).alias("vzw"),
-        F.lit(bron).alias("bron"),
-    ]
+# columns of the gift itself, in both branches
+INCOME_FACTS = (
+    "account_id", "date", "debet", "credit", "amount", "partner_id", "description", "ref", "dimensie1", "dimensie2",
+    "dimensie3", "code1", "code2", "code3", "project_code", "project", "grootboekrek", "grootboekrek_naam",
+    "fiscaal_attest", "boeking", "boeking_type", "vzw", "bron",
+)
+INCOME_COLUMNS = (
+    "account_id", "date", "jaar", "maand", "week", "debet", "credit", "amount", "partner_id",
+    "huidige_lidmaatschap_status", "lidnummer", "partner", "naam", "voornaam", "achternaam", "afdeling", "afdeling_id",
+    "opzegdatum", "straat", "huisnummer", "bus", "postcode", "gemeente", "postbus", "provincie", "land",
+    "geboorte_datum", "naam_partner", "adres_status", "email_ontvangen", "post_ontvangen", "nooit_contacteren",
+    "overleden", "email", "aanspreking", "geslacht", "description", "ref", "dimensie1", "dimensie2", "dimensie3",
+    "code1", "code2", "code3", "project_code", "project", "grootboekrek", "grootboekrek_naam", "fiscaal_attest",
+    "boeking", "boeking_type", "rechtspersoon", "particuliere_gift", "vzw", "bron",
+)
+BOOKED, EARLIER = "erp", "npca"
+
+
+def _income_facts(posted: bool) -> list[Column]:
+    """INCOME_FACTS of a booked line (``posted``) or of the payment history."""
+    values = {"date": F.col("date"), "partner_id": F.col("partner_id")} | ({
+        "account_id": F.col("account_id").cast("int"),
+        "debet": F.col("debit"),
+        "credit": F.col("credit"),
+        "amount": R.gift_amount().cast(AMOUNT),
+        "description": R.clean_text("name"),
+        "ref": F.col("ref"),
+        "dimensie1": R.or_empty("d1_name"),
+        "dimensie2": R.or_empty("d2_name"),
+        "dimensie3": R.or_empty("d3_name"),
+        "code1": R.or_empty("d1_code"),
+        "code2": R.or_empty("d2_code"),
+        "code3": R.or_empty("d3_code"),
+        "project_code": project_code(),
+        "project": project_name(),
+        "grootboekrek": F.col("aa_code"),
+        "grootboekrek_naam": R.clean_separator("aa_name"),
+        "fiscaal_attest": R.certificate_flag("aa_code"),
+        "boeking": F.col("am_name"),
+        "boeking_type": R.posting_type("am_name"),
+        "vzw": F.col("rc_name"),
+        "bron": F.lit(BOOKED),
+    } if posted else {
+        "account_id": _null("int"),
+        "debet": _null(MONEY),
+        "credit": _null(MONEY),
+        "amount": F.col("amount").cast(AMOUNT),
+        "description": R.clean_text("description"),
+        "dimensie1": F.col("project_nbr"),
+        "dimensie2": F.col("cost_center"),
+        "project_code": R.history_project("project_nbr", "cost_center"),
+        "fiscaal_attest": _null("boolean"),
+        "bron": F.lit(EARLIER),
+    })
+    return [values.get(c, _null("string")).alias(c) for c in INCOME_FACTS]
+
+
+def _income_columns(prefixed_bus: bool) -> list[Column]:
+    """INCOME_COLUMNS of facts joined with the partner dimension."""
+    booked = F.col("bron") == BOOKED
+
+    def branch(posted: Column, history: Column) -> Column:
+        return F.when(booked, posted).otherwise(history)
+
+    bus = R.bus_prefixed("p_street_bus") if prefixed_bus else R.bus_or_empty("p_street_bus")
+    values = {
+        "jaar": R.year_of("date"),
+        "maand": R.month_of("date"),
+        "week": R.iso_week_of("date"),
+        "partner_id": F.col("p_id"),
+        "huidige_lidmaatschap_status": branch(F.col("p_membership_state"), F.col("p_membership_state_b")),
+        "lidnummer": F.col("p_membership_nbr"),
+        "partner": P.label(),
+        "naam": F.col("p_name"),
+        "voornaam": F.col("p_first_name"),
+        "achternaam": F.col("p_last_name"),
+        "afdeling": P.afdeling(),
+        "afdeling_id": P.afdeling_id(),
+        "opzegdatum": branch(F.col("p_membership_cancel"), F.col("p_membership_cancel_b")),
+        "straat": P.straat(),
+        "huisnummer": P.huisnummer(),
+        "bus": branch(bus, F.col("p_street_bus")),
+        "postcode": P.postcode(),
+        "gemeente": P.gemeente(),
+        "postbus": F.col("p_postbus_nbr"),
+        "provincie": P.provincie_zip(),
+        "land": F.col("c_name"),
+        "geboorte_datum": F.col("p_birthday"),
+        "naam_partner": F.col("a5_name"),
+        "adres_status": P.adres_status(),
+        "email_ontvangen": P.email_ontvangen(),
+        "post_ontvangen": P.post_ontvangen(),
+        "nooit_contacteren": F.col("p_iets_te_verbergen"),
+        "overleden": P.overleden(),
+        "email": F.col("p_email"),
+        "aanspreking": P.aanspreking(),
+        "geslacht": F.col("p_gender"),
+        "rechtspersoon": F.col("p_corporation_type_id"),
+        "particuliere_gift": branch(R.organisation_flag("p_organisation_type_id", "p_corporation_type_id"), _null("int")),
+    }
+    return [values.get(c, F.col(c)).alias(c) for c in INCOME_COLUMNS]
 
 
 def income_ledger(
@@ -138,32 +157,24 @@ def income_ledger(
 
     ``keep_unassigned`` keeps booked lines without a partner (marketing
     income); otherwise only lines of an existing partner are returned, or of
-    ``partner_id`` when it is given and positive.
+    ``partner_id`` when it is given and positive.  The narrow gifts of both
+    branches are joined with the partner dimension once.
     """
     one = partner_id is not None and partner_id > 0
-    pdim = P.partner_dim(t, INCOME_LOOKUPS)
-    if one:
-        pdim = pdim.where(F.col("p_id") == partner_id)
-    else:
-        pdim = pdim.where(F.col("p_id") > 0) if not keep_unassigned else pdim
-
-    lines = posted_lines(t, start, end, codes)
+    facts = posted_lines(t, start, end, codes).select(_income_facts(True)).unionByName(
+        history_lines(t, start, end).select(_income_facts(False)))
     if one:
-        lines = lines.where(F.col("partner_id") == partner_id)
+        facts = facts.where(F.col("partner_id") == partner_id)
+    pdim = P.partner_dim(t, INCOME_LOOKUPS)
+    if one or not keep_unassigned:
+        pdim = pdim.where((F.col("p_id") == partner_id) if one else (F.col("p_id") > 0))
     if keep_unassigned:
-        erp = left_join_spread_nulls(lines, pdim, "partner_id", "p_id")
+        joined = left_join_spread_nulls(facts, pdim, "partner_id", "p_id")
     else:
-        erp = lines.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
-    erp_bus = R.bus_prefixed("p_street_bus") if prefixed_bus else R.bus_or_empty("p_street_bus")
-    erp = erp.select(_income_columns(True, erp_bus, "erp"))
-
-    hist = history_lines(t, start, end)
-    if one:
-        hist = hist.where(F.col("partner_id") == partner_id)
-    hist_pdim = pdim.where(F.col("c_id").isNotNull())  # inner join on country
-    hist = hist.join(hist_pdim, F.col("partner_id") == F.col("p_id"), "inner")
-    hist = hist.select(_income_columns(False, F.col("p_street_bus"), "npca"))
-    return erp.unionByName(hist)
+        joined = facts.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
+    # the payment history has an inner join with the country
+    kept = joined.where((F.col("bron") == BOOKED) | F.col("c_id").isNotNull())
+    return kept.select(_income_columns(prefixed_bus))
 
 
 # ============================================================================
@@ -201,19 +212,25 @@ class GiftLedger:
     unnamed: DataFrame | None = None  # the facts without the join for the move name (boeking NULL)
     tables: object | None = None
 
-    def partners(self, columns: Iterable[str] = PARTNER_COLUMNS) -> DataFrame:
+    def partners(self, columns: Iterable[str] = PARTNER_COLUMNS, only: DataFrame | None = None) -> DataFrame:
         """partner_id, eligible and the attributes behind ``columns``; only
-        the lookups that these need are joined."""
+        the lookups that these need are joined, and only for the partners
+        whose ids ``only`` (one column) lists."""
         raw = list(dict.fromkeys(r for c in columns if c != "partner_id" for r in BRANCH_COLUMNS.get(c, (c,))))
         if self.stored is not None:
-            return self.stored.select("partner_id", "eligible", *raw)
-        return _extract_partners(self.tables, raw)
+            stored = self.stored.select("partner_id", "eligible", *raw)
+            return stored if only is None else stored.join(only, F.col("partner_id") == F.col(only.columns[0]), "left_semi")
+        return _extract_partners(self.tables, raw, only)
 
     @property
     def bare_facts(self) -> DataFrame:
         """Facts for reports that do not print the move name."""
         return self.facts if self.unnamed is None else self.unnamed
 
+    def fact_parts(self) -> list[DataFrame] | None:
+        """Facts stored apart, to be folded apart; None: only ``facts``."""
+        return None
+
     def _eligible(self, df: DataFrame) -> DataFrame:
         # booked gifts count for active partners and for deceased inactive ones
         return df.where((F.col("branch") != ACTIVE) | F.col("eligible"))
@@ -253,15 +270,21 @@ class GiftLedger:
         whose repetitions then multiply sums exactly as a row-level join);
         ``filter_columns`` names what ``partner_filter`` reads beside the keys.
         """
-        facts = self.facts if "boeking" in fact_keys else self.bare_facts
-        facts = facts if fact_filter is None else facts.where(fact_filter)
-        if fact_exprs:
-            facts = facts.select("*", *[c.alias(n) for n, c in fact_exprs.items()])
-        part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
-            *[c.alias(n) for n, c in partials.items()]
-        )
         attrs = self.partners([*partner_keys, *filter_columns]) if partners is None else partners
-        joined = self._eligible(part.join(attrs, "partner_id", "inner"))
+
+        def folded(facts: DataFrame) -> DataFrame:
+            facts = facts if fact_filter is None else facts.where(fact_filter)
+            if fact_exprs:
+                facts = facts.select("*", *[c.alias(n) for n, c in fact_exprs.items()])
+            part = facts.groupBy("partner_id", "branch", *fact_keys).agg(
+                *[c.alias(n) for n, c in partials.items()]
+            )
+            return self._eligible(part.join(attrs, "partner_id", "inner"))
+
+        first, *rest = self.fact_parts() or [self.facts if "boeking" in fact_keys else self.bare_facts]
+        joined = folded(first)
+        for more in rest:
+            joined = joined.unionByName(folded(more))
         if partner_filter is not None:
             joined = joined.where(partner_filter)
         joined = joined.select(
@@ -298,6 +321,11 @@ class GiftLedger:
         return wide if donor_filter is None else wide.where(donor_filter)
 
 
+def stored_partners(t) -> DataFrame:
+    """All partner attributes of a stored ledger, one row per partner."""
+    return _extract_partners(t, dict.fromkeys(r for c in PARTNER_COLUMNS for r in BRANCH_COLUMNS.get(c, (c,))))
+
+
 # lookups behind the attributes that need one
 ATTRIBUTE_LOOKUPS = {
     "afdeling": ("dept", "dept_choice"),
@@ -313,9 +341,9 @@ ATTRIBUTE_LOOKUPS = {
 }
 
 
-def _extract_partners(t, columns: Iterable[str]) -> DataFrame:
+def _extract_partners(t, columns: Iterable[str], only: DataFrame | None = None) -> DataFrame:
     """Partner attributes of the analyst ledger, NULL text already filled."""
-    pdim = P.partner_dim(t, {lookup for c in columns for lookup in ATTRIBUTE_LOOKUPS.get(c, ())})
+    pdim = P.partner_dim(t, {lookup for c in columns for lookup in ATTRIBUTE_LOOKUPS.get(c, ())}, only)
     attributes = {
         "lidnummer": R.or_empty("p_membership_nbr"),
         "partner": P.label(),
@@ -387,29 +415,44 @@ def gift_ledger(t, start, end, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
     return _gift_ledger(t, start, end, codes)
 
 
-def _booked_facts(t, start, end, codes, with_move: bool) -> DataFrame:
+def successors(t) -> DataFrame:
+    """(old_id, new_id): inactive partners and the partner that took their place."""
+    return t.res_partner.where(
+        (F.col("active") == F.lit(False)) & (F.coalesce(F.col("active_partner_id"), F.lit(0)) > 0)
+    ).select(F.col("id").alias("old_id"), F.col("active_partner_id").alias("new_id"))
+
+
+def _booked_facts(t, start, end, codes, with_move: bool, branches: tuple[str, ...] = (ACTIVE, MOVED)) -> DataFrame:
     """Booked gifts from one scan: each counts for its partner, and once more,
-    moved, for the surviving partner of an inactive one."""
-    booked = posted_lines(t, start, end, codes, with_move=with_move).where(F.col("partner_id").isNotNull())
+    moved, for the surviving partner of an inactive one.  Of the moved gifts
+    alone only the lines of partners with a successor are looked up."""
+    gone = successors(t)
+    of_successors = None
+    if branches == (MOVED,):
+        def of_successors(lines: DataFrame) -> DataFrame:
+            return lines.join(gone, F.col("partner_id") == F.col("old_id"), "inner")
+    booked = posted_lines(t, start, end, codes, with_move=with_move, restrict=of_successors).where(F.col("partner_id").isNotNull())
     if not with_move:
         booked = booked.select("*", _null("string").alias("am_name"))
-    successors = t.res_partner.where(
-        (F.col("active") == F.lit(False)) & (F.coalesce(F.col("active_partner_id"), F.lit(0)) > 0)
-    ).select(F.col("id").alias("old_id"), F.col("active_partner_id").alias("new_id"))
 
     def role(partner: Column, inactive: Column, branch: str) -> Column:
         return F.struct(partner.alias("partner_id"), inactive.cast("bigint").alias("inact_partner_id"), F.lit(branch).alias("branch"))
 
     own = role(F.col("partner_id"), F.lit(None), ACTIVE)
     moved = role(F.col("new_id"), F.col("old_id"), MOVED)
-    roles = F.when(F.col("new_id").isNull(), F.array(own)).otherwise(F.array(own, moved))
-    lines = booked.join(successors, F.col("partner_id") == F.col("old_id"), "left").select(
-        *[F.col(c) for c in booked.columns if c != "partner_id"], F.explode(roles).alias("role"))
+    if branches == (MOVED,):
+        lines = booked.select(*[F.col(c) for c in booked.columns if c != "partner_id"], moved.alias("role"))
+    elif branches == (ACTIVE,):
+        lines = booked.select(*[F.col(c) for c in booked.columns if c != "partner_id"], own.alias("role"))
+    else:
+        roles = F.when(F.col("new_id").isNull(), F.array(own)).otherwise(F.array(own, moved))
+        lines = booked.join(gone, F.col("partner_id") == F.col("old_id"), "left").select(
+            *[F.col(c) for c in booked.columns if c != "partner_id"], F.explode(roles).alias("role"))
     return lines.select("*", "role.*").select(_posted_fact_columns())
 
 
-def _gift_ledger(t, start, end, codes) -> GiftLedger:
-    hist = history_lines(t, start, end).select(
+def _history_facts(t, start, end) -> DataFrame:
+    return history_lines(t, start, end).select(
         _null("int").alias("acount_id"),
         F.col("date"),
         R.year_of("date").alias("jaar"),
@@ -433,11 +476,24 @@ def _gift_ledger(t, start, end, codes) -> GiftLedger:
         F.lit("npca").alias("bron"),
         F.lit(HISTORY).alias("branch"),
     )
+
+
+def _gift_ledger(t, start, end, codes) -> GiftLedger:
+    hist = _history_facts(t, start, end)
     return GiftLedger(
         _booked_facts(t, start, end, codes, True).unionByName(hist),
         unnamed=_booked_facts(t, start, end, codes, False).unionByName(hist), tables=t)
 
 
+def branch_ledger(t, start, end, branch: str, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
+    """One branch of the analyst ledger; the tables of the others are not read."""
+    if branch == HISTORY:
+        return GiftLedger(_history_facts(t, start, end), tables=t)
+    if branch not in (ACTIVE, MOVED):
+        raise ValueError(f"unknown branch {branch!r}")
+    return GiftLedger(_booked_facts(t, start, end, codes, True, (branch,)), tables=t)
+
+
 # ============================================================================
 # Legacies
 # ============================================================================
@@ -505,7 +561,8 @@ def legacy_ledger(t, start, end, columns: tuple[str, ...] = LEGACY_PRINTED) -> D
     """Bequests: booked lines on a legacy project (code ``L-...``) of an
     active or deceased partner with a known country, ordered by project.
     ``columns=LEGACY_COLUMNS`` gives the whole staged row."""
-    lines = posted_lines(t, start, end, codes=None).where(project_code().like(LEGACY_PROJECT_PATTERN))
+    lines = posted_lines(t, start, end, codes=None, restrict=on_projects(t, LEGACY_PROJECT_PATTERN)).where(
+        project_code().like(LEGACY_PROJECT_PATTERN))
     pdim = _legacy_partners(t, columns).where(R.active_or_deceased("p_active", "p_deceased"))
     joined = lines.join(pdim, F.col("partner_id") == F.col("p_id"), "inner")
     return _by_project(joined.select(_legacy_columns(True, columns)))

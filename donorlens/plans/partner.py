@@ -31,20 +31,26 @@ def _renamed(df: DataFrame, prefix: str, cols: Iterable[str]) -> DataFrame:
     return df.select([F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
 
-def partner_dim(t, lookups: Iterable[str] = LOOKUPS) -> DataFrame:
+def partner_dim(t, lookups: Iterable[str] = LOOKUPS, only: DataFrame | None = None) -> DataFrame:
+    """The dimension with ``lookups``; of the partners whose ids ``only`` (one
+    column) lists, if it is given."""
     wanted = frozenset(lookups)
     memo = getattr(t, "memo", None)
+    if only is not None:
+        return _partner_dim(t, wanted, only)
     if memo is not None:
         return memo(("partner_dim", wanted), lambda: _partner_dim(t, wanted))
     return _partner_dim(t, wanted)
 
 
-def _partner_dim(t, wanted: frozenset) -> DataFrame:
+def _partner_dim(t, wanted: frozenset, only: DataFrame | None = None) -> DataFrame:
     unknown = wanted - set(LOOKUPS)
     if unknown:
         raise ValueError(f"unknown partner lookups {sorted(unknown)}")
     partners = t.res_partner
     p = partners.select([F.col(c).alias(f"p_{c}") for c in partners.columns])
+    if only is not None:
+        p = p.join(only, F.col("p_id") == F.col(only.columns[0]), "left_semi")
     names = partners.select("id", "name")
     # only partners that are somebody's department: few rows, so their joins need not shuffle the partners
     used = (partners.select(F.explode(F.array("department_id", "department_choice_id")).alias("used_id"))

@@ -336,12 +336,17 @@ MAPPED: dict[str, Mapped] = {
             },
             where=f"{C} % 3 <> 2",
         ),
-        Mapped("website_users", "customer", {"partner_id": f"{C} + 1"}, where=f"{C} % 6 = 0"),
+        # some users are listed twice; some addresses twice, some in two spellings, two are empty
+        Mapped("website_users", "customer", {"partner_id": f"{C} + 1"}, where=f"{C} % 6 = 0", extra_where=f"{C} % 18 = 0"),
         Mapped(
             "suppression_list",
             "customer",
             {"emailaddress": f"'MAIL' || {_s(C)} || '@X.ORG'"},
             where=f"{C} % 10 = 0",
+            extra_where=f"{C} % 30 = 0",
+            extra_exprs={
+                "emailaddress": f"CASE WHEN {C} IN (60, 120) THEN '' WHEN {C} % 60 = 0 THEN 'MAIL' || {_s(C)} || '@X.ORG' ELSE 'mail' || {_s(C)} || '@X.org' END"
+            },
         ),
         Mapped("newsletter", "customer", {"partner_id": f"{C} + 1"}, where=f"{C} % 4 = 1"),
         Mapped(

@@ -60,3 +60,31 @@ def test_only_the_lookups_of_a_report_are_joined(tables):
         "unique_donors": LR.unique_donors(led)}.items()}
     # the ledger's own joins and one with the partners: no partner lookups
     assert joins["ledger_dates"] <= 2 and joins["thankyou_totals"] <= 11 < joins["unique_donors"], joins
+
+
+def test_branches_read_only_their_tables(tables):
+    history = plan(X.ledger_branch(tables, Q.LEDGER_START, Q.LEDGER_END, "history"))
+    assert "lineitem.parquet" not in history and "events.parquet" in history
+    moved = X.ledger_branch(tables, Q.LEDGER_START, Q.LEDGER_END, "moved")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(CASE" not in moved and "event_id" not in moved
+    # the successors meet the lines below the look-ups (deeper in the tree is later in the text)
+    assert moved.index("= am_id") < moved.index("= old_id")
+
+
+def test_income_ledgers_join_the_partners_once(tables):
+    for df in (X.gift_ledger(tables, Q.LEDGER_START, Q.LEDGER_END), X.gift_ledger(tables, Q.LEDGER_START, Q.LEDGER_END, Q.ONE_PARTNER),
+               X.marketing_income(tables, Q.MARKETING_PERIOD, Q.MARKETING_START, Q.MARKETING_END)):
+        opt = df._jdf.queryExecution().optimizedPlan().toString()
+        # the 55 columns are made once, over the union of the narrow gifts
+        assert opt.count("Union") >= 1 and opt.count("Join ") <= 17, opt.count("Join ")
+
+
+def test_legacies_meet_the_moves_after_the_projects(tables):
+    opt = X.legacy_ledger(tables, Q.LEGACY_START, Q.LEGACY_END)._jdf.queryExecution().optimizedPlan().toString()
+    assert opt.index("= am_id") < opt.index("isnotnull(coalesce(on_1")
+
+
+def test_enrichment_builds_only_the_readers_attributes(tables):
+    led = gift_ledger(tables, Q.LEDGER_START, Q.LEDGER_END)
+    opt = LR.profile_enrichment(led, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert opt.count("LeftSemi") >= 2

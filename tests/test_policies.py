@@ -254,3 +254,20 @@ def test_mandate_fanout_is_kept_unless_deduplicated(spark):
                sdd_mandate=mandates)
     assert CERT.annualised_pledges(t, "2020-06-30").first().bedrag == Decimal("100.00")
     assert CERT.annualised_pledges(t, "2020-06-30", dedupe_mandates=True).first().bedrag == Decimal("50.00")
+
+
+def test_contact_lists_repeat_a_gift_as_often_as_they_hold_it(spark):
+    day = dt.date(2020, 5, 1)
+    listed = ["a@x.be", "a@x.be", "A@X.be", "", "", None]
+    t = Tables(
+        spark,
+        res_partner=[partner(1, email="a@x.BE"), partner(2), partner(3, email=""), partner(4, email="none@x.be")],
+        account_move=MOVES, account_analytic_account=PROJECTS,
+        account_move_line=[line(p, day, "10.00") for p in (1, 2, 3, 4)],
+        website_users=[(1,), (1,), (4,), (9,)],
+        suppression_list=[(e,) for e in listed],
+    )
+    rows = LR.donor_contact_flags(gift_ledger(t, day, day), t).collect()
+    got = sorted((r.partner_id, int(r.bedrag), r.website_gebruiker, r.suppressed) for r in rows)
+    # partner 1: twice a user, one spelling listed twice and one once; 2 and 3: the empty address, listed twice
+    assert got == [(1, 20, "ja", "ja"), (1, 40, "ja", "ja"), (2, 20, "neen", "ja"), (3, 20, "neen", "ja"), (4, 10, "ja", "neen")]

@@ -67,6 +67,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 # --- word hashing over Arrow buffers -----------------------------------------

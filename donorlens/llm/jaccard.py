@@ -29,7 +29,9 @@ all their signatures, need not be looked at again.
 *Join.*  Rows (block signature, class, group by the seeds) are sorted by
 signature and read as a stream; a run of classes of a single group has nothing
 left to find and is left out.  Up to ``small_run`` classes of one signature
-are paired.  A longer run (a passage or line that very many documents share,
+are paired.  Of a longer run one class of every group, drawn anew for every
+signature, is linked to the largest group first; what is of one component then
+is left out as well.  A longer run (a passage or line that very many documents share,
 or a very large group of near copies) is needed only for classes that have too
 few other signatures.  With n non-empty blocks a class may leave out n - (d + 1)
 signatures, if all classes leave out the last ones of one order (as prefix
@@ -199,18 +201,31 @@ def _set_batches(shingle: int, percent: int, miss_bits: int | None, seeds: int)
     return run
 
 
-RUNS = "long boolean, sig long, members array<long>, low long, high long"
+RUNS = "long boolean, sig long, members array<long>, reps array<long>, low long, high long"
 
 
-def _pack_runs(rows: list[tuple[bool, int, np.ndarray, int, int]]) -> pa.RecordBatch:
-    kinds = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["long", "sig", "members", "low", "high"])
+def representatives(sig: int, members: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """One member of every group, another one for another signature; the first is of the largest group."""
+    draw = mix64(members.view(np.uint64) ^ mix64(np.array([sig], np.int64).view(np.uint64)))
+    order = np.lexsort((draw, groups))
+    first = np.flatnonzero(np.concatenate(([True], groups[order][1:] != groups[order][:-1])))
+    sizes = np.diff(np.append(first, len(order)))
+    return members[order[first]][np.argsort(-sizes, kind="stable")]
+
+
+def _pack_runs(rows: list[tuple[bool, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    reps = [representatives(sig, members, groups) if long else members[:0] for long, sig, members, groups in rows]
+    return pa.RecordBatch.from_arrays([
+        pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], longs), pa.array(reps, longs),
+        pa.array([int(r[3].min()) for r in rows], pa.int64()), pa.array([int(r[3].max()) for r in rows], pa.int64())],
+        ["long", "sig", "members", "reps", "low", "high"])
 
 
 class _RunReader:
     """Reads rows (sig, fp, group) sorted by (sig, fp) and gives each run of
-    more than one group: whole if small, in chunks if long, with the lowest and
-    highest group (one chunk of a run may hold a single group).  A small run
+    more than one group: whole if small, in chunks if long, with the groups of
+    the members (one chunk of a run may hold a single group).  A small run
     that this task has just given is not given again (near copies share most
     signatures)."""
 
@@ -221,7 +236,7 @@ class _RunReader:
         self.rest = none, none, none  # rows of a run that may go on
         self.going: int | None = None  # signature of a long run of which a chunk has been given
 
-    def read(self, sig: np.ndarray, fp: np.ndarray, group: np.ndarray, last: bool) -> list[tuple[bool, int, np.ndarray, int, int]]:
+    def read(self, sig: np.ndarray, fp: np.ndarray, group: np.ndarray, last: bool) -> list[tuple[bool, int, np.ndarray, np.ndarray]]:
         sig, fp, group = (np.concatenate(c) for c in zip(self.rest, (sig, fp, group), strict=True))
         if not len(sig):
             return []
@@ -237,27 +252,26 @@ class _RunReader:
             wanted |= sig[first] == self.going
         if not last:
             wanted[-1] = False
-        for a, b, x, y in zip(*(c[wanted].tolist() for c in (first, end, low, high)), strict=True):
-            self._give(rows, int(sig[a]), fp[a:b], x, y)
+        for a, b in zip(first[wanted].tolist(), end[wanted].tolist(), strict=True):
+            self._give(rows, int(sig[a]), fp[a:b], group[a:b])
         if not last and (len(sig) - tail > self.chunk or sig[tail] == self.going):
             self.going = int(sig[tail])
             if len(sig) - tail > 1:
-                part = group[tail:-1]
-                rows.append((True, self.going, fp[tail:-1], int(part.min()), int(part.max())))
+                rows.append((True, self.going, fp[tail:-1], group[tail:-1]))
             tail = len(sig) - 1
         self.rest = sig[tail:], fp[tail:], group[tail:]
         return rows
 
-    def _give(self, rows: list, sig: int, members: np.ndarray, low: int, high: int) -> None:
+    def _give(self, rows: list, sig: int, members: np.ndarray, groups: np.ndarray) -> None:
         if sig == self.going or len(members) > self.small_run:
-            rows.append((True, sig, members, low, high))
+            rows.append((True, sig, members, groups))
             return
         key = hash(members.tobytes())
         if key not in self.given:
             if len(self.given) > 500_000:
                 self.given.clear()
             self.given.add(key)
-            rows.append((False, sig, members, low, high))
+            rows.append((False, sig, members, groups))
 
 
 def _runs(small_run: int) -> Callable:
@@ -328,20 +342,39 @@ class NgramJaccardJoin:
                   .select(F.col("sig").alias("centre_sig"), F.col("centre.fp").alias("fa")))
         return shared.join(centre, F.col("sig") == F.col("centre_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb")).distinct()
 
-    def _candidates(self, member: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(fa, fb) class pairs; and (sig, fp) of long runs for the classes that
-        need them.  ``member``: the components (node, component) by the seeds."""
+    def _runs(self, member: DataFrame) -> DataFrame:
+        """Runs of classes of more than one group; ``member``: the components
+        (node, component) by the seeds."""
         groups = (self.classes.join(member, F.col("rep.doc_id") == F.col("node"))
                   .select(F.col("fp").alias("group_fp"), F.xxhash64(F.lit(7), "component").alias("grp")))
         rows = (self.sets.where("doc_id IS NOT NULL AND sigs IS NOT NULL").select("fp", "sigs").join(groups, F.col("fp") == F.col("group_fp"), "left")
                 .select(F.explode("sigs").alias("sig"), "fp", F.coalesce("grp", "fp").alias("grp")))
         runs = written(rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_runs(self.small_run), RUNS), "runs")
-        small = runs.where(~F.col("long")).select("members").distinct()
-        i = F.posexplode("members").alias("i", "fa")
-        pairs = small.select("members", i).select("fa", F.explode(F.slice("members", F.col("i") + 2, F.lit(self.small_run))).alias("fb"))
-
         mixed = (runs.where("long").groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
                  .select(F.col("sig").alias("mixed_sig")))
+        return runs.join(mixed, F.col("sig") == F.col("mixed_sig"), "left").where(~F.col("long") | F.col("mixed_sig").isNotNull()).drop("mixed_sig")
+
+    def _short_pairs(self, runs: DataFrame) -> DataFrame:
+        """(fa, fb): all pairs of the short runs."""
+        i = F.posexplode("members").alias("i", "fa")
+        small = runs.where(~F.col("long")).select("members").distinct()
+        return small.select("members", i).select("fa", F.explode(F.slice("members", F.col("i") + 2, F.lit(self.small_run))).alias("fb"))
+
+    @staticmethod
+    def _between_groups(runs: DataFrame) -> DataFrame:
+        """(fa, fb): of each long run, a member of every group with one of its largest group."""
+        long = runs.where("long")
+        centre = long.groupBy("sig").agg(F.max_by(F.col("reps")[0], F.size("members")).alias("fa")).select(F.col("sig").alias("centre_sig"), "fa")
+        reps = long.select("sig", F.explode("reps").alias("fb")).join(centre, F.col("sig") == F.col("centre_sig"))
+        return reps.where("fa <> fb").select("fa", "fb").distinct()
+
+    def _needed(self, runs: DataFrame, member: DataFrame) -> DataFrame:
+        """(sig, fp): of the long runs that still hold more than one component
+        of ``member``, the entries of the classes that need them."""
+        now = self.classes.join(member, F.col("rep.doc_id") == F.col("node")).select(F.col("fp").alias("now_fp"), F.xxhash64(F.lit(7), "component").alias("now"))
+        reps = (runs.where("long").select("sig", F.explode("reps").alias("fp")).join(now, F.col("fp") == F.col("now_fp"), "left")
+                .groupBy("sig").agg(F.min(F.coalesce("now", "fp")).alias("low"), F.max(F.coalesce("now", "fp")).alias("high")))
+        mixed = reps.where("low < high").select(F.col("sig").alias("mixed_sig"))
         entries = runs.where("long").join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi").select("sig", F.explode("members").alias("fp"))
         band, salt = F.shiftright(F.col("sig").bitwiseAND(0xFF0), 4), F.col("sig").bitwiseAND(0xF)
         lost = entries.where(salt == 0).groupBy("fp", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
@@ -353,7 +386,7 @@ class NgramJaccardJoin:
         place = F.row_number().over(Window.partitionBy("fp", "band").orderBy("sig"))
         ranked = entries.where(salt == 0).select("sig", "fp", band.alias("band")).withColumn("place", place)
         kept = ranked.join(keep, (F.col("fp") == F.col("keep_fp")) & (F.col("band") == F.col("keep_band")) & (F.col("place") <= F.col("keep")))
-        return pairs, written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
+        return written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
 
     def _class_side(self, side: str) -> DataFrame:
         return self.classes.select(F.col("fp").alias(f"fp_{side}"), F.col("rep.doc_id").alias(side), F.col("rep.variant").alias(f"v{side}"),
@@ -392,8 +425,11 @@ class NgramJaccardJoin:
         them to connect every component."""
         links = written(self._linked(self._stars(self._signature_rows("seeds").distinct()), None), "links")
         member = connected_components(links, "a", "b")
-        pairs, needed = self._candidates(member)
-        links = written(links.union(self._linked(pairs.union(self._stars(needed)).distinct(), member)), "links")
+        runs = self._runs(member)
+        links = written(links.union(self._linked(self._short_pairs(runs).union(self._between_groups(runs)).distinct(), member)), "links")
+        member = connected_components(links, "a", "b")
+        needed = self._needed(runs, member)
+        links = written(links.union(self._linked(self._stars(needed), member)), "links")
         # classes of one long run that are still apart are compared pair by pair
         member = connected_components(links, "a", "b")
         k = (needed.join(self._class_side("a"), F.col("fp") == F.col("fp_a")).join(member, F.col("a") == F.col("node"), "left")

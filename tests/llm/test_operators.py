@@ -146,14 +146,22 @@ def test_runs_over_batches_are_whole():
     for size in (1, 2, 7, 100):
         reader, got, low, high = jaccard._RunReader(4, chunk=5), defaultdict(list), {}, {}
         given = [reader.read(sig[at:at + size], fp[at:at + size], group[at:at + size], False) for at in range(0, len(sig), size)]
-        for _, s, m, x, y in [row for rows in [*given, reader.read(sig[:0], fp[:0], group[:0], True)] for row in rows]:
+        for _, s, m, g in [row for rows in [*given, reader.read(sig[:0], fp[:0], group[:0], True)] for row in rows]:
             got[s] += m.tolist()
-            low[s], high[s] = min(x, low.get(s, x)), max(y, high.get(s, y))
+            low[s], high[s] = min(g.min(), low.get(s, g.min())), max(g.max(), high.get(s, g.max()))
         mixed = {s: sorted(m) for s, m in got.items() if low[s] < high[s]}
         assert mixed == {s: fp[sig == s].tolist() for s in (1, 2, 3, 4)}
         assert 7 not in got  # a short run of one group is not given at all
 
 
+def test_representatives_are_of_every_group():
+    members, groups = np.arange(100, 140), np.repeat([5, 3, 9], [4, 30, 6])
+    drawn = [jaccard.representatives(s, members, groups).tolist() for s in range(20)]
+    of = dict(zip(members.tolist(), groups.tolist(), strict=True))
+    assert all(sorted(of[m] for m in d) == [3, 5, 9] and of[d[0]] == 3 for d in drawn)
+    assert len({d[0] for d in drawn}) > 5
+
+
 def test_groups_of_near_copies_are_not_compared_block_by_block(spark, docs_of):
     rng = random.Random(9)
     rows = []
@@ -166,7 +174,8 @@ def test_groups_of_near_copies_are_not_compared_block_by_block(spark, docs_of):
             rows.append((len(rows), " ".join(text)))
     join = jaccard.NgramJaccardJoin(docs_of(rows))
     links = join._linked(join._stars(join._signature_rows("seeds").distinct()), None)
-    _, needed = join._candidates(jaccard.connected_components(links, "a", "b"))
+    member = jaccard.connected_components(links, "a", "b")
+    needed = join._needed(join._runs(member), member)
     assert needed.count() < 2 * len(rows)  # without the seeds: over 100 a text
     got = {r.doc_id: r.component_id for r in join.documents().collect()}
     assert got == {i: 0 if i < 1500 else 1500 for i in range(len(rows))}

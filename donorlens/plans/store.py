@@ -4,7 +4,9 @@
 partitioned by (branch, year, month):
 
 * ``facts`` is bucketed and sorted by partner, and so are the partner
-  attributes.  Both sides of the partner join are read bucket by bucket: the
+  attributes.  One task writes, sorts or folds one bucket, so the first load
+  makes as many as keep a bucket at about ``bucket_rows`` rows of that load,
+  ``buckets`` at least; the number is kept beside the tables.  Both sides of the partner join are read bucket by bucket: the
   reports fold and join without a shuffle, and one partner's gifts are found by
   the files' statistics and Bloom filters (partner, project code, source).
 * ``hot_facts`` takes the gifts of partners with more than ``hot_rows`` gifts
@@ -45,6 +47,7 @@ from .facts import history_lines, posted_lines
 BRANCHES = (L.ACTIVE, L.MOVED, L.HISTORY)
 PARTITIONS = ("branch", "jaar", "maand")
 BUCKETS = 64
+BUCKET_ROWS = 250_000
 HOT_ROWS = 1_000_000
 # of both fact tables; the filters serve look-ups by other columns than the sorted one
 BLOOM = {"parquet.bloom.filter.enabled#partner_id": "true", "parquet.bloom.filter.enabled#project_code": "true",
@@ -120,6 +123,16 @@ class StoredLedger(L.GiftLedger):
     def fact_parts(self) -> list[DataFrame]:
         return self.parts
 
+    def wide(self) -> DataFrame:
+        """The bucketed gifts meet their partners bucket by bucket; the other
+        parts only the few partners that they hold, so no donor is one task's."""
+        first, *rest = self.parts
+        wide = L.GiftLedger(first, self.stored).wide()
+        for part in rest:
+            few = self.stored.join(part.select(F.col("partner_id").alias("hot_id")).distinct(), F.col("partner_id") == F.col("hot_id"), "left_semi")
+            wide = wide.unionByName(L.GiftLedger(part, few).wide())
+        return wide
+
     def rows(self, fact_filter=None, donor_filter=None) -> DataFrame:
         kept = self.parts if fact_filter is None else [p.where(fact_filter) for p in self.parts]
         wide = StoredLedger(kept, self.stored).wide()
@@ -127,10 +140,25 @@ class StoredLedger(L.GiftLedger):
 
 
 class LedgerStore:
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, hot_rows: int = HOT_ROWS):
-        self.spark, self.buckets, self.hot_rows = spark, buckets, hot_rows
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, hot_rows: int = HOT_ROWS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.buckets, self.hot_rows, self.bucket_rows = spark, buckets, hot_rows, bucket_rows
         self.root = _root(spark, root, "gift-ledger")
         self.tables = _Tables(spark, self.root)
+        if folder_exists(spark, self._kept()):
+            self.buckets = spark.read.schema("buckets int").parquet(self._kept()).first()["buckets"]
+
+    def _kept(self) -> str:
+        return f"{self.root}/buckets"
+
+    def _tasks(self, rows: int) -> int:
+        return max(self.buckets, -(-rows // self.bucket_rows))
+
+    def _fix_buckets(self, rows: int) -> None:
+        """The number of buckets of a new store; that of one with tables stays."""
+        if self.tables.known or folder_exists(self.spark, f"{self.root}/facts"):
+            return
+        self.buckets = self._tasks(rows)
+        self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.mode("overwrite").parquet(self._kept())
 
     def _create_facts(self, facts: DataFrame) -> list[str]:
         self.tables.create("hot_facts", facts, PARTITIONS, options=BLOOM)
@@ -142,11 +170,13 @@ class LedgerStore:
         have = self.spark.sql(f"SELECT * FROM VALUES {values} AS v({', '.join(PARTITIONS)})")
         return have.select(*[F.col(f.name).cast(f.dataType) if f.name in PARTITIONS else F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields])
 
-    def _write(self, facts: DataFrame, branches: Iterable[str], loaded: list[tuple[int, int]]) -> None:
-        order = self._create_facts(facts)
+    def _write(self, facts: DataFrame, branches: Iterable[str], loaded: list[tuple[int, int]], partners: int = 0) -> None:
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"  # the source is read once, whatever follows
         facts.write.parquet(staged)
         facts = self.spark.read.schema(facts.schema).parquet(staged)
+        rows = facts.count()
+        self._fix_buckets(max(rows, partners))
+        order = self._create_facts(facts)
         sizes = facts.groupBy("partner_id").agg(F.count(F.lit(1)).alias("n"))
         hot = sizes.where(F.col("n") > self.hot_rows).select(F.col("partner_id").alias("hot_id"))
         is_hot = F.col("partner_id") == F.col("hot_id")
@@ -154,8 +184,9 @@ class LedgerStore:
         # one task writes one bucket, so a partition has one file a bucket
         cold = facts.join(hot, is_hot, "left_anti").unionByName(markers).repartition(self.buckets, "partner_id")
         self.tables.overwrite("facts", cold, order)
-        spread = [*PARTITIONS, F.pmod(F.xxhash64(*[c for c in facts.columns if c not in PARTITIONS]), F.lit(self.buckets))]
-        warm = facts.join(hot, is_hot, "left_semi").unionByName(markers).repartition(*spread).sortWithinPartitions("partner_id", "date")
+        tasks = self._tasks(rows)
+        spread = [*PARTITIONS, F.pmod(F.xxhash64(*[c for c in facts.columns if c not in PARTITIONS]), F.lit(tasks))]
+        warm = facts.join(hot, is_hot, "left_semi").unionByName(markers).repartition(tasks, *spread).sortWithinPartitions("partner_id", "date")
         self.tables.overwrite("hot_facts", warm, order)
         system, where = file_system(self.spark, staged)
         system.delete(where, True)
@@ -163,7 +194,7 @@ class LedgerStore:
     def load(self, t, start, end, codes=R.GIFT_ACCOUNTS) -> None:
         """Loads the whole months of [start, end] and the partner attributes."""
         first, last = whole_months(start, end)
-        self._write(L.gift_ledger(t, first, last, codes).facts, BRANCHES, months(first, last))
+        self._write(L.gift_ledger(t, first, last, codes).facts, BRANCHES, months(first, last), t.res_partner.count())
         self.load_partners(t)
 
     def load_partners(self, t) -> None:

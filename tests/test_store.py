@@ -111,6 +111,20 @@ def test_bucketed_gifts_and_partners_meet_without_a_shuffle(spark, whole):
             spark.conf.unset(k)
 
 
+def test_the_wide_ledger_reads_buckets_without_a_shuffle(spark, whole):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        text = plan(whole.ledger(*PERIOD).wide())
+        bucketed = text.split("Union")[1].split("_hot_facts")[0]
+        join = bucketed[bucketed.index("SortMergeJoin"):bucketed.index("_partners[")]
+        assert "_facts[" in join and "Bucketed: true" in join and "Exchange" not in join
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
 def test_one_partner_is_found_in_few_files(whole):
     every = whole.ledger().facts
     every.collect()

@@ -111,6 +111,20 @@ def test_bucketed_gifts_and_partners_meet_without_a_shuffle(spark, whole):
             spark.conf.unset(k)
 
 
+def test_a_larger_load_makes_more_buckets(spark, tables):
+    store = S.LedgerStore(spark, buckets=2, hot_rows=8, bucket_rows=20)
+    store.load(tables, *PERIOD)
+    stored = store._stored().count()
+    assert store.buckets >= stored / 20 > 2
+    sizes = store.tables.read("facts").where("partner_id IS NOT NULL").groupBy(F.expr(f"pmod(hash(partner_id), {store.buckets})")).count().agg(F.max("count")).first()[0]
+    assert sizes < stored / 4  # with two buckets: half of them
+    assert same(store.ledger(*PERIOD).wide(), L.gift_ledger(tables, *PERIOD).wide())
+    again = S.LedgerStore(spark, root=store.root, buckets=2)
+    assert again.buckets == store.buckets
+    again.load(tables, "1997-02-01", "1997-03-31")
+    assert same(again.ledger("1996-11-01", "1997-03-31").wide(), L.gift_ledger(tables, "1996-11-01", "1997-03-31").wide())
+
+
 def test_the_wide_ledger_reads_buckets_without_a_shuffle(spark, whole):
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     try:

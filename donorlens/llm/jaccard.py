@@ -29,9 +29,11 @@ all their signatures, need not be looked at again.
 *Join.*  Rows (block signature, class, group by the seeds) are sorted by
 signature and read as a stream; a run of classes of a single group has nothing
 left to find and is left out.  Up to ``small_run`` classes of one signature
-are paired.  Of a longer run one class of every group, drawn anew for every
-signature, is linked to the largest group first; what is of one component then
-is left out as well.  A longer run (a passage or line that very many documents share,
+are paired.  Of a longer run one class of every group is linked to the largest
+group first; what is of one component then is left out as well.  That class is
+the one that met most others by its seeds, the least edited: it is the likeliest
+to be linked, and as most runs of two groups name the same two classes, groups
+that share many signatures are compared a few times, not once a signature.  A longer run (a passage or line that very many documents share,
 or a very large group of near copies) is needed only for classes that have too
 few other signatures.  With n non-empty blocks a class may leave out n - (d + 1)
 signatures, if all classes leave out the last ones of one order (as prefix
@@ -73,6 +75,7 @@ SEEDS = 4  # of each band
 SALTS = 4
 SKETCH_WORDS = 16  # 1024 bits
 _TAG = np.uint64(0xFFF)  # low bits of a signature: band and salt
+WEIGHT_BITS = 16  # low bits of a group in the runs: how much of a class others have met
 
 
 # --- sets ---------------------------------------------------------------------
@@ -204,10 +207,13 @@ def _set_batches(shingle: int, percent: int, miss_bits: int | None, seeds: int)
 RUNS = "long boolean, sig long, members array<long>, reps array<long>, low long, high long"
 
 
-def representatives(sig: int, members: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """One member of every group, another one for another signature; the first is of the largest group."""
+def representatives(sig: int, members: np.ndarray, groups: np.ndarray, weight_bits: int = 0) -> np.ndarray:
+    """The heaviest member of every group, of equal ones another for another
+    signature; the first is of the largest group.  The low ``weight_bits`` of
+    ``groups`` are the weights."""
     draw = mix64(members.view(np.uint64) ^ mix64(np.array([sig], np.int64).view(np.uint64)))
-    order = np.lexsort((draw, groups))
+    weights, groups = groups & ((1 << weight_bits) - 1), groups >> weight_bits
+    order = np.lexsort((draw, -weights, groups))
     first = np.flatnonzero(np.concatenate(([True], groups[order][1:] != groups[order][:-1])))
     sizes = np.diff(np.append(first, len(order)))
     return members[order[first]][np.argsort(-sizes, kind="stable")]
@@ -215,10 +221,11 @@ def representatives(sig: int, members: np.ndarray, groups: np.ndarray) -> np.nda
 
 def _pack_runs(rows: list[tuple[bool, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     longs = pa.list_(pa.int64())
-    reps = [representatives(sig, members, groups) if long else members[:0] for long, sig, members, groups in rows]
+    reps = [representatives(sig, members, groups, WEIGHT_BITS) if long else members[:0] for long, sig, members, groups in rows]
+    groups = [r[3] >> WEIGHT_BITS for r in rows]
     return pa.RecordBatch.from_arrays([
         pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], longs), pa.array(reps, longs),
-        pa.array([int(r[3].min()) for r in rows], pa.int64()), pa.array([int(r[3].max()) for r in rows], pa.int64())],
+        pa.array([int(g.min()) for g in groups], pa.int64()), pa.array([int(g.max()) for g in groups], pa.int64())],
         ["long", "sig", "members", "reps", "low", "high"])
 
 
@@ -227,10 +234,10 @@ class _RunReader:
     more than one group: whole if small, in chunks if long, with the groups of
     the members (one chunk of a run may hold a single group).  A small run
     that this task has just given is not given again (near copies share most
-    signatures)."""
+    signatures).  The low ``weight_bits`` of a group are no part of it."""
 
-    def __init__(self, small_run: int, chunk: int = 4096):
-        self.small_run, self.chunk = small_run, chunk
+    def __init__(self, small_run: int, chunk: int = 4096, weight_bits: int = 0):
+        self.small_run, self.chunk, self.weight_bits = small_run, chunk, weight_bits
         self.given: set = set()
         none = np.zeros(0, np.int64)
         self.rest = none, none, none  # rows of a run that may go on
@@ -244,7 +251,8 @@ class _RunReader:
         sig, fp, group = sig[new], fp[new], group[new]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         end = np.append(first[1:], len(sig))
-        low, high = np.minimum.reduceat(group, first), np.maximum.reduceat(group, first)
+        bare = group >> self.weight_bits
+        low, high = np.minimum.reduceat(bare, first), np.maximum.reduceat(bare, first)
         rows: list = []
         tail = len(sig) if last else int(first[-1])
         wanted = low < high
@@ -276,7 +284,7 @@ class _RunReader:
 
 def _runs(small_run: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _RunReader(small_run)
+        reader = _RunReader(small_run, weight_bits=WEIGHT_BITS)
         for batch in batches:
             if rows := reader.read(*(batch.column(c).to_numpy() for c in ("sig", "fp", "grp")), False):
                 yield _pack_runs(rows)
@@ -332,23 +340,40 @@ class NgramJaccardJoin:
         return self.sets.where(f"doc_id IS NOT NULL AND {column} IS NOT NULL").select(F.explode(column).alias("sig"), "fp")
 
     @staticmethod
-    def _stars(entries: DataFrame) -> DataFrame:
-        """(fa, fb): the classes of each signature of (sig, fp) with its
-        centre, the class that most others meet: the least edited one."""
+    def _shared(entries: DataFrame) -> DataFrame:
+        """(sig, fp, n): the entries of signatures of n > 1 classes."""
         sizes = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sig").alias("size_sig"), "n")
-        shared = written(entries.join(sizes, F.col("sig") == F.col("size_sig")).select("sig", "fp", "n"), "shared")
-        met = shared.groupBy("fp").agg(F.sum("n").alias("met")).select(F.col("fp").alias("met_fp"), "met")
-        centre = (shared.join(met, F.col("fp") == F.col("met_fp")).groupBy("sig").agg(F.max(F.struct("met", "fp")).alias("centre"))
+        return written(entries.join(sizes, F.col("sig") == F.col("size_sig")).select("sig", "fp", "n"), "shared")
+
+    @staticmethod
+    def _met(shared: DataFrame) -> DataFrame:
+        """(met_fp, met): how many classes each one meets, by all its signatures."""
+        return shared.groupBy("fp").agg(F.sum("n").alias("met")).select(F.col("fp").alias("met_fp"), "met")
+
+    def _stars(self, entries: DataFrame) -> DataFrame:
+        """(fa, fb): the star pairs of (sig, fp)."""
+        return self._star_pairs(self._shared(entries))
+
+    def _star_pairs(self, shared: DataFrame) -> DataFrame:
+        """(fa, fb): the classes of each signature with its centre, the class
+        that most others meet: the least edited one."""
+        centre = (shared.join(self._met(shared), F.col("fp") == F.col("met_fp")).groupBy("sig").agg(F.max(F.struct("met", "fp")).alias("centre"))
                   .select(F.col("sig").alias("centre_sig"), F.col("centre.fp").alias("fa")))
         return shared.join(centre, F.col("sig") == F.col("centre_sig")).where("fp <> fa").select("fa", F.col("fp").alias("fb")).distinct()
 
-    def _runs(self, member: DataFrame) -> DataFrame:
+    def _runs(self, member: DataFrame, met: DataFrame | None = None) -> DataFrame:
         """Runs of classes of more than one group; ``member``: the components
-        (node, component) by the seeds."""
-        groups = (self.classes.join(member, F.col("rep.doc_id") == F.col("node"))
-                  .select(F.col("fp").alias("group_fp"), F.xxhash64(F.lit(7), "component").alias("grp")))
+        (node, component) by the seeds, ``met``: of each class, how many others
+        it meets by them.  The weight in the low bits of a group is that number
+        (256 steps of its logarithm), then one of 256 draws."""
+        bare = F.lit(-1 << WEIGHT_BITS)
+        linked = self.classes.select("fp", "rep").join(member, F.col("rep.doc_id") == F.col("node"))
+        linked = linked.withColumn("met", F.lit(0)) if met is None else linked.join(met, F.col("fp") == F.col("met_fp"), "left")
+        step = F.least(F.lit(255), F.floor(F.log2(F.coalesce("met", F.lit(0)) + 1) * 8)).cast("long")
+        weight = step * 256 + F.pmod(F.xxhash64(F.lit(9), "fp"), F.lit(256))
+        groups = linked.select(F.col("fp").alias("group_fp"), (F.xxhash64(F.lit(7), "component").bitwiseAND(bare) + weight).alias("grp"))
         rows = (self.sets.where("doc_id IS NOT NULL AND sigs IS NOT NULL").select("fp", "sigs").join(groups, F.col("fp") == F.col("group_fp"), "left")
-                .select(F.explode("sigs").alias("sig"), "fp", F.coalesce("grp", "fp").alias("grp")))
+                .select(F.explode("sigs").alias("sig"), "fp", F.coalesce("grp", F.col("fp").bitwiseAND(bare)).alias("grp")))
         runs = written(rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_runs(self.small_run), RUNS), "runs")
         mixed = (runs.where("long").groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
                  .select(F.col("sig").alias("mixed_sig")))
@@ -362,7 +387,7 @@ class NgramJaccardJoin:
 
     @staticmethod
     def _between_groups(runs: DataFrame) -> DataFrame:
-        """(fa, fb): of each long run, a member of every group with one of its largest group."""
+        """(fa, fb): of each long run, the heaviest member of every group with that of its largest group."""
         long = runs.where("long")
         centre = long.groupBy("sig").agg(F.max_by(F.col("reps")[0], F.size("members")).alias("fa")).select(F.col("sig").alias("centre_sig"), "fa")
         reps = long.select("sig", F.explode("reps").alias("fb")).join(centre, F.col("sig") == F.col("centre_sig"))
@@ -423,9 +448,10 @@ class NgramJaccardJoin:
     def links(self) -> DataFrame:
         """(a, b): verified links between class representatives, enough of
         them to connect every component."""
-        links = written(self._linked(self._stars(self._signature_rows("seeds").distinct()), None), "links")
+        shared = self._shared(self._signature_rows("seeds").distinct())
+        links = written(self._linked(self._star_pairs(shared), None), "links")
         member = connected_components(links, "a", "b")
-        runs = self._runs(member)
+        runs = self._runs(member, self._met(shared))
         links = written(links.union(self._linked(self._short_pairs(runs).union(self._between_groups(runs)).distinct(), member)), "links")
         member = connected_components(links, "a", "b")
         needed = self._needed(runs, member)

@@ -181,6 +181,26 @@ def test_groups_of_near_copies_are_not_compared_block_by_block(spark, docs_of):
     assert got == {i: 0 if i < 1500 else 1500 for i in range(len(rows))}
 
 
+def test_groups_that_share_a_passage_are_compared_a_few_times(spark, docs_of):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(120)]
+    rows = []
+    for g in range(40):  # near copies of a text with the passage; groups are not linked to each other
+        own = [f"g{g}x{k}" for k in range(100)]
+        for _ in range(8):
+            text = list(own)
+            text[rng.randrange(100)] = f"e{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(passage + text)))
+    join = jaccard.NgramJaccardJoin(docs_of(rows))
+    shared = join._shared(join._signature_rows("seeds").distinct())
+    member = jaccard.connected_components(join._linked(join._star_pairs(shared), None), "a", "b")
+    runs = join._runs(member, join._met(shared))
+    assert runs.where("long").count() > 20
+    assert join._between_groups(runs).count() < 1000  # of classes drawn anew for every signature: 1418
+    got = {r.doc_id: r.component_id for r in join.documents().collect()}
+    assert got == {i: i // 8 * 8 for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("seeds", [0, 1, 50])
 def test_seeds_change_no_component(spark, docs_of, seeds):
     rows = near_copies()

@@ -35,15 +35,17 @@ the one that met most others by its seeds, the least edited: it is the likeliest
 to be linked, and as most runs of two groups name the same two classes, groups
 that share many signatures are compared a few times, not once a signature.  A longer run (a passage or line that very many documents share,
 or a very large group of near copies) is needed only for classes that have too
-few other signatures.  With n non-empty blocks a class may leave out n - (d + 1)
-signatures, if all classes leave out the last ones of one order (as prefix
-filters do); that order is short runs and runs of one group, then long runs by
-signature.  Only the
-strict d + 1 serves here: short runs are the blocks a text shares with few, so
-the chance behind ``miss_bits`` says nothing about them, and where fewer than
-d + 1 blocks are used no long run is left out.  The classes of a long run that
-are left are linked to its centre, the class in most of them, and only what is
-in different components after that is compared pair by pair.
+few other signatures.  A class that shares more than r of its blocks with
+whatever it is linked to may leave out r signatures, if all classes leave out
+the last ones of one order (as prefix filters do); that order is short runs and
+runs of one group, then long runs from the smallest to the largest.  With n
+non-empty blocks r is n - (d + 1), or, where that is more, the largest number
+for which d elements dealt over the n blocks leave at most r of them unchanged
+with probability below 2**-miss_bits; this speaks of the number of shared
+blocks, so it holds whichever are left out.  Here d is that of the class itself
+and the largest set it can be linked to in the band.  The classes of a long run
+that are left are linked to its centre, the class in most of them, and only what
+is in different components after that is compared pair by pair.
 
 *Verify.*  Pairs pass the size and the 1024-bit Hamming bound, then the sets
 themselves are compared exactly: 100 * intersection >= 75 * union.
@@ -73,6 +75,7 @@ MISS_BITS = 30
 SMALL_RUN = 8
 SEEDS = 4  # of each band
 SALTS = 4
+PIECE = 64  # members of a long run that are exploded together
 SKETCH_WORDS = 16  # 1024 bits
 _TAG = np.uint64(0xFFF)  # low bits of a signature: band and salt
 WEIGHT_BITS = 16  # low bits of a group in the runs: how much of a class others have met
@@ -119,10 +122,9 @@ def upper(band: int, percent: int = PERCENT) -> int:
     return int((100 / percent) ** band + 1e-9)
 
 
-def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_BITS) -> tuple[int, int, int]:
-    """(m, need, strict): blocks of a band's sketches, how many non-empty ones
-    must differ for a linked pair to be missed, and the number (d + 1) of which
-    one is shared whichever are picked."""
+def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_BITS) -> tuple[int, int]:
+    """(m, need): blocks of a band's sketches, and how many non-empty ones must
+    differ for a linked pair to be missed."""
     t = percent / 100
     d = int(2 * upper(band, percent) * (1 - t) / (1 + t) + 1e-9)
     need, m = d + 1, int(1.25 * (d + 1)) + 6
@@ -134,7 +136,31 @@ def blocks_for(band: int, percent: int = PERCENT, miss_bits: int | None = MISS_B
                 need, m = fewer, int(1.25 * fewer) + 1
                 break
             fewer += max(1, fewer // 32)
-    return m, need, d + 1
+    return m, need
+
+
+@functools.cache
+def _spare_by_elements(n: int, miss_bits: int) -> list[int]:
+    """For d = 0, 1, 2, ...: the largest r for which d elements dealt over n
+    blocks leave at most r blocks without one with probability below
+    2**-miss_bits; ends where there is none."""
+    hit, changed, out = np.zeros(n + 1), np.arange(n + 1) / n, []
+    hit[0] = 1  # probability of every number of changed blocks
+    while not out or out[-1] >= 0:
+        out.append(int((np.cumsum(hit[::-1]) < 2.0 ** -miss_bits).sum()) - 1)
+        more = hit * (1 - changed)
+        hit = hit * changed
+        hit[1:] += more[:-1]
+    return out
+
+
+def spare_blocks(n: int, size: int, band: int, percent: int = PERCENT, miss_bits: int | None = MISS_BITS) -> int:
+    """How many of its n non-empty blocks a set may leave out in a band,
+    whichever they are: it shares more than these with every set it is linked
+    to.  Below 0: none, and it may share none."""
+    d = (size + min(upper(band, percent), size * 100 // percent)) * (100 - percent) // (100 + percent)
+    by_chance = _spare_by_elements(n, miss_bits) if miss_bits is not None else []
+    return max(n - d - 1, by_chance[d] if d < len(by_chance) else -1)
 
 
 def blocks(elements: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +174,12 @@ def blocks(elements: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndar
 
 def signatures(elements: np.ndarray, percent: int, miss_bits: int | None, plan: dict) -> tuple[np.ndarray, list[int]]:
     """Signatures of a set for its own and the next band; and, for both, how
-    many of its blocks any choice may leave out without missing a link (below 0
-    where fewer blocks than the strict pigeonhole asks for are used)."""
+    many of its blocks any choice may leave out without missing a link."""
     own, out, slack = band_of(len(elements), percent), [], []
     for band in (own, own + 1):
         if band not in plan:
             plan[band] = blocks_for(band, percent, miss_bits)
-        m, need, strict = plan[band]
+        m, need = plan[band]
         for salt in range(SALTS + 1):
             tag = np.uint64(((band & 0xFF) << 4) | salt)
             if salt == SALTS:  # too few blocks under every salt: one key for all such sets
@@ -163,7 +188,7 @@ def signatures(elements: np.ndarray, percent: int, miss_bits: int | None, plan:
             number, xor = blocks(elements, m, salt)
             out.append((mix64(xor + mix64(number + np.uint64(band * 131071 + salt))) & ~_TAG) | tag)
             if salt == 0:
-                slack.append(len(number) - strict)
+                slack.append(spare_blocks(len(number), len(elements), band, percent, miss_bits))
             if len(number) >= need:
                 break
     return np.concatenate(out), slack
@@ -397,21 +422,24 @@ class NgramJaccardJoin:
         """(sig, fp): of the long runs that still hold more than one component
         of ``member``, the entries of the classes that need them."""
         now = self.classes.join(member, F.col("rep.doc_id") == F.col("node")).select(F.col("fp").alias("now_fp"), F.xxhash64(F.lit(7), "component").alias("now"))
-        reps = (runs.where("long").select("sig", F.explode("reps").alias("fp")).join(now, F.col("fp") == F.col("now_fp"), "left")
+        long = runs.where("long").select("sig", "members", "reps")
+        reps = (long.select("sig", F.explode("reps").alias("fp")).join(now, F.col("fp") == F.col("now_fp"), "left")
                 .groupBy("sig").agg(F.min(F.coalesce("now", "fp")).alias("low"), F.max(F.coalesce("now", "fp")).alias("high")))
         mixed = reps.where("low < high").select(F.col("sig").alias("mixed_sig"))
-        entries = runs.where("long").join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi").select("sig", F.explode("members").alias("fp"))
-        band, salt = F.shiftright(F.col("sig").bitwiseAND(0xFF0), 4), F.col("sig").bitwiseAND(0xF)
-        lost = entries.where(salt == 0).groupBy("fp", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
+        sizes = long.groupBy("sig").agg(F.sum(F.size("members")).alias("run_size")).join(mixed, F.col("sig") == F.col("mixed_sig")).select("mixed_sig", "run_size")
+        pieces = F.transform(F.sequence(F.lit(0), F.size("members") - 1, F.lit(PIECE)), lambda i: F.slice("members", i + 1, PIECE))
+        dealt = (long.join(sizes, F.col("sig") == F.col("mixed_sig")).select("run_size", "sig", F.explode(pieces).alias("members"))
+                 .repartition("sig", F.hash("members")))  # a run of very many classes is not one task's
+        entries = dealt.select(F.struct("run_size", "sig").alias("run"), F.explode("members").alias("fp"))
+        band, salt = F.shiftright(F.col("run.sig").bitwiseAND(0xFF0), 4), F.col("run.sig").bitwiseAND(0xF)
+        # a class is in at most as many runs of a band as it has blocks
+        lost = entries.groupBy("fp", band.alias("band"), salt.alias("salt")).agg(F.sort_array(F.collect_list("run")).alias("lost"))
         c = self.classes.select(F.col("fp").alias("class_fp"), "own", "slack_own", "slack_next")
         slack = F.when(F.col("band") == F.col("own").bitwiseAND(0xFF), F.col("slack_own")).otherwise(F.col("slack_next"))
-        # of the long runs a class keeps only as many as its other ones leave open, the first by signature
-        keep = (lost.join(c, F.col("fp") == F.col("class_fp")).groupBy("fp", "band").agg(F.max(F.col("lost") - slack).alias("keep"))
-                .where("keep > 0").select(F.col("fp").alias("keep_fp"), F.col("band").alias("keep_band"), "keep"))
-        place = F.row_number().over(Window.partitionBy("fp", "band").orderBy("sig"))
-        ranked = entries.where(salt == 0).select("sig", "fp", band.alias("band")).withColumn("place", place)
-        kept = ranked.join(keep, (F.col("fp") == F.col("keep_fp")) & (F.col("band") == F.col("keep_band")) & (F.col("place") <= F.col("keep")))
-        return written(kept.select("sig", "fp").union(entries.where(salt > 0)), "long-runs")
+        # of the long runs a class keeps only as many as its other ones leave open, the smallest
+        spare = F.when(F.col("salt") == 0, F.greatest(slack, F.lit(0))).otherwise(0)
+        kept = lost.join(c, F.col("fp") == F.col("class_fp")).select("fp", F.explode(F.slice("lost", 1, F.greatest(F.size("lost") - spare, F.lit(0)))).alias("run"))
+        return written(kept.select("run.sig", "fp"), "long-runs")
 
     def _class_side(self, side: str) -> DataFrame:
         return self.classes.select(F.col("fp").alias(f"fp_{side}"), F.col("rep.doc_id").alias(side), F.col("rep.variant").alias(f"v{side}"),
@@ -458,10 +486,12 @@ class NgramJaccardJoin:
         links = written(links.union(self._linked(self._stars(needed), member)), "links")
         # classes of one long run that are still apart are compared pair by pair
         member = connected_components(links, "a", "b")
-        k = (needed.join(self._class_side("a"), F.col("fp") == F.col("fp_a")).join(member, F.col("a") == F.col("node"), "left")
-             .select("sig", "a", "va", "na", "sa", F.coalesce("component", "a").alias("ca")))
-        mixed = k.groupBy("sig").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select(F.col("sig").alias("mixed_sig"))
-        k = written(k.join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi"), "apart")
+        now = self._class_side("a").join(member, F.col("a") == F.col("node"), "left").select(F.col("fp_a").alias("now_fp"), F.coalesce("component", "a").alias("ca"))
+        placed = written(needed.join(now, F.col("fp") == F.col("now_fp")).select("sig", "fp", "ca"), "placed")
+        mixed = placed.groupBy("sig").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select(F.col("sig").alias("mixed_sig"))
+        k = (placed.join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi").join(self._class_side("a"), F.col("fp") == F.col("fp_a"))
+             .select("sig", "a", "va", "na", "sa", "ca"))
+        k = written(k, "apart")
         if not k.isEmpty():
             other = k.select(F.col("sig").alias("sig_b"), F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("ca").alias("cb"))
             rest = (k.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(self.percent))

@@ -201,6 +201,43 @@ def test_groups_that_share_a_passage_are_compared_a_few_times(spark, docs_of):
     assert got == {i: i // 8 * 8 for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("n, size, band", [(5, 13, 11), (9, 17, 12), (6, 12, 11)])
+def test_spare_blocks_are_those_that_chance_leaves_over(n, size, band):
+    d = (size + min(jaccard.upper(band), size * 4 // 3)) // 7  # elements in which linked sets differ at most
+    changed = Counter({0: 1.0})
+    for _ in range(d):
+        after = Counter()
+        for k, p in changed.items():
+            after[k] += p * k / n
+            after[k + 1] += p * (n - k) / n
+        changed = after
+    for bits in (1, 2, 4, 8):
+        r = jaccard.spare_blocks(n, size, band, miss_bits=bits)
+        assert r >= n - d - 1 == jaccard.spare_blocks(n, size, band, miss_bits=None)
+        assert r == n - d - 1 or sum(p for k, p in changed.items() if n - k <= r) < 2.0 ** -bits
+        assert sum(p for k, p in changed.items() if n - k <= r + 1) >= 2.0 ** -bits
+
+
+def test_a_passage_that_many_share_is_left_out_by_texts_with_enough_other_blocks(spark, docs_of):
+    rng = random.Random(13)
+    passage = [f"p{k}" for k in range(64)]
+    rows = [(i, " ".join([f"t{i}x{k}" for k in range(50)] + passage + [f"u{i}x{k}" for k in range(50)])) for i in range(300)]
+    for i in range(0, 40, 2):  # linked ones among them
+        words = rows[i][1].split()
+        for k in rng.sample(range(len(words)), 3):
+            words[k] = f"e{i}x{k}"
+        rows.append((300 + i, " ".join(words)))
+    join = jaccard.NgramJaccardJoin(docs_of(rows), seeds=0)
+    member = spark.createDataFrame([], "node long, component long")
+    runs = join._runs(member)
+    in_long = runs.where("long").selectExpr("sum(size(members))").first()[0]
+    needed = join._needed(runs, member)
+    assert in_long > 3 * len(rows)
+    assert needed.count() < in_long / 8  # with d + 1 blocks alone: all of them
+    got = {r.doc_id: r.component_id for r in join.documents().collect()}
+    assert got == {i: i if i < 300 else i - 300 for i, _ in rows}
+
+
 @pytest.mark.parametrize("seeds", [0, 1, 50])
 def test_seeds_change_no_component(spark, docs_of, seeds):
     rows = near_copies()

@@ -55,6 +55,14 @@ def with_projects(df: DataFrame, t) -> DataFrame:
     return _project_lookups(df, t.account_analytic_account.select("id", "code", "name"))
 
 
+def with_used_projects(df: DataFrame, t) -> DataFrame:
+    """``with_projects`` for stored lines: a small pass over their ids finds the
+    projects that they name, and only these are sent to the tasks."""
+    used = df.select(F.explode(F.array(*DIM_KEYS)).alias("used_id")).where("used_id IS NOT NULL").distinct()
+    projects = t.account_analytic_account.select("id", "code", "name")
+    return _project_lookups(df, projects.join(used, F.col("id") == F.col("used_id"), "left_semi"))
+
+
 def on_projects(t, pattern: str) -> Callable[[DataFrame], DataFrame]:
     """Keeps the lines of which any dimension is a project with a code like
     ``pattern``: the few ids meet the lines, not the whole project table."""
@@ -79,11 +87,13 @@ def posted_lines(
     with_move: bool = True,
     projects: bool = True,
     restrict: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Move lines in [start, end] on the given ledger codes.
 
     ``restrict`` keeps (or repeats) only some of the lines of the period,
-    before any of them meets another table.
+    before any of them meets another table.  ``stage`` stores the lines before
+    they meet the projects and reads them back.
 
     The posting header (move) supplies only its name.  Where the name is
     wanted the lines are joined with the moves (inner join, at every size: a
@@ -105,7 +115,7 @@ def posted_lines(
         moves = t.account_move.select(F.col("id").alias("am_id"), F.col("name").alias("am_name"))
         lines = lines.join(moves, F.col("move_id") == F.col("am_id"), "inner")
     if projects:
-        lines = with_projects(lines, t)
+        lines = with_projects(lines, t) if stage is None else with_used_projects(stage(lines), t)
     return lines
 
 

@@ -415,6 +415,11 @@ def gift_ledger(t, start, end, codes=R.GIFT_ACCOUNTS) -> GiftLedger:
     return _gift_ledger(t, start, end, codes)
 
 
+def loaded_facts(t, start, end, codes, stage) -> DataFrame:
+    """The facts of ``gift_ledger`` for a load, which stores the booked lines by ``stage`` on the way."""
+    return _booked_facts(t, start, end, codes, True, stage=stage).unionByName(_history_facts(t, start, end))
+
+
 def successors(t) -> DataFrame:
     """(old_id, new_id): inactive partners and the partner that took their place."""
     return t.res_partner.where(
@@ -422,7 +427,7 @@ def successors(t) -> DataFrame:
     ).select(F.col("id").alias("old_id"), F.col("active_partner_id").alias("new_id"))
 
 
-def _booked_facts(t, start, end, codes, with_move: bool, branches: tuple[str, ...] = (ACTIVE, MOVED)) -> DataFrame:
+def _booked_facts(t, start, end, codes, with_move: bool, branches: tuple[str, ...] = (ACTIVE, MOVED), stage=None) -> DataFrame:
     """Booked gifts from one scan: each counts for its partner, and once more,
     moved, for the surviving partner of an inactive one.  Of the moved gifts
     alone only the lines of partners with a successor are looked up."""
@@ -431,7 +436,7 @@ def _booked_facts(t, start, end, codes, with_move: bool, branches: tuple[str, ..
     if branches == (MOVED,):
         def of_successors(lines: DataFrame) -> DataFrame:
             return lines.join(gone, F.col("partner_id") == F.col("old_id"), "inner")
-    booked = posted_lines(t, start, end, codes, with_move=with_move, restrict=of_successors).where(F.col("partner_id").isNotNull())
+    booked = posted_lines(t, start, end, codes, with_move=with_move, restrict=of_successors, stage=stage).where(F.col("partner_id").isNotNull())
     if not with_move:
         booked = booked.select("*", _null("string").alias("am_name"))
 

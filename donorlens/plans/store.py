@@ -13,7 +13,9 @@ partitioned by (branch, year, month):
   in a load, spread over all tasks, so that no bucket holds a donor with a
   third of all rows.  Such partners are few: at most gifts / hot_rows.
 
-``load`` overwrites the whole months that a period touches and no others, so
+``load`` stores the booked lines before they meet the projects: only projects
+that these lines name, not the whole table, are then sent to every task.  It
+overwrites the whole months that a period touches and no others, so
 loading a period again, or an overlapping one, changes nothing.  A month
 without gifts left is emptied: every load writes one marker row per month and
 branch, without partner, which no report sees.  Gifts moved to a surviving
@@ -171,9 +173,7 @@ class LedgerStore:
         return have.select(*[F.col(f.name).cast(f.dataType) if f.name in PARTITIONS else F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields])
 
     def _write(self, facts: DataFrame, branches: Iterable[str], loaded: list[tuple[int, int]], partners: int = 0) -> None:
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"  # the source is read once, whatever follows
-        facts.write.parquet(staged)
-        facts = self.spark.read.schema(facts.schema).parquet(staged)
+        staged, facts = self._stage(facts)  # the source is read once, whatever follows
         rows = facts.count()
         self._fix_buckets(max(rows, partners))
         order = self._create_facts(facts)
@@ -188,13 +188,32 @@ class LedgerStore:
         spread = [*PARTITIONS, F.pmod(F.xxhash64(*[c for c in facts.columns if c not in PARTITIONS]), F.lit(tasks))]
         warm = facts.join(hot, is_hot, "left_semi").unionByName(markers).repartition(tasks, *spread).sortWithinPartitions("partner_id", "date")
         self.tables.overwrite("hot_facts", warm, order)
+        self._unstage(staged)
+
+    def _stage(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Rows of a load on their way, to be removed after it."""
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        return staged, self.spark.read.schema(rows.schema).parquet(staged)
+
+    def _unstage(self, staged: str) -> None:
         system, where = file_system(self.spark, staged)
         system.delete(where, True)
 
     def load(self, t, start, end, codes=R.GIFT_ACCOUNTS) -> None:
         """Loads the whole months of [start, end] and the partner attributes."""
         first, last = whole_months(start, end)
-        self._write(L.gift_ledger(t, first, last, codes).facts, BRANCHES, months(first, last), t.res_partner.count())
+        lines = []
+
+        def stage(rows: DataFrame) -> DataFrame:
+            # of lines without a partner no fact is made
+            folder, kept = self._stage(rows.where("partner_id IS NOT NULL"))
+            lines.append(folder)
+            return kept
+
+        self._write(L.loaded_facts(t, first, last, codes, stage), BRANCHES, months(first, last), t.res_partner.count())
+        for folder in lines:
+            self._unstage(folder)
         self.load_partners(t)
 
     def load_partners(self, t) -> None:

@@ -23,3 +23,16 @@ def scans(df, table):
         if node.getClass().getSimpleName() == "FileSourceScanExec" and table in node.toString():
             out.append(node.metrics().apply("numOutputRows").value())
     return out
+
+
+def sent(df, column):
+    """Rows of every table with this column that is sent to all tasks, after ``df.collect()``."""
+    out = []
+    for node in _nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "BroadcastExchangeExec" and column in [a.name() for a in _list(node.output())]:
+            out.append(node.metrics().apply("numOutputRows").value())
+    return out
+
+
+def _list(seq):
+    return [seq.apply(k) for k in range(seq.size())]

@@ -7,15 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from donorlens import params as Q
+from donorlens.functions import rules as R
 from donorlens.operators import categories as CAT
 from donorlens.operators import certificates as CERT
 from donorlens.operators import ledger_reports as LR
 from donorlens.operators import profile as PRO
 from donorlens.plans import ledger as L
 from donorlens.plans import store as S
+from donorlens.plans.facts import DIM_KEYS
 from donorlens.sources import TestdataTables
 from tests.conftest import SMALL
-from tests.plan_metrics import scans
+from tests.plan_metrics import scans, sent
 from tests.test_plans import facts_read, plan
 
 PERIOD = ("1996-11-01", "1997-02-28")
@@ -125,6 +127,30 @@ def test_a_larger_load_makes_more_buckets(spark, tables):
     assert same(again.ledger("1996-11-01", "1997-03-31").wide(), L.gift_ledger(tables, "1996-11-01", "1997-03-31").wide())
 
 
+def test_a_load_sends_only_the_projects_that_its_lines_name(spark, tables):
+    stored = S.LedgerStore(spark, buckets=2)
+    kept = []
+
+    def stage(rows):
+        folder, lines = stored._stage(rows)
+        kept.append(folder)
+        return lines
+
+    facts = L.loaded_facts(tables, *PERIOD, R.GIFT_ACCOUNTS, stage)
+    assert same(facts, L.gift_ledger(tables, *PERIOD).facts)
+    assert facts_read(facts) == 0 and len(kept) == 1  # the lines come from the stored ones
+    named = spark.read.parquet(kept[0]).select(F.explode(F.array(*DIM_KEYS)).alias("id")).where("id IS NOT NULL").distinct().count()
+    projects = tables.account_analytic_account.count()
+    assert named < projects
+    facts.collect()
+    rows = sent(facts, "code")
+    assert rows and max(rows) == named, (rows, named, projects)
+
+
+def test_nothing_staged_is_left_of_a_load(whole):
+    assert not glob.glob(f"{whole.root.removeprefix('file:')}/staged-*")
+
+
 def test_the_wide_ledger_reads_buckets_without_a_shuffle(spark, whole):
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     try:

@@ -458,13 +458,14 @@ class NgramJaccardJoin:
         """Links (a, b) among pairs (a, va, b, vb) of representatives, on the whole texts."""
         pairs = written(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("id"), F.col("va").alias("v")).union(pairs.select("b", "vb")).distinct()
-        texts = self._texts_of(wanted)
+        texts = self._texts_of(written(wanted, "wanted"))  # planned four times below
         both = (pairs.join(texts.toDF("b", "vb", "text_b"), ["b", "vb"]).join(texts.toDF("a", "va", "text_a"), ["a", "va"])
                 .select("a", "va", "b", "text_a", "text_b"))
         return both.mapInArrow(_verify_batches(self.shingle, self.percent), "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
 
     def _linked(self, pairs: DataFrame, member: DataFrame | None) -> DataFrame:
         """Verified links (a, b) of class pairs (fa, fb), of different components of ``member`` only."""
+        pairs = written(pairs, "class-pairs")
         named = pairs.join(self._class_side("a"), F.col("fa") == F.col("fp_a")).join(self._class_side("b"), F.col("fb") == F.col("fp_b")).where(_near(self.percent))
         if member is not None:
             for side in "ab":
@@ -476,34 +477,42 @@ class NgramJaccardJoin:
     def links(self) -> DataFrame:
         """(a, b): verified links between class representatives, enough of
         them to connect every component."""
+        return self._connected()[0]
+
+    def _connected(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """All links, the components (node, component) of those found before
+        the last comparison, and the links of that (None: there was none)."""
         shared = self._shared(self._signature_rows("seeds").distinct())
         links = written(self._linked(self._star_pairs(shared), None), "links")
         member = connected_components(links, "a", "b")
         runs = self._runs(member, self._met(shared))
-        links = written(links.union(self._linked(self._short_pairs(runs).union(self._between_groups(runs)).distinct(), member)), "links")
-        member = connected_components(links, "a", "b")
+        more = written(self._linked(self._short_pairs(runs).union(self._between_groups(runs)).distinct(), member), "links")
+        links, member = links.union(more), connected_components(more, "a", "b", member)
         needed = self._needed(runs, member)
-        links = written(links.union(self._linked(self._stars(needed), member)), "links")
+        more = written(self._linked(self._stars(needed), member), "links")
+        links, member = links.union(more), connected_components(more, "a", "b", member)
         # classes of one long run that are still apart are compared pair by pair
-        member = connected_components(links, "a", "b")
         now = self._class_side("a").join(member, F.col("a") == F.col("node"), "left").select(F.col("fp_a").alias("now_fp"), F.coalesce("component", "a").alias("ca"))
         placed = written(needed.join(now, F.col("fp") == F.col("now_fp")).select("sig", "fp", "ca"), "placed")
         mixed = placed.groupBy("sig").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select(F.col("sig").alias("mixed_sig"))
         k = (placed.join(mixed, F.col("sig") == F.col("mixed_sig"), "left_semi").join(self._class_side("a"), F.col("fp") == F.col("fp_a"))
              .select("sig", "a", "va", "na", "sa", "ca"))
         k = written(k, "apart")
+        late = None
         if not k.isEmpty():
             other = k.select(F.col("sig").alias("sig_b"), F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), F.col("sa").alias("sb"), F.col("ca").alias("cb"))
             rest = (k.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(self.percent))
                     .select("a", "va", "b", "vb").distinct())
-            links = written(links.union(self._verified(rest)), "links")
-        return links
+            late = written(self._verified(rest), "links")
+            links = links.union(late)
+        return links, member, late
 
     def documents(self) -> DataFrame:
         """Per input row: doc_id, n_shingles, component_id."""
         members = (self.sets.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "fp", "fp2", "n_shingles")
                    .join(self.classes.select("fp", "fp2", "n_shingles", F.col("rep.doc_id").alias("rep")), ["fp", "fp2", "n_shingles"]))
         same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        component = connected_components(self.links().union(same), "a", "b")
+        _, member, late = self._connected()
+        component = connected_components(same if late is None else late.union(same), "a", "b", member)
         return (self.sets.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left")
                 .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
